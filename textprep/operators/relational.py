@@ -95,21 +95,22 @@ def lookup_join(df: DataFrame, codes: DataFrame, on: str, how: str = "left") ->
     return df.join(checked_broadcast(codes), on, how)
 
 
-def zip_align(src: DataFrame, tgt: DataFrame, order_col: str, text_col: str = "text",
+def zip_align(src: DataFrame, tgt: DataFrame, order_cols, text_col: str = "text",
               mode: str = "compact") -> DataFrame:
     """Pair line i of ``src`` with line i of ``tgt``.
 
     ``compact``: blank lines are removed per side first and lines re-numbered, so
     one blank line shifts every later pair (the reference behaviour).
     ``strict``: pair by the original line number."""
+    order_cols = [order_cols] if isinstance(order_cols, str) else list(order_cols)
     if mode == "strict":
-        a = src.select(F.col(order_col).alias("idx"), F.col(text_col).alias("src"))
-        b = tgt.select(F.col(order_col).alias("idx"), F.col(text_col).alias("tgt"))
+        a = dense_index(src.select(*order_cols, F.col(text_col).alias("src")), order_cols).drop(*order_cols)
+        b = dense_index(tgt.select(*order_cols, F.col(text_col).alias("tgt")), order_cols).drop(*order_cols)
         return a.join(b, "idx", "inner")
-    a = dense_index(src.where(F.trim(F.col(text_col)) != "").select(order_col, F.col(text_col).alias("src")),
-                    [order_col]).drop(order_col)
-    b = dense_index(tgt.where(F.trim(F.col(text_col)) != "").select(order_col, F.col(text_col).alias("tgt")),
-                    [order_col]).drop(order_col)
+    a = dense_index(src.where(F.trim(F.col(text_col)) != "").select(*order_cols, F.col(text_col).alias("src")),
+                    order_cols).drop(*order_cols)
+    b = dense_index(tgt.where(F.trim(F.col(text_col)) != "").select(*order_cols, F.col(text_col).alias("tgt")),
+                    order_cols).drop(*order_cols)
     return a.join(b, "idx", "inner")
 
 

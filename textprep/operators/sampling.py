@@ -102,17 +102,24 @@ def class_cap_rebalance(df: DataFrame, label: str, capped_value, cap: int, order
 
 # --- augmentation -------------------------------------------------------------------
 
-def mask_tokens(text: Column, key: Column, prob: float = 0.3, seed: int = 42) -> Column:
+def mask_tokens(df: DataFrame, text: str, key: str, out: str = "masked", prob: float = 0.3,
+                seed: int = 42) -> DataFrame:
     """Replace ``max(1, int(n * prob))`` distinct tokens by ``[MASK]``; the chosen
     positions are those with the smallest seeded hash of ``(key, position)``.
-    Text without tokens is returned unchanged."""
-    toks = split_whitespace(text)
-    n = F.size(toks)
-    k = F.greatest(F.lit(1), F.floor(n * F.lit(prob)).cast("int"))
-    draws = F.transform(toks, lambda t, i: F.struct(seeded_bits(key, i, seed).alias("h"), i.alias("i")))
-    kth = F.element_at(F.array_sort(draws), k)
-    masked = F.zip_with(toks, draws, lambda t, d: F.when(d <= kth, F.lit(MASK_TOKEN)).otherwise(t))
-    return F.when(n == 0, text).otherwise(F.array_join(masked, " "))
+    Text without tokens is returned unchanged.
+
+    Built in separate projections on purpose: the k-th smallest draw is a column
+    referenced both inside and outside the per-token lambda, so the optimizer
+    keeps it computed once per row instead of once per token."""
+    toks = df.withColumn("_toks", split_whitespace(F.col(text)))
+    draws = toks.withColumn(
+        "_draws", F.transform("_toks", lambda t, i: F.struct(seeded_bits(F.col(key), i, seed).alias("h"), i.alias("i")))
+    )
+    k = F.greatest(F.lit(1), F.floor(F.size("_toks") * F.lit(prob)).cast("int"))
+    kth = draws.withColumn("_kth", F.try_element_at(F.array_sort("_draws"), k))
+    masked = F.zip_with("_toks", "_draws", lambda t, d: F.when(d <= F.col("_kth"), F.lit(MASK_TOKEN)).otherwise(t))
+    res = F.when(F.col("_kth").isNull(), F.col(text)).otherwise(F.array_join(masked, " "))
+    return kth.withColumn(out, res).drop("_toks", "_draws", "_kth")
 
 
 def cut_mix_pair(t1: Column, t2: Column, key: Column, seed: int = 42, min_frac: float = 0.2,
