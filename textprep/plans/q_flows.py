@@ -1 +1,273 @@
-"""placeholder"""
+"""§2.14 composite flows (one callable each, built from the operators) and the
+flagship query used by ``entry``.  Names avoid the reference's word for them."""
+
+from __future__ import annotations
+
+from pyspark import StorageLevel
+from pyspark.sql import functions as F
+
+from textprep.functions.arrays import age_range_expand, one_hot, seq2seq_shift
+from textprep.functions.text import text_normalize, text_normalize_v2
+from textprep.operators import relational as R
+from textprep.operators.aggregates import (
+    corr_matrix,
+    distinct_first_seen_ids,
+    group_collect,
+    label_encode_sorted,
+    null_counts,
+)
+from textprep.operators.features import standard_scale
+from textprep.operators.metrics import accuracy_micro, bleu_corpus
+from textprep.operators.models import assemble, decision_tree, random_forest, tabular_logreg
+from textprep.operators.order import ffill
+from textprep.operators.sampling import class_cap_rebalance, split_fraction, split_ordered, split_three_way
+from textprep.operators.vocab import (
+    bpe_train,
+    encode_tokens,
+    pretokenize_words,
+    word_table,
+    wordlevel_encode,
+    wordlevel_train,
+)
+from textprep.plans import fixtures_sql as X
+from textprep.plans import sql as S
+from textprep.plans.catalog import register
+from textprep.plans.q_sampling import split_sql
+from textprep.sources import files as FS
+from textprep.sources import tables as TB
+from textprep.sources.tables import table
+
+SPECIALS = ("[PAD]", "[UNK]", "[SOS]", "[EOS]")
+
+
+# --- flagship (entry) ---------------------------------------------------------------------
+
+def flagship(spark, sf):
+    """documents -> text_normalize -> drop empty -> 80/20 seeded split ->
+    first-seen language ids learned on train -> lookup join."""
+    docs = table(spark, sf, "documents").select("doc_id", "lang", text_normalize(F.col("text")).alias("clean"))
+    # the split runs a few bounded histogram jobs over this frame: clean once and
+    # keep the narrow result (memory, spilling to disk; lineage rebuilds lost blocks)
+    docs = docs.where(F.col("clean") != "").persist(StorageLevel.MEMORY_AND_DISK)
+    parts = split_fraction(docs, "doc_id", 0.2, 42)
+    codes = distinct_first_seen_ids(parts.where(F.col("part") == "train"), "lang", "doc_id")
+    codes = codes.select(F.col("value").alias("lang"), F.col("id").alias("lang_id"))
+    return R.lookup_join(parts, codes, "lang").select("doc_id", "clean", "lang_id", "part")
+
+
+def _clean_sql(src="documents", fn="text_normalize"):
+    steps = S.chain(None, variant="A" if fn == "text_normalize" else "B")
+    return S.cte_chain(src, "doc_id", "coalesce(CAST(text AS VARCHAR), '')", steps, "clean")
+
+
+_FLAGSHIP_SQL = (
+    f"WITH c AS ({_clean_sql()}), d AS (SELECT c.doc_id, c.clean, x.lang FROM c JOIN documents x USING (doc_id) "
+    f"WHERE c.clean <> ''), p AS {split_sql(src='d')}, "
+    "ids AS (SELECT lang, CAST(row_number() OVER (ORDER BY min(doc_id)) - 1 AS INTEGER) AS lang_id FROM p "
+    "WHERE part = 'train' GROUP BY lang) SELECT p.doc_id, p.clean, ids.lang_id, p.part FROM p LEFT JOIN ids USING (lang)"
+)
+
+
+@register("text_clean_ids", _FLAGSHIP_SQL)
+def _flagship(spark, sf):
+    return flagship(spark, sf)
+
+
+# --- tweet prep -------------------------------------------------------------------------
+
+def _age_text():
+    lo = F.floor(F.col("n_chars") / 1000).cast("int")
+    return F.concat(lo.cast("string"), F.lit("-"), (lo + 9).cast("string"))
+
+
+@register(
+    "tweet_prep",
+    f"WITH c AS ({_clean_sql()}), d AS (SELECT x.doc_id, x.lang, x.source, x.n_chars, c.clean FROM documents x JOIN c USING (doc_id) "
+    "WHERE x.text IS NOT NULL AND x.lang IS NOT NULL AND x.source IS NOT NULL AND x.n_chars IS NOT NULL), "
+    f"p AS {split_sql(src='d')}, "
+    "li AS (SELECT lang, CAST(row_number() OVER (ORDER BY min(doc_id)) - 1 AS INTEGER) AS lang_id FROM p WHERE part = 'train' GROUP BY lang), "
+    "si AS (SELECT source, CAST(row_number() OVER (ORDER BY min(doc_id)) - 1 AS INTEGER) AS source_id FROM p WHERE part = 'train' GROUP BY source) "
+    "SELECT p.doc_id, p.part, p.clean, li.lang_id, si.source_id, CAST(generate_series(CAST(floor(n_chars / 1000) AS INTEGER), "
+    "CAST(floor(n_chars / 1000) AS INTEGER) + 9) AS INTEGER[]) AS ages FROM p JOIN li USING (lang) JOIN si USING (source) "
+    "WHERE p.clean <> ''",
+)
+def tweet_prep(spark, sf):
+    # scan: CSV written in latin-1, read back with the encoding fallback
+    src = FS.scratch_path(spark, "tweets-latin1")
+    FS.write_csv(table(spark, sf, "documents"), src, encoding="ISO-8859-1")
+    raw = FS.read_csv_fallback(spark, src, "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    rows = R.dropna_any(raw)
+    parts = split_fraction(rows, "doc_id", 0.2, 42)
+    train = parts.where(F.col("part") == "train")
+    lang_ids = distinct_first_seen_ids(train, "lang", "doc_id")
+    source_ids = distinct_first_seen_ids(train, "source", "doc_id")
+    out = parts.select("doc_id", "part", "lang", "source", text_normalize(F.col("text")).alias("clean"),
+                       age_range_expand(_age_text()).alias("ages"))
+    out = R.map_values_strict(out, "lang", lang_ids, out="lang_id")
+    out = R.map_values_strict(out, "source", source_ids, out="source_id")
+    out = out.select("doc_id", "part", "clean", "lang_id", "source_id", "ages")
+    # sinks: cleaned CSV + code tables as JSON; the CSV is what later stages read
+    dst = FS.scratch_path(spark, "tweets-clean")
+    FS.write_csv(out, dst)
+    FS.write_mapping_json({"lang2id": lang_ids, "source2id": source_ids}, FS.scratch_path(spark, "tweets-maps"))
+    back = FS.read_csv(spark, dst, "doc_id bigint, part string, clean string, lang_id int, source_id int, ages string")
+    # an empty cleaned text is written as an empty field and comes back null: dropped
+    back = back.where(F.col("clean").isNotNull() & (F.col("clean") != ""))
+    return back.withColumn("ages", F.from_json("ages", "array<int>"))
+
+
+# --- POS tagging prep -------------------------------------------------------------------
+
+DROP_POS = ("F",)  # POS values filtered before numbering (the fixture's stand-in for punctuation tags)
+_POS_ORDER = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
+
+
+@register(
+    "pos_tagging_prep",
+    f"WITH t AS (SELECT *, row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey) AS pos FROM {X.SPARSE_TOKENS}), "
+    "f AS (SELECT * FROM t WHERE coalesce(pos_tag NOT IN ('F'), true)), "
+    "ti AS (SELECT tag, CAST(row_number() OVER (ORDER BY min(pos)) - 1 AS INTEGER) AS tag_id FROM f GROUP BY tag), "
+    "pi AS (SELECT pos_tag, CAST(row_number() OVER (ORDER BY min(pos)) - 1 AS INTEGER) AS pos_id FROM f GROUP BY pos_tag), "
+    "ff AS (SELECT pos, word, tag, pos_tag, last_value(sentence IGNORE NULLS) OVER (ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING "
+    "AND CURRENT ROW) AS sentence FROM f) "
+    "SELECT sentence, array_to_string(list(word ORDER BY pos), ' ') AS words, list(tag ORDER BY pos) AS tags, "
+    "list(pos_tag ORDER BY pos) AS pos_tags, list(tag_id ORDER BY pos) AS tag_ids, list(pos_id ORDER BY pos) AS pos_ids "
+    "FROM ff JOIN ti USING (tag) JOIN pi USING (pos_tag) WHERE sentence IS NOT NULL GROUP BY sentence",
+)
+def pos_tagging_prep(spark, sf):
+    toks = TB.sparse_key_tokens(spark, sf)
+    kept = R.filter_not_in(toks, "pos_tag", DROP_POS)
+    tag_ids = distinct_first_seen_ids(kept, "tag", _POS_ORDER).select(F.col("value").alias("tag"), F.col("id").alias("tag_id"))
+    pos_ids = distinct_first_seen_ids(kept, "pos_tag", _POS_ORDER).select(F.col("value").alias("pos_tag"), F.col("id").alias("pos_id"))
+    filled = ffill(kept, _POS_ORDER, cols=["sentence"])
+    coded = R.lookup_join(R.lookup_join(filled, tag_ids, "tag"), pos_ids, "pos_tag")
+    g = group_collect(coded, "sentence", _POS_ORDER, ["word", "tag", "pos_tag", "tag_id", "pos_id"])
+    return g.select(
+        "sentence",
+        F.array_join(F.col("_rows.word"), " ").alias("words"),
+        F.col("_rows.tag").alias("tags"),
+        F.col("_rows.pos_tag").alias("pos_tags"),
+        F.col("_rows.tag_id").alias("tag_ids"),
+        F.col("_rows.pos_id").alias("pos_ids"),
+    )
+
+
+# --- spelling prep ----------------------------------------------------------------------
+
+@register("spelling_prep")
+def spelling_prep(spark, sf):
+    path = FS.scratch_path(spark, "spelling-jsonl")
+    TB.syllable_annotations(spark, sf).write.mode("overwrite").json(path)
+    ann = FS.read_jsonl(spark, path, "doc_id bigint, annotations array<struct<current_syllable:string, "
+                                     "alternative_syllables:array<string>>>")
+    right = F.array_join(F.transform("annotations", lambda a: R.pick_first_or_else(a["alternative_syllables"],
+                                                                                   a["current_syllable"])), " ")
+    wrong = F.array_join(F.transform("annotations", lambda a: a["current_syllable"]), " ")
+    pairs = ann.select("doc_id", text_normalize(right).alias("right"), text_normalize(wrong).alias("wrong"))
+    parts = split_three_way(pairs, "doc_id", 42)
+    vocab = wordlevel_train(word_table(parts.where(F.col("part") == "train"), "right"), 3000, SPECIALS)
+    wrap = lambda c: F.concat(F.lit("[SOS] "), F.col(c), F.lit(" [EOS]"))
+    src = wordlevel_encode(parts.select("doc_id", wrap("wrong").alias("t")), "doc_id", "t", vocab, 64, specials=SPECIALS)
+    tgt = wordlevel_encode(parts.select("doc_id", wrap("right").alias("t")), "doc_id", "t", vocab, 64, specials=SPECIALS)
+    return parts.select("doc_id", "part").join(src.withColumnRenamed("ids", "src_ids").withColumnRenamed("mask", "src_mask"),
+                                               "doc_id").join(tgt.select("doc_id", F.col("ids").alias("tgt_ids")), "doc_id")
+
+
+# --- translation prep -------------------------------------------------------------------
+
+@register("translation_prep")
+def translation_prep(spark, sf):
+    """Two line files -> aligned pairs -> ordered 90/10 split -> a vocabulary per
+    side -> shifted / padded ids -> a scoring function -> corpus BLEU."""
+    conv = table(spark, sf, "conversations")
+    base = FS.scratch_path(spark, "translation")
+    for role, name in (("user", "src"), ("assistant", "tgt")):
+        side = conv.where(F.col("role") == role).select("conv_id", "turn", F.regexp_replace("text", "[\\r\\n]+", " ").alias("text"))
+        side.repartitionByRange(4, "conv_id", "turn").sortWithinPartitions("conv_id", "turn").select("text") \
+            .write.mode("overwrite").text(f"{base}/{name}")
+    src = FS.read_text_lines(spark, f"{base}/src").select("file", "line_no", F.col("line").alias("text"))
+    tgt = FS.read_text_lines(spark, f"{base}/tgt").select("file", "line_no", F.col("line").alias("text"))
+    pairs = R.zip_align(src, tgt, ["file", "line_no"])
+    pairs = split_ordered(pairs, "idx", 0.9)
+    train = pairs.where(F.col("part") == "train")
+    v_src = wordlevel_train(word_table(train, "src"), 31000, SPECIALS)
+    v_tgt = wordlevel_train(word_table(train, "tgt"), 31000, SPECIALS)
+    toks = pairs.select("idx", pretokenize_words(F.col("src")).alias("ts"), pretokenize_words(F.col("tgt")).alias("tt"))
+    e_src = encode_tokens(toks, "idx", "ts", v_src, out="s")
+    e_tgt = encode_tokens(toks, "idx", "tt", v_tgt, out="t")
+    enc = e_src.join(e_tgt, "idx").select("idx", seq2seq_shift(F.col("s"), F.col("t"), 64).alias("sh"))
+    scored = pairs.join(enc, "idx").select("idx", "part", "sh.encoder", "sh.target", "sh.decoder", "src", "tgt")
+    # trivial scoring function: the hypothesis is the source text itself
+    bleu = bleu_corpus(scored.where(F.col("part") == "validation"), "idx", "src", "tgt").first()["bleu"]
+    out = FS.scratch_path(spark, "translation-out")
+    FS.write_csv(scored.select("idx", "part", "src", "tgt"), out)
+    return scored.select("idx", "part", "encoder", "target", "decoder", F.lit(bleu).alias("val_bleu"))
+
+
+# --- question balance -------------------------------------------------------------------
+
+BALANCE_CAP = 300  # rows kept of the capped (majority) class in the registered flow
+
+
+@register(
+    "question_balance",
+    "WITH lt AS (SELECT d.doc_id, d.text, l.quality FROM documents d JOIN labels l USING (doc_id) WHERE d.text IS NOT NULL "
+    "AND l.quality IS NOT NULL), kept AS (SELECT doc_id, text, quality FROM (SELECT *, row_number() OVER (ORDER BY doc_id) AS rk "
+    f"FROM lt WHERE quality = 1) WHERE rk <= {BALANCE_CAP} UNION ALL SELECT doc_id, text, quality FROM lt WHERE quality <> 1), "
+    f"sh AS (SELECT *, row_number() OVER (ORDER BY {X.bits('doc_id', '0', 42)}, doc_id) - 1 AS idx FROM kept), "
+    f"p AS {split_sql(src='sh')}, c AS ({_clean_sql('p', 'v2')}) "
+    "SELECT p.doc_id, p.idx, p.part, c.clean, list_transform(range(2), lambda i: CASE WHEN i = p.quality THEN 1 ELSE 0 END) "
+    "AS label_1h FROM p JOIN c USING (doc_id)",
+)
+def question_balance(spark, sf):
+    lt = R.dropna_any(TB.labelled_texts(spark, sf).select("doc_id", "text", "quality"))
+    bal = class_cap_rebalance(lt, "quality", 1, BALANCE_CAP, "doc_id", 42)
+    parts = split_fraction(bal, "doc_id", 0.2, 42)
+    return parts.select("doc_id", "idx", "part", text_normalize_v2(F.col("text")).alias("clean"),
+                        one_hot(F.col("quality"), 2).alias("label_1h"))
+
+
+# --- tabular prep -----------------------------------------------------------------------
+
+@register("tabular_prep")
+def tabular_prep(spark, sf):
+    li = table(spark, sf, "lineitem")
+    li = R.fillna_const(li, 0, ["l_quantity", "l_tax", "l_discount"])
+    li = R.derive_sum(li, "qty_tax", "l_quantity", "l_tax")
+    li = R.select_drop(li, drop=["l_shipdate"])
+    flag = label_encode_sorted(li, "l_returnflag").select(F.col("value").alias("l_returnflag"), F.col("id").alias("flag_id"))
+    li = R.lookup_join(li, flag, "l_returnflag")
+    li = li.withColumn("status_code", R.map_values(F.col("l_linestatus"), {"O": 0, "F": 1}))
+    audit = null_counts(li.select("l_quantity", "l_tax", "status_code")).agg(F.sum("n_null").alias("n")).first()["n"]
+    li = R.dropna_any(li)
+    feats = ["l_quantity", "l_extendedprice", "l_discount", "qty_tax", "status_code"]
+    corr = corr_matrix(li, feats[:4], 6).agg(F.max(F.abs("r")).alias("m")).first()["m"]
+    li = li.withColumn("row_key", F.concat_ws(":", *[F.col(c).cast("string") for c in _POS_ORDER]))
+    parts = split_fraction(li, "row_key", 0.2, 42)
+    train, test = parts.where("part = 'train'"), parts.where("part = 'test'")
+    train_s = assemble(standard_scale(train, train, feats, "_z"), [f + "_z" for f in feats]).withColumn(
+        "y", (F.col("flag_id") == 2).cast("double"))
+    test_s = assemble(standard_scale(train, test, feats, "_z"), [f + "_z" for f in feats]).withColumn(
+        "y", (F.col("flag_id") == 2).cast("double"))
+    rows = []
+    for name, fn in (("logreg", lambda a, b: tabular_logreg(a, b, "y")), ("tree", lambda a, b: decision_tree(a, b, "y")),
+                     ("forest", lambda a, b: random_forest(a, b, "y", num_trees=100, max_depth=12))):
+        acc = accuracy_micro(fn(train_s, test_s), "prediction", "y").first()["accuracy"]
+        rows.append((name, float(acc), int(audit), float(corr)))
+    return spark.createDataFrame(rows, "model string, accuracy double, nulls_before int, max_abs_corr double")
+
+
+# --- unsupervised corpus ----------------------------------------------------------------
+
+@register("unsupervised_corpus")
+def unsupervised_corpus(spark, sf):
+    path = FS.scratch_path(spark, "unsup-noheader")
+    FS.write_csv(table(spark, sf, "documents").select("doc_id", "lang", "source", "n_chars", F.col("doc_id").alias("id2"), "text"),
+                 path, encoding="ISO-8859-1", header=False)
+    col5 = FS.read_csv_positional(spark, path, 5)
+    clean = col5.select(text_normalize(F.col("_c5")).alias("clean"))
+    corpus = FS.scratch_path(spark, "unsup-corpus")
+    FS.write_text_corpus(clean, "clean", corpus)
+    lines = spark.read.text(corpus).withColumnRenamed("value", "text")
+    vocab, merges = bpe_train(word_table(lines, "text"), 3000, SPECIALS, max_merges=50)
+    return vocab.join(merges.select(F.concat("left", "right").alias("token"), "rank"), "token", "left")
