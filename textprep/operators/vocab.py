@@ -179,6 +179,7 @@ def bpe_train(counts: DataFrame, vocab_size: int, specials: Sequence[str] = DEFA
     rounds = 0
     done = False
     cached = None
+    current_cache = None
     while not done:
         if len(vocab) >= vocab_size or (max_merges is not None and len(merges) >= max_merges):
             break
@@ -188,6 +189,7 @@ def bpe_train(counts: DataFrame, vocab_size: int, specials: Sequence[str] = DEFA
         counted = pairs.groupBy(F.col("p.0").cast("int").alias("ia"), F.col("p.1").cast("int").alias("ib")).agg(
             F.sum("freq").alias("c"))
         ranked = counted.orderBy(F.col("c").desc(), "ia", "ib").limit(candidates).collect()
+        # ``words`` is materialised now; the frame it was derived from can go
         if cached is not None:
             cached.unpersist()
             cached = None
@@ -228,10 +230,12 @@ def bpe_train(counts: DataFrame, vocab_size: int, specials: Sequence[str] = DEFA
             col = F.regexp_replace(col, F.lit(f"(?<=^| ){ia} {ib}(?= |$)"), F.lit(str(nid)))
         rounds += 1
         nxt = words.select(col.alias("syms"), "freq")
+        cached = current_cache
         if rounds % checkpoint_every == 0:
             words = nxt.checkpoint(eager=True)
+            current_cache = None
         else:
-            words = cached = nxt.cache()
+            words = current_cache = nxt.cache()
     vocab_df = spark.createDataFrame(list(vocab.items()), "token string, id int")
     merges_df = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(merges)], "rank int, left string, right string")
     return vocab_df, merges_df
