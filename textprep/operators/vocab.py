@@ -163,10 +163,14 @@ def bpe_train(counts: DataFrame, vocab_size: int, specials: Sequence[str] = DEFA
                           F.col("count").cast("long").alias("freq"))
     # the alphabet is bounded by the character repertoire of the corpus
     alphabet = [r["s"] for r in words.select(F.explode(F.split("syms", " ")).alias("s")).distinct().collect()]
-    plain = sorted([s for s in alphabet if not (continuing_prefix and s.startswith(continuing_prefix))],
-                   key=lambda s: [ord(c) for c in s])
+    plain = {s for s in alphabet if not (continuing_prefix and s.startswith(continuing_prefix))}
     pref = sorted([s for s in alphabet if continuing_prefix and s.startswith(continuing_prefix)],
                   key=lambda s: [ord(c) for c in s])
+    if continuing_prefix:
+        # every character also enters in its plain form (the alphabet), even if it
+        # only ever occurs inside words
+        plain |= {s[len(continuing_prefix):] for s in pref}
+    plain = sorted(plain, key=lambda s: [ord(c) for c in s])
     vocab: dict[str, int] = {}
     for sym in list(specials) + plain + pref:
         if sym not in vocab:
