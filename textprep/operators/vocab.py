@@ -233,7 +233,8 @@ def bpe_train(counts: DataFrame, vocab_size: int, specials: Sequence[str] = DEFA
         for ia, ib, nid in accepted:
             col = F.regexp_replace(col, F.lit(f"(?<=^| ){ia} {ib}(?= |$)"), F.lit(str(nid)))
         rounds += 1
-        nxt = words.select(col.alias("syms"), "freq")
+        # a word that is one symbol has no pairs left: drop it from the working set
+        nxt = words.select(col.alias("syms"), "freq").where(F.instr("syms", " ") > 0)
         cached = current_cache
         if rounds % checkpoint_every == 0:
             words = nxt.checkpoint(eager=True)

@@ -75,8 +75,8 @@ def _group_collect(spark, sf):
 
 
 @register("max_nested_size",
-          "WITH s AS (SELECT doc_id, coalesce(list_max(list_transform(annotations, lambda a: len(a.alternative_syllables))), 0) "
-          f"AS max_size FROM {X.SYLLABLES}) SELECT doc_id, max_size, (max(max_size) OVER (ORDER BY doc_id ROWS BETWEEN "
+          "WITH s AS (SELECT doc_id, CAST(coalesce(list_max(list_transform(annotations, lambda a: len(a.alternative_syllables))), 0) "
+          f"AS INTEGER) AS max_size FROM {X.SYLLABLES}) SELECT doc_id, max_size, (max(max_size) OVER (ORDER BY doc_id ROWS BETWEEN "
           "UNBOUNDED PRECEDING AND 1 PRECEDING)) IS NULL OR max_size > max(max_size) OVER (ORDER BY doc_id ROWS BETWEEN "
           "UNBOUNDED PRECEDING AND 1 PRECEDING) AS is_record FROM s")
 def _max_nested(spark, sf):

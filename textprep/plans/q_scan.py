@@ -47,15 +47,15 @@ def _scan_pos(spark, sf):
     return FS.read_csv_positional(spark, path, 5, schema=schema)
 
 
-@register("scan_jsonl_nested", "SELECT doc_id, len(annotations) AS n_ann, list_sum(list_transform(annotations, lambda a: "
-          "len(a.alternative_syllables))) AS n_alt, list_transform(annotations, lambda a: a.current_syllable) AS words "
+@register("scan_jsonl_nested", "SELECT doc_id, CAST(len(annotations) AS BIGINT) AS n_ann, CAST(coalesce(list_sum(list_transform("
+          "annotations, lambda a: len(a.alternative_syllables))), 0) AS BIGINT) AS n_alt, list_transform(annotations, lambda a: a.current_syllable) AS words "
           f"FROM {X.SYLLABLES}")
 def _scan_jsonl(spark, sf):
     path = FS.scratch_path(spark, "syllables-jsonl")
     TB.syllable_annotations(spark, sf).write.mode("overwrite").json(path)
     ann = FS.read_jsonl(spark, path, SYLLABLE_SCHEMA)
     return ann.select(
-        "doc_id", F.size("annotations").alias("n_ann"),
+        "doc_id", F.size("annotations").cast("bigint").alias("n_ann"),
         F.aggregate("annotations", F.lit(0).cast("bigint"),
                     lambda acc, a: acc + F.size(a["alternative_syllables"])).alias("n_alt"),
         F.transform("annotations", lambda a: a["current_syllable"]).alias("words"))
