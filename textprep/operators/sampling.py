@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from textprep.functions.rnd import seeded_bits, seeded_randint, seeded_uniform
 from textprep.functions.text import MASK_TOKEN, split_whitespace
 from textprep.operators.order import dense_index, kth_cut
+from textprep.operators.relational import checked_broadcast
 
 
 # --- shuffles, slices, batches ---------------------------------------------------
@@ -155,7 +156,8 @@ def pair_within_label(df: DataFrame, label: str, key: str, text: str, n_aug: int
     rows = rows.withColumn("_h", seeded_bits(F.col(key), F.lit(0), seed))
     ix = dense_index(rows.select(label, key, text, "_h"), [label, "_h", key], "_g")
     stats = ix.groupBy(label).agg(F.min("_g").alias("_base"), F.count(F.lit(1)).alias("_n"))
-    local = ix.join(F.broadcast(stats), label).withColumn("_i", F.col("_g") - F.col("_base"))
+    # one row per label: broadcast only after the size check
+    local = ix.join(checked_broadcast(stats), label).withColumn("_i", F.col("_g") - F.col("_base"))
     local = local.where(F.col("_n") >= 2)
     draws = local.select(label, "_n", "_i", F.explode(F.sequence(F.lit(0), F.lit(n_aug - 1))).alias("_m"))
     draws = draws.withColumn("draw_id", F.col("_i") * n_aug + F.col("_m"))

@@ -123,6 +123,15 @@ def _text_normalize_v2(spark, sf):
     return _docs(spark, sf).select("doc_id", T.text_normalize_v2(F.col("text")).alias("clean"))
 
 
-@register("bert_normalize")
+def _bert_sql():
+    cjk = "".join(f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in T.CJK_RANGES)
+    t = S.rx("text", r"[\x{0}\x{FFFD}]|[^\P{C}\t\n\r]", "")
+    t = S.rx(t, r"[\t\n\r\p{Z}]", " ")
+    t = S.rx(t, f"([{cjk}])", " \\1 ")
+    t = S.rx(f"strip_accents({t})", r"\p{Mn}", "")
+    return f"SELECT doc_id, lower({t}) AS out FROM documents"
+
+
+@register("bert_normalize", _bert_sql())
 def _bert_normalize(spark, sf):
     return _docs(spark, sf).select("doc_id", T.bert_normalize(F.col("text")).alias("out"))

@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 
 from textprep.functions.text import PAT
 from textprep.operators.order import dense_index
+from textprep.operators.relational import checked_broadcast
 from textprep.session import ensure_checkpoint_dir
 
 CSV_OPTS = {"header": "true", "multiLine": "true", "quote": '"', "escape": '"'}
@@ -77,7 +78,7 @@ def read_text_lines(spark: SparkSession, path: str, strip: bool = True, drop_bla
         F.input_file_name().alias("file"), F.monotonically_increasing_id().alias("_scan_pos"), F.col("value").alias("line"))
     numbered = dense_index(raw, ["file", "_scan_pos"], "_g")
     first = numbered.groupBy("file").agg(F.min("_g").alias("_f"))
-    out = numbered.join(F.broadcast(first), "file").select("file", (F.col("_g") - F.col("_f")).alias("line_no"), "line")
+    out = numbered.join(checked_broadcast(first), "file").select("file", (F.col("_g") - F.col("_f")).alias("line_no"), "line")
     if strip:
         out = out.withColumn("line", F.regexp_replace("line", F.lit(PAT["strip"]), F.lit("")))
     if underscore_to_space:
