@@ -46,6 +46,18 @@ CJK_RANGES = (
 )
 # ---------------------------------------------------------------------------
 
+# Java evaluates its own Unicode whitespace class far faster than a listed one.
+# Under the UNICODE_CHARACTER_CLASS flag ``(?U)``, ``\s`` is exactly Python's
+# whitespace set minus U+001C..U+001F, so Spark patterns use that spelling; the
+# SQL oracle keeps the listed set.
+JAVA_SPACE_CHARS = r"\s\x{1C}-\x{1F}"
+
+
+def java(p: str) -> str:
+    """Spark (Java) spelling of a pattern written with the listed whitespace set."""
+    return "(?U)" + p.replace(SPACE_CHARS, JAVA_SPACE_CHARS) if SPACE_CHARS in p else p
+
+
 SPACE = f"[{SPACE_CHARS}]"
 NOT_SPACE = f"[^{SPACE_CHARS}]"
 WORD = f"[{WORD_CHARS}]"
@@ -97,7 +109,7 @@ def python_digit_class() -> str:
 
 
 def _rx(col: Column, key: str, repl: str) -> Column:
-    return F.regexp_replace(col, F.lit(PAT[key]), F.lit(repl))
+    return F.regexp_replace(col, F.lit(java(PAT[key])), F.lit(repl))
 
 
 # --- §2.8 steps of the main normaliser --------------------------------------
@@ -218,11 +230,11 @@ def text_normalize_ascii(col: Column) -> Column:
     """The short English cleaner: deletes (rather than spaces out) URLs, symbols
     and non-ASCII letters, then squeezes whitespace."""
     t = F.lower(col)
-    t = F.regexp_replace(t, F.lit(f"^RT{SPACE}+"), F.lit(""))
+    t = F.regexp_replace(t, F.lit(java(f"^RT{SPACE}+")), F.lit(""))
     t = F.regexp_replace(t, F.lit(r"https|://[^\n]*[\r\n]*"), F.lit(""))
-    t = F.regexp_replace(t, F.lit(f"[^{WORD_CHARS}{SPACE_CHARS}]"), F.lit(""))
+    t = F.regexp_replace(t, F.lit(java(f"[^{WORD_CHARS}{SPACE_CHARS}]")), F.lit(""))
     t = F.regexp_replace(t, F.lit(PAT["html"]), F.lit(""))
-    t = F.regexp_replace(t, F.lit(f"[^a-zA-Z0-9{SPACE_CHARS}]"), F.lit(""))
+    t = F.regexp_replace(t, F.lit(java(f"[^a-zA-Z0-9{SPACE_CHARS}]")), F.lit(""))
     return norm_spaces(t)
 
 
@@ -234,7 +246,7 @@ def clean_alnum_percent(col: Column) -> Column:
 
 def split_whitespace(col: Column) -> Column:
     """Python ``str.split()``: runs of whitespace, no empty pieces."""
-    return F.filter(F.split(col, PAT["spaces"]), lambda x: x != "")
+    return F.filter(F.split(col, java(PAT["spaces"])), lambda x: x != "")
 
 
 def remove_stopwords(col: Column, stop_words) -> Column:
@@ -259,7 +271,7 @@ def pretokenize(col: Column, mode: str = "whitespace") -> Column:
     else:
         punct = f"\\p{{P}}{ASCII_SYMBOL_PUNCT}"
         pat = f"[^{punct}]+|[{punct}]"
-    return F.regexp_extract_all(col, F.lit(pat), 0)
+    return F.regexp_extract_all(col, F.lit(java(pat)), 0)
 
 
 @functools.lru_cache(maxsize=None)

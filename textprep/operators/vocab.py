@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from textprep.functions.arrays import attention_mask, pad_truncate
-from textprep.functions.text import SPACE_CHARS, WORD, WORD_CHARS
+from textprep.functions.text import SPACE_CHARS, WORD, WORD_CHARS, java
 from textprep.operators.relational import checked_broadcast
 from textprep.session import ensure_checkpoint_dir
 
@@ -50,7 +50,7 @@ _DEBUG = bool(os.environ.get("TEXTPREP_DEBUG"))
 def pretokenize_words(text: Column, specials: Sequence[str] = ()) -> Column:
     """The ``Whitespace`` pre-tokenizer: word runs or runs of other non-space chars.
     ``specials`` are matched first and kept whole (added special tokens)."""
-    return F.regexp_extract_all(text, F.lit(piece_pattern(specials)), 0)
+    return F.regexp_extract_all(text, F.lit(java(piece_pattern(specials))), 0)
 
 
 def piece_pattern(specials: Sequence[str] = ()) -> str:

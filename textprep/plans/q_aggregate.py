@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from textprep.functions.text import PAT, WORD, WORD_CHARS, SPACE_CHARS
+from textprep.functions.text import PAT, SPACE_CHARS, WORD, WORD_CHARS, java
 from textprep.operators import aggregates as A
 from textprep.operators.order import running_max_records
 from textprep.plans import fixtures_sql as X
@@ -57,7 +57,7 @@ def _corr(spark, sf):
           "AS token FROM documents) GROUP BY token")
 def _word_counts(spark, sf):
     docs = table(spark, sf, "documents")
-    return A.word_counts(F.regexp_extract_all(F.col("text"), F.lit(WS_PIECE), 0), docs)
+    return A.word_counts(F.regexp_extract_all(F.col("text"), F.lit(java(WS_PIECE)), 0), docs)
 
 
 @register("group_collect", "SELECT l_orderkey, array_to_string(list('w' || CAST(l_partkey AS VARCHAR) ORDER BY l_linenumber, "

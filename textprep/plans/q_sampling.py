@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from textprep.functions.arrays import one_hot, pad_truncate
-from textprep.functions.text import PAT, split_whitespace
+from textprep.functions.text import PAT, java, split_whitespace
 from textprep.operators import sampling as SM
 from textprep.operators.order import ffill
 from textprep.plans import fixtures_sql as X
@@ -94,7 +94,7 @@ def _errors(spark, sf):
 def _top_k(spark, sf):
     from textprep.operators.aggregates import word_counts
 
-    wc = word_counts(F.regexp_extract_all(F.col("text"), F.lit(WS_PIECE), 0), table(spark, sf, "documents"))
+    wc = word_counts(F.regexp_extract_all(F.col("text"), F.lit(java(WS_PIECE)), 0), table(spark, sf, "documents"))
     return SM.vocab_top_k(wc, 50)
 
 

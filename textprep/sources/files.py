@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from textprep.functions.text import PAT
+from textprep.functions.text import PAT, java
 from textprep.operators.order import dense_index
 from textprep.operators.relational import checked_broadcast
 from textprep.session import ensure_checkpoint_dir
@@ -80,7 +80,7 @@ def read_text_lines(spark: SparkSession, path: str, strip: bool = True, drop_bla
     first = numbered.groupBy("file").agg(F.min("_g").alias("_f"))
     out = numbered.join(checked_broadcast(first), "file").select("file", (F.col("_g") - F.col("_f")).alias("line_no"), "line")
     if strip:
-        out = out.withColumn("line", F.regexp_replace("line", F.lit(PAT["strip"]), F.lit("")))
+        out = out.withColumn("line", F.regexp_replace("line", F.lit(java(PAT["strip"])), F.lit("")))
     if underscore_to_space:
         out = out.withColumn("line", F.translate("line", "_", " "))
     if drop_blank:
