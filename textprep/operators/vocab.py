@@ -89,14 +89,12 @@ def encode_tokens(df: DataFrame, key: str, tokens: str, vocab: DataFrame, unk_id
 
     posexplode, broadcast join with the size-checked vocabulary, and an ordered
     regroup by the row key (one group = one row's tokens)."""
-    ex = df.select(key, F.posexplode(F.col(tokens)).alias("pos", "token"))
+    # posexplode_outer keeps rows without tokens (one null entry, skipped below)
+    ex = df.select(key, F.posexplode_outer(F.col(tokens)).alias("pos", "token"))
     joined = ex.join(checked_broadcast(vocab.select("token", "id")), "token", "left")
-    grouped = joined.groupBy(key).agg(
-        F.array_sort(F.collect_list(F.struct("pos", F.coalesce("id", F.lit(unk_id)).alias("id")))).alias("_p"))
-    ids = grouped.select(key, F.col("_p.id").alias(out))
-    # rows with no tokens get an empty array
-    return df.select(key).join(ids, key, "left").select(
-        key, F.coalesce(F.col(out), F.array().cast("array<int>")).alias(out))
+    entry = F.when(F.col("pos").isNotNull(), F.struct("pos", F.coalesce("id", F.lit(unk_id)).alias("id")))
+    grouped = joined.groupBy(key).agg(F.array_sort(F.collect_list(entry)).alias("_p"))
+    return grouped.select(key, F.col("_p.id").cast("array<int>").alias(out))
 
 
 def wordlevel_encode(df: DataFrame, key: str, text_col: str, vocab: DataFrame, length: int,
@@ -112,14 +110,15 @@ def decode_ids(df: DataFrame, key: str, ids: str, vocab: DataFrame, skip_ids: Se
                continuation: str | None = None, out: str = "text") -> DataFrame:
     """Ids -> text joined by spaces; special ids skipped; ``continuation`` (e.g.
     ``##``) pieces are glued to the previous piece."""
-    ex = df.select(key, F.posexplode(F.col(ids)).alias("pos", "id")).where(~F.col("id").isin(list(skip_ids)))
+    ex = df.select(key, F.posexplode_outer(F.col(ids)).alias("pos", "id"))
+    ex = ex.where(F.col("pos").isNull() | ~F.col("id").isin(list(skip_ids)))
     joined = ex.join(checked_broadcast(vocab.select("id", "token")), "id", "left")
-    grouped = joined.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("pos", "token"))).alias("_p"))
+    entry = F.when(F.col("pos").isNotNull(), F.struct("pos", "token"))
+    grouped = joined.groupBy(key).agg(F.array_sort(F.collect_list(entry)).alias("_p"))
     text = F.array_join(F.col("_p.token"), " ")
     if continuation:
         text = F.regexp_replace(text, F.lit(" " + re.escape(continuation)), F.lit(""))
-    dec = grouped.select(key, text.alias(out))
-    return df.select(key).join(dec, key, "left").select(key, F.coalesce(F.col(out), F.lit("")).alias(out))
+    return grouped.select(key, text.alias(out))
 
 
 # --- BPE / WordPiece ----------------------------------------------------------------
