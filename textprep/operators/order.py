@@ -22,9 +22,6 @@ from pyspark.sql import functions as F
 
 from textprep.session import ensure_checkpoint_dir
 
-_BUCKET_BITS = 16
-
-
 def _cols(order_cols) -> list[Column]:
     return [F.col(c) if isinstance(c, str) else c for c in order_cols]
 

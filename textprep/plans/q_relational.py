@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from textprep.functions.rnd import seeded_bits
 from textprep.operators import relational as R
 from textprep.operators.aggregates import distinct_first_seen_ids
 from textprep.operators.sampling import pair_within_label, split_fraction
@@ -180,5 +179,3 @@ def _union_missing(spark, sf):
     extra = table(spark, sf, "benchmark").select("text", F.lit("en").alias("lang"))
     return R.union_missing_cols(docs, extra)
 
-
-__all__ = ["seeded_bits"]

@@ -7,7 +7,7 @@ and the elongation rule as a list filter over characters."""
 
 from __future__ import annotations
 
-from textprep.functions.text import PAT, SPACE, SPACE_CHARS, WORD, WORD_CHARS, python_digit_class
+from textprep.functions.text import PAT, SPACE_CHARS, WORD_CHARS, python_digit_class
 
 
 def q(s: str) -> str:
@@ -116,5 +116,3 @@ def cte_chain(source_sql: str, key_cols: str, text_expr: str, steps, out_name: s
         parts.append(f"c{i} AS (SELECT {key_cols}, {fn('t')} AS t FROM c{i - 1})")
     return "WITH " + ",\n".join(parts) + f"\nSELECT {key_cols}, t AS {out_name} FROM c{len(steps)}"
 
-
-__all__ = ["q", "rx", "chain", "cte_chain", "SPACE", "SPACE_CHARS", "WORD", "WORD_CHARS"]
