@@ -47,8 +47,10 @@ def flagship(spark, sf):
     first-seen language ids learned on train -> lookup join."""
     docs = table(spark, sf, "documents").select("doc_id", "lang", text_normalize(F.col("text")).alias("clean"))
     # the split runs a few bounded histogram jobs over this frame: clean once and
-    # keep the narrow result (memory, spilling to disk; lineage rebuilds lost blocks)
-    docs = docs.where(F.col("clean") != "").persist(StorageLevel.MEMORY_AND_DISK)
+    # keep the narrow result (memory, spilling to disk; lineage rebuilds lost blocks).
+    # Persist *before* filtering on ``clean``: a filter on the cleaned text would be
+    # pushed below the exchange that spreads the scan, re-running the chain there.
+    docs = docs.persist(StorageLevel.MEMORY_AND_DISK).where(F.col("clean") != "")
     parts = split_fraction(docs, "doc_id", 0.2, 42)
     codes = distinct_first_seen_ids(parts.where(F.col("part") == "train"), "lang", "doc_id")
     codes = codes.select(F.col("value").alias("lang"), F.col("id").alias("lang_id"))
