@@ -123,6 +123,14 @@ def ffill(df: DataFrame, order_cols: Sequence, cols: Sequence[str] | None = None
     order_names = [c for c in order_cols if isinstance(c, str)]
     cols = list(cols) if cols is not None else [c for c in df.columns if c not in order_names]
     laid = ordered_layout(df, order_cols, num_partitions)
+    return ffill_laid(laid, cols).select(*df.columns)
+
+
+def ffill_laid(laid: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """``ffill`` on a frame already produced by ``ordered_layout`` (keeps
+    ``_part`` / ``_seq``, so later steps can reuse the same global order:
+    ``_seq`` is monotone across partitions because partitions are ranges)."""
+    cols = list(cols)
     w_in = Window.partitionBy("_part").orderBy("_seq").rowsBetween(Window.unboundedPreceding, 0)
     filled = laid.select(
         *[c for c in laid.columns if c not in cols],
@@ -137,11 +145,10 @@ def ffill(df: DataFrame, order_cols: Sequence, cols: Sequence[str] | None = None
         "_part",
         *[F.last(F.col(f"_l_{c}")[c], ignorenulls=True).over(w_prev).alias(f"_c_{c}") for c in cols],
     )
-    out = filled.join(F.broadcast(carry), "_part", "left").select(
-        *[c for c in df.columns if c not in cols],
+    return filled.join(F.broadcast(carry), "_part", "left").select(
+        *[c for c in laid.columns if c not in cols],
         *[F.coalesce(F.col(c), F.col(f"_c_{c}")).alias(c) for c in cols],
     )
-    return out.select(*df.columns)
 
 
 def running_max_records(df: DataFrame, order_cols: Sequence, value: str, name: str = "is_record",

@@ -19,7 +19,7 @@ from textprep.operators.aggregates import (
 from textprep.operators.features import standard_scale
 from textprep.operators.metrics import accuracy_micro, bleu_corpus
 from textprep.operators.models import assemble, decision_tree, random_forest, tabular_logreg
-from textprep.operators.order import ffill
+from textprep.operators.order import ffill_laid, ordered_layout
 from textprep.operators.sampling import class_cap_rebalance, split_fraction, split_ordered, split_three_way
 from textprep.operators.vocab import (
     bpe_train,
@@ -139,11 +139,14 @@ _POS_ORDER = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
 def pos_tagging_prep(spark, sf):
     toks = TB.sparse_key_tokens(spark, sf)
     kept = R.filter_not_in(toks, "pos_tag", DROP_POS)
-    tag_ids = distinct_first_seen_ids(kept, "tag", _POS_ORDER).select(F.col("value").alias("tag"), F.col("id").alias("tag_id"))
-    pos_ids = distinct_first_seen_ids(kept, "pos_tag", _POS_ORDER).select(F.col("value").alias("pos_tag"), F.col("id").alias("pos_id"))
-    filled = ffill(kept, _POS_ORDER, cols=["sentence"])
+    # one range-partitioned, checkpointed layout serves every order-dependent step:
+    # its ``_seq`` is a single bigint that is monotone in the token order
+    laid = ordered_layout(kept, _POS_ORDER)
+    tag_ids = distinct_first_seen_ids(laid, "tag", "_seq").select(F.col("value").alias("tag"), F.col("id").alias("tag_id"))
+    pos_ids = distinct_first_seen_ids(laid, "pos_tag", "_seq").select(F.col("value").alias("pos_tag"), F.col("id").alias("pos_id"))
+    filled = ffill_laid(laid, ["sentence"])
     coded = R.lookup_join(R.lookup_join(filled, tag_ids, "tag"), pos_ids, "pos_tag")
-    g = group_collect(coded, "sentence", _POS_ORDER, ["word", "tag", "pos_tag", "tag_id", "pos_id"])
+    g = group_collect(coded, "sentence", ["_seq"], ["word", "tag", "pos_tag", "tag_id", "pos_id"])
     return g.select(
         "sentence",
         F.array_join(F.col("_rows.word"), " ").alias("words"),
