@@ -232,8 +232,10 @@ def bpe_train(counts: DataFrame, vocab_size: int, specials: Sequence[str] = DEFA
         for ia, ib, nid in accepted:
             col = F.regexp_replace(col, F.lit(f"(?<=^| ){ia} {ib}(?= |$)"), F.lit(str(nid)))
         rounds += 1
-        # a word that is one symbol has no pairs left: drop it from the working set
-        nxt = words.select(col.alias("syms"), "freq").where(F.instr("syms", " ") > 0)
+        # a word that is one symbol has no pairs left: drop it from the working set.
+        # Filter the input (not the rewritten column) so the rewrite is not inlined
+        # into the filter and evaluated twice; words emptied now go next round.
+        nxt = words.where(F.instr("syms", " ") > 0).select(col.alias("syms"), "freq")
         cached = current_cache
         if rounds % checkpoint_every == 0:
             words = nxt.checkpoint(eager=True)
