@@ -101,3 +101,12 @@ def test_cutmix_parents_share_label(spark):
     lang = docs.select("text", "lang").toPandas().drop_duplicates("text").set_index("text")["lang"]
     assert (pairs["text_a"].map(lang) == pairs["lang"]).all()
     assert (pairs["text_b"].map(lang) == pairs["lang"]).all()
+
+
+def test_kth_cut_with_tied_values(spark):
+    # user_id repeats: the cut must break ties by the tie key and stay exact
+    ev = table(spark, SF001, "events").select("event_id", "user_id")
+    pdf = ev.toPandas().sort_values(["user_id", "event_id"])
+    for k in (1, 5, 37, len(pdf) // 3):
+        got = ev.where(O.kth_cut(ev, F.col("user_id"), F.col("event_id"), k)).toPandas()
+        assert sorted(got["event_id"]) == sorted(pdf.head(k)["event_id"])
