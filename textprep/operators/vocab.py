@@ -89,8 +89,11 @@ def encode_tokens(df: DataFrame, key: str, tokens: str, vocab: DataFrame, unk_id
 
     posexplode, broadcast join with the size-checked vocabulary, and an ordered
     regroup by the row key (one group = one row's tokens)."""
-    # posexplode_outer keeps rows without tokens (one null entry, skipped below)
-    ex = df.select(key, F.posexplode_outer(F.col(tokens)).alias("pos", "token"))
+    # Hash-partition the token *arrays* by row key first: explode and the broadcast
+    # join keep that partitioning, so the regroup below needs no exchange, and the
+    # shuffle moves compact arrays instead of one row per token.
+    # posexplode_outer keeps rows without tokens (one null entry, skipped below).
+    ex = df.repartition(key).select(key, F.posexplode_outer(F.col(tokens)).alias("pos", "token"))
     joined = ex.join(checked_broadcast(vocab.select("token", "id")), "token", "left")
     entry = F.when(F.col("pos").isNotNull(), F.struct("pos", F.coalesce("id", F.lit(unk_id)).alias("id")))
     grouped = joined.groupBy(key).agg(F.array_sort(F.collect_list(entry)).alias("_p"))
