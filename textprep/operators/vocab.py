@@ -113,7 +113,7 @@ def decode_ids(df: DataFrame, key: str, ids: str, vocab: DataFrame, skip_ids: Se
                continuation: str | None = None, out: str = "text") -> DataFrame:
     """Ids -> text joined by spaces; special ids skipped; ``continuation`` (e.g.
     ``##``) pieces are glued to the previous piece."""
-    ex = df.select(key, F.posexplode_outer(F.col(ids)).alias("pos", "id"))
+    ex = df.repartition(key).select(key, F.posexplode_outer(F.col(ids)).alias("pos", "id"))
     ex = ex.where(F.col("pos").isNull() | ~F.col("id").isin(list(skip_ids)))
     joined = ex.join(checked_broadcast(vocab.select("id", "token")), "id", "left")
     entry = F.when(F.col("pos").isNotNull(), F.struct("pos", "token"))
