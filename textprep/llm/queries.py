@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textprep.llm import chat, langid, mixing, sharding, token_counts
+from textprep.llm import chat, decontamination, jaccard_join, langid, mixing, sharding, token_counts
 from textprep.llm.common import pinned, read_table
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
@@ -28,6 +28,11 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("id").alias("doc_id"), "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontamination.contaminations(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"), ["doc_id"])
+    return found.select("row.doc_id", "item_id", "item_tokens", "matched_tokens", "n_tiles", "coverage")
+
+
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
     docs = read_table(spark, sf_dir, "documents").select(
@@ -44,6 +49,11 @@ def op5_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs, model, keep=["doc_id", "held_out"])
 
 
+def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = jaccard_join.jaccard_classes(read_table(spark, sf_dir, "documents"))
+    return found.select(F.col("id").alias("doc_id"), "class_id", "copies", "n_links")
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str, vocabulary: str = VOCABULARY) -> DataFrame:
     automaton = token_counts.build(token_counts.sentencepiece_pieces(vocabulary), suffix_indicator="", word_prefix="▁")
     return token_counts.token_counts(read_table(spark, sf_dir, "documents"), automaton, keep=["doc_id"])
@@ -75,8 +85,10 @@ FROM rows GROUP BY conv_id
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
+    "op2_decontamination": op2_decontamination,
     "op4_sharding": op4_sharding,
     "op5_langid": op5_langid,
+    "op7_jaccard_join": op7_jaccard_join,
     "op8_token_counts": op8_token_counts,
     "op9_chat": op9_chat,
 }
