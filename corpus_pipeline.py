@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textprep.llm import langid, mixing, sharding
+from textprep.llm import decontamination, jaccard_join, langid, mixing, sharding
 from textprep.llm.common import explode_count, pinned, read_table
 from textprep.llm.queries import N_SHARDS, SOURCE_WEIGHTS, id_remainder
 
@@ -25,6 +25,16 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return scored.where((F.col("lang_pred") != langid.UNDETERMINED) & (F.col("score") >= MIN_LANG_SCORE)).select("doc.*")
 
 
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of texts linked by a Jaccard similarity of 0.8 or more."""
+    return jaccard_join.keep_one_per_class(docs)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops the documents that hold a benchmark item."""
+    return decontamination.drop_contaminated(docs, read_table(spark, sf_dir, "benchmark"))
+
+
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it (0 to 2 times)."""
     doc = docs.select(F.struct(*docs.columns).alias("doc"), "doc_id", "text", "source")
@@ -39,6 +49,8 @@ def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [
     ("language ID", language_id),
+    ("n-gram Jaccard join", near_duplicates),
+    ("benchmark decontamination", decontaminate),
     ("mixing sources to target weights", mix_sources),
     ("sharding", shard),
 ]
