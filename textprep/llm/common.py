@@ -116,8 +116,8 @@ def string_buffers(column) -> tuple[np.ndarray, np.ndarray]:
     return raw[off[0]: off[-1]], off - off[0]
 
 
-def _hash_block(raw: np.ndarray, starts_doc: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Start position and hash of each word; ``starts_doc``: positions where a text begins."""
+def _hash_block(raw: np.ndarray, starts_doc: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start, hash and last two bytes of each word; ``starts_doc``: positions where a text begins."""
     norm = table[raw]
     inside = norm != 0x20
     begin = inside.copy()
@@ -128,20 +128,27 @@ def _hash_block(raw: np.ndarray, starts_doc: np.ndarray, table: np.ndarray) -> t
     last[:-1] &= ~inside[1:] | begin[1:]
     s, e = np.flatnonzero(begin), np.flatnonzero(last) + 1
     if len(s) == 0:
-        return s, np.zeros(0, np.uint64)
+        return s, np.zeros(0, np.uint64), np.zeros(0, np.int64)
     total = np.zeros(len(raw) + 1, np.uint64)
     np.cumsum(_BYTE_VALUE[norm] * _power_table(_MULT, len(raw)), out=total[1:])
     h = (total[e] - total[s]) * _power_table(_INV, len(raw))[s]
-    return s, mix64(h + (e - s).astype(np.uint64) * np.uint64(_MULT))
+    ending = norm[e - 1].astype(np.int64) + np.where(e - s > 1, norm[np.maximum(e - 2, 0)].astype(np.int64) << 8, 0)
+    return s, mix64(h + (e - s).astype(np.uint64) * np.uint64(_MULT)), ending
 
 
 def word_hashes(column, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(64-bit hash of each word of the batch, in order; n + 1 word offsets of the texts).
+    """(64-bit hash of each word of the batch, in order; n + 1 word offsets of the texts)."""
+    return words_with_endings(column, table)[:2]
+
+
+def words_with_endings(column, table: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(64-bit hash of each word of the batch, in order; n + 1 word offsets of the texts;
+    each word's last two bytes as a number).
 
     A Karp-Rabin prefix sum over the column's bytes gives every word's hash without
     building a string.  The hash depends on the word's normalised bytes alone."""
     raw, off = string_buffers(column)
-    starts, hashes = [], []
+    starts, hashes, endings = [], [], []
     lo = 0
     while lo < len(raw):
         hi = min(len(raw), lo + BLOCK_BYTES)
@@ -158,12 +165,15 @@ def word_hashes(column, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
                     cut = min(ends) if ends else (len(raw) if hi == len(raw) else 0)
             hi = int(cut)
         inner = off[(off >= lo) & (off < hi)] - lo
-        s, h = _hash_block(raw[lo:hi], inner, table)
+        s, h, end = _hash_block(raw[lo:hi], inner, table)
         starts.append(s + lo)
         hashes.append(h)
+        endings.append(end)
         lo = hi
     pos = np.concatenate(starts) if starts else np.zeros(0, np.int64)
-    return (np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)), np.searchsorted(pos, off)
+    if not hashes:
+        return np.zeros(0, np.uint64), np.searchsorted(pos, off), np.zeros(0, np.int64)
+    return np.concatenate(hashes), np.searchsorted(pos, off), np.concatenate(endings)
 
 
 def ngram_hashes(words: np.ndarray, n: int) -> np.ndarray:

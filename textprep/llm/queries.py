@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textprep.llm import chat, decontamination, jaccard_join, langid, mixing, sharding, token_counts
+from textprep.llm import brown, chat, decontamination, jaccard_join, langid, mixing, sharding, token_counts
 from textprep.llm.common import pinned, read_table
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
@@ -33,6 +33,14 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("row.doc_id", "item_id", "item_tokens", "matched_tokens", "n_tiles", "coverage")
 
 
+def op3_brown_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").withColumn("held_out", id_remainder(F.col("doc_id"), 7) == 2)
+    model = brown.fit(docs.where("not held_out"))
+    return brown.score(docs, model, ["doc_id", "held_out"]).select(
+        "row.doc_id", "row.held_out", "n_tokens", "n_known", F.lit(model.tokens).cast("bigint").alias("train_tokens"),
+        F.col("unigram_score").alias("base_score"), "score")
+
+
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
     docs = read_table(spark, sf_dir, "documents").select(
@@ -86,6 +94,7 @@ FROM rows GROUP BY conv_id
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
     "op2_decontamination": op2_decontamination,
+    "op3_brown_lm": op3_brown_lm,
     "op4_sharding": op4_sharding,
     "op5_langid": op5_langid,
     "op7_jaccard_join": op7_jaccard_join,
