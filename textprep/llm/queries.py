@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textprep.llm import brown, chat, decontamination, jaccard_join, langid, mixing, sharding, token_counts
+from textprep.llm import ann_tree, brown, chat, decontamination, jaccard_join, langid, mixing, quality_kn, sharding, token_counts
 from textprep.llm.common import pinned, read_table
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
@@ -57,6 +57,11 @@ def op5_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs, model, keep=["doc_id", "held_out"])
 
 
+def op6_ann_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read_table(spark, sf_dir, "embeddings")
+    return ann_tree.nearest(rows, F.coalesce(F.col("vec_id") % 20 == 0, F.lit(False)), k=20)
+
+
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = jaccard_join.jaccard_classes(read_table(spark, sf_dir, "documents"))
     return found.select(F.col("id").alias("doc_id"), "class_id", "copies", "n_links")
@@ -77,6 +82,11 @@ def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.render_conversations(chat.delta_events(messages)))
 
 
+def op10_quality_kn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = quality_kn.classify(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"), ["doc_id"])
+    return found.select("row.doc_id", "lang", "n_tokens", "log10_prob", "log10_perplexity", "threshold", "keep")
+
+
 OP9_SQL = r"""
 WITH rows AS (
     SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
@@ -97,9 +107,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_brown_lm": op3_brown_lm,
     "op4_sharding": op4_sharding,
     "op5_langid": op5_langid,
+    "op6_ann_tree": op6_ann_tree,
     "op7_jaccard_join": op7_jaccard_join,
     "op8_token_counts": op8_token_counts,
     "op9_chat": op9_chat,
+    "op10_quality_kn": op10_quality_kn,
 }
 
 ORACLES: dict[str, str] = {
