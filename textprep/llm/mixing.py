@@ -5,8 +5,8 @@ T_s words" and ``r <= cap``: the solution is ``r = min(cap, exp(lambda_s * size
 with lambda_s from the convex dual.  The rate depends on (source, size) alone, so the
 table of those cells with their row counts is all that the Newton iterations read; each
 iteration is one aggregation to one row per source.  Rates are rounded into whole copies
-cell by cell, longest texts first, carrying the error on, so a source ends within a short
-text of its target; inside a cell the documents with the smallest hashes take the extra copy.
+cell by cell, longest texts first, carrying the error on; a second pass takes what is left
+of it by any copies up to the cap, so a source ends within a short text of its target; inside a cell the documents with the smallest hashes take the extra copy.
 
 Bounds: sources are the mix's configuration, at most ``MAX_SOURCES`` (an error beyond);
 cells are at most sources x different text lengths, and are never collected.
@@ -140,17 +140,24 @@ def mix_plan(rows: DataFrame, weights: Callable[[int], list[float]], total_share
         rate = np.minimum(float(cap), np.exp(np.minimum(700.0, lam[sid] * (size / means[sid])))) if math.isfinite(lam[sid]) \
             else np.full(len(size), float(cap) if lam[sid] > 0 else 0.0)
         rate[size == 0] = 1.0
-        lo = np.minimum(np.floor(rate), cap)
-        extra = np.zeros(len(size), np.int64)
+        least = np.minimum(np.floor(rate), cap).astype(np.int64) * n
+        most = np.minimum(np.ceil(rate), cap).astype(np.int64) * n
+        copies = least.copy()
         carry = 0.0
-        for k in range(len(size)):
-            if size[k] == 0:
-                continue
-            want = carry + rate[k] * n[k] * size[k]
-            most = n[k] if lo[k] < cap else 0
-            extra[k] = min(max(round(want / size[k]) - lo[k] * n[k], 0), most)
-            carry = want - (lo[k] * n[k] + extra[k]) * size[k]
-        return cell.assign(rate=rate, lo=lo.astype(np.int64), extra=extra)[
+        for low, high in ((least, most), (0 * n, cap * n)):  # then the rest of the error, by any copies up to the cap
+            for k in range(len(size)):
+                if size[k]:
+                    if low is least:
+                        want = carry + rate[k] * n[k] * size[k]
+                        copies[k] = min(max(round(want / size[k]), low[k]), high[k])
+                        carry = want - copies[k] * size[k]
+                    elif abs(carry) >= size[k] / 2:
+                        now = min(max(copies[k] + round(carry / size[k]), low[k]), high[k])
+                        carry -= (now - copies[k]) * size[k]
+                        copies[k] = now
+        copies[size == 0] = n[size == 0]
+        lo, extra = copies // n, copies % n
+        return cell.assign(rate=rate, lo=lo, extra=extra)[
             ["sid", "source", "size", "n", "source_size", "target", "rate", "lo", "extra"]]
 
     plan = pinned(cells.groupBy("sid").applyInPandas(
