@@ -161,7 +161,7 @@ def words_with_endings(column, table: np.ndarray) -> tuple[np.ndarray, np.ndarra
                     hi = min(len(raw), hi + BLOCK_BYTES)
                     nxt = off[(off > lo) & (off <= hi)]
                     piece = np.flatnonzero(table[raw[lo:hi]] == 0x20)
-                    ends = [int(nxt[0])] * bool(len(nxt)) + [lo + int(piece[0]) + 1] * bool(len(piece))
+                    ends = [*map(int, nxt[:1]), *(lo + 1 + int(p) for p in piece[:1])]
                     cut = min(ends) if ends else (len(raw) if hi == len(raw) else 0)
             hi = int(cut)
         inner = off[(off >= lo) & (off < hi)] - lo
