@@ -110,3 +110,58 @@ def test_kth_cut_with_tied_values(spark):
     for k in (1, 5, 37, len(pdf) // 3):
         got = ev.where(O.kth_cut(ev, F.col("user_id"), F.col("event_id"), k)).toPandas()
         assert sorted(got["event_id"]) == sorted(pdf.head(k)["event_id"])
+
+
+def test_kth_cut_of_wide_and_negative_keys_stays_bounded(spark, monkeypatch):
+    monkeypatch.setattr(O, "FEW_ROWS", 50)
+    values = [(i - 3000) * (1 << 40) for i in range(6000)] + [-(1 << 63), (1 << 63) - 1, 7, 7, 7] + [5] * 300
+    df = spark.createDataFrame([(v, i) for i, v in enumerate(values)] + [(None, 10_000)], "v bigint, k bigint")
+    order = sorted((v, i) for i, v in enumerate(values))
+    for k in (1, 2, 2999, 3100, 3310, 6000, len(values) - 1, len(values)):
+        got = df.where(O.kth_cut(df, F.col("v"), F.col("k"), k)).collect()
+        assert sorted(map(tuple, got)) == order[:k]
+
+
+def test_rows_without_a_position_are_in_the_tail(spark):
+    df = spark.createDataFrame([(1,), (2,), (None,), (3,)], "p bigint")
+    assert SM.slice_by_position(df, "p", 2, "head").count() == 2
+    assert sorted(r.p or 0 for r in SM.slice_by_position(df, "p", 2, "tail").collect()) == [0, 3]
+
+
+def test_swap_of_rows_without_tokens(spark):
+    df = spark.createDataFrame([(1, [], [1.0, 0.0]), (2, [4, 5], [0.0, 1.0])], "k bigint, ids array<int>, y array<double>")
+    got = {r.k: r for r in SM.token_swap_mix(df, "k", "ids", "y").collect()}
+    assert got[1].swap_frac == 0.0 and got[1].mixed_labels == [1.0, 0.0]
+
+
+def test_blank_lines_of_any_white_space_shift_the_pairs(spark):
+    from textprep.operators.relational import zip_align
+
+    a = spark.createDataFrame([(0, "a0"), (1, "\t"), (2, "\u3000 "), (3, "a3")], "n bigint, text string")
+    b = spark.createDataFrame([(0, "b0"), (1, "b1")], "n bigint, text string")
+    assert sorted((r.src, r.tgt) for r in zip_align(a, b, "n").collect()) == [("a0", "b0"), ("a3", "b1")]
+
+
+def test_text_lines_are_numbered_per_file_without_a_shuffle_of_lines(spark):
+    from textprep.sources.files import read_text_lines, scratch_path
+
+    path = scratch_path(spark, "numbered")
+    spark.createDataFrame([(i, f"line {i}") for i in range(2000)], "i int, t string").coalesce(1).select("t").write.text(path)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        lines = read_text_lines(spark, path)
+        assert spark.read.text(path).rdd.getNumPartitions() > 3  # the file is read in several splits
+        assert sorted((r.line_no, r.line) for r in lines.collect()) == [(i, f"line {i}") for i in range(2000)]
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_smoothed_bleu(spark):
+    from textprep.operators.metrics import bleu_corpus
+
+    df = spark.createDataFrame([(1, "the cat sat on the mat", "the cat sat on the mat"), (2, "a b c d", "x b y d")], "k int, h string, r string")
+    assert abs(bleu_corpus(df.where("k = 1"), "k", "h", "r", smooth=True).first()["bleu"] - 100.0) < 1e-9
+    # matches 2 of 4, 0 of 3, 0 of 2, 0 of 1: the empty orders count 1/2, 1/4, 1/8
+    want = 100 * (2 / 4 * (0.5 / 3) * (0.25 / 2) * (0.125 / 1)) ** 0.25
+    assert abs(bleu_corpus(df.where("k = 2"), "k", "h", "r", smooth=True).first()["bleu"] - want) < 1e-9
+    assert bleu_corpus(df.where("k = 2"), "k", "h", "r").first()["bleu"] == 0.0

@@ -12,3 +12,11 @@ def test_stream_equals_batch(spark):
     out = run_parquet_stream(spark, src, "doc_id bigint, text string", "doc_id", scratch_path(spark, "stream-out"))
     batch = spark.read.parquet(src).select("doc_id", text_normalize(F.col("text")).alias("clean"))
     assert sorted(map(tuple, out.collect())) == sorted(map(tuple, batch.collect()))
+
+
+def test_restart_goes_on_with_new_files(spark):
+    src, sink, ckpt = (scratch_path(spark, f"stream-{x}") for x in ("restart-src", "restart-out", "restart-ckpt"))
+    for n in (3, 3):  # two runs of the job, new rows before each
+        spark.createDataFrame([(i, f"Text {i}") for i in range(n)], "doc_id bigint, text string").write.mode("append").parquet(src)
+        out = run_parquet_stream(spark, src, "doc_id bigint, text string", "doc_id", sink, checkpoint=ckpt)
+    assert out.count() == 6

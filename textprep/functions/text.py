@@ -30,6 +30,8 @@ SPACE_CHARS = (
 WORD_CHARS = r"\p{L}\p{N}_"
 # string.punctuation: !"#$%&'()*+,-./:;<=>?@[\]^_`{|}~  (32 ASCII characters)
 PUNCT_CLASS = r"""[!"#$%&'()*+,\-./:;<=>?@\[\\\]^_`{|}~]"""
+# the characters of PUNCT_CLASS and CURRENCY_CLASS as a plain string
+SPACED_CHARS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~" + "€£¥₫"
 # currency symbols replaced by a space
 CURRENCY_CLASS = "[$€£¥₫]"
 # space separators other than U+0020 (category Zs), deleted as non-printable
@@ -210,10 +212,10 @@ def text_normalize(
     if remove_hashtags:
         t = norm_hashtags(t, keep_word=(variant == "A"))
     t = norm_phones(t, variant)
-    t = norm_currency(t)
-    t = norm_punct(t)
+    # currency signs and punctuation both become spaces: one table for both.  With the
+    # punctuation gone, the step for repeated marks has nothing left to match
+    t = F.translate(t, SPACED_CHARS, " " * len(SPACED_CHARS))
     t = norm_nonprintable(t)
-    t = norm_repeat_punct(t, variant)
     if variant == "A":
         t = norm_elongated(t)
     if remove_numbers:
@@ -274,29 +276,56 @@ def pretokenize(col: Column, mode: str = "whitespace") -> Column:
     return F.regexp_extract_all(col, F.lit(java(pat)), 0)
 
 
+def _without_marks(ch: str) -> str:
+    return "".join(c for c in unicodedata.normalize("NFD", ch) if unicodedata.category(c) != "Mn")
+
+
 @functools.lru_cache(maxsize=None)
-def accent_table() -> tuple[str, str]:
-    """Accent-stripping translate table for Latin letters, built by rule:
-    NFD-decompose each letter and keep it when exactly one base char remains."""
-    src, dst = [], []
-    for lo, hi in ((0x00C0, 0x024F), (0x1E00, 0x1EFF)):
-        for cp in range(lo, hi + 1):
-            ch = chr(cp)
-            base = "".join(c for c in unicodedata.normalize("NFD", ch) if unicodedata.category(c) != "Mn")
-            if len(base) == 1 and base != ch:
-                src.append(ch)
-                dst.append(base)
-    return "".join(src), "".join(dst)
+def accent_table() -> tuple[str, str, dict[str, str]]:
+    """Accent stripping by rule over all code points (NFD, then drop the combining marks):
+    a translate table for characters that leave one base character, and the few that
+    leave several.  Hangul syllables are decomposed by arithmetic in ``bert_normalize``."""
+    src, dst, several = [], [], {}
+    for cp in range(0xC0, sys.maxunicode + 1):
+        if 0xAC00 <= cp <= 0xD7A3 or 0xD800 <= cp <= 0xDFFF:
+            continue
+        ch = chr(cp)
+        base = _without_marks(ch)
+        if len(base) == 1 and base != ch:
+            src.append(ch)
+            dst.append(base)
+        elif len(base) > 1:
+            several[ch] = base
+    return "".join(src), "".join(dst), several
+
+
+def _decompose(col: Column) -> Column:
+    """Hangul syllables to their letters (NFD), and characters that leave several; texts
+    without any are passed on unread."""
+    several = accent_table()[2]
+    pairs = F.create_map(*[F.lit(x) for kv in several.items() for x in kv])
+
+    def letters(first: int, n: int) -> Column:
+        return F.array(*[F.lit(chr(first + i)) for i in range(n)])
+
+    def one(c: Column) -> Column:
+        i = F.ascii(c) - F.lit(0xAC00)
+        tail = F.get(F.concat(F.array(F.lit("")), letters(0x11A8, 27)), (i % 28).cast("int"))
+        jamo = F.concat(F.get(letters(0x1100, 19), F.floor(i / 588).cast("int")), F.get(letters(0x1161, 21), F.floor((i % 588) / 28).cast("int")), tail)
+        return F.when(i.between(0, 11171), jamo).otherwise(F.coalesce(F.try_element_at(pairs, c), c))
+
+    rare = "[\\x{AC00}-\\x{D7A3}" + "".join(f"\\x{{{ord(c):X}}}" for c in several) + "]"
+    spelled = F.array_join(F.transform(F.regexp_extract_all(col, F.lit("(?s)."), F.lit(0)), one), "")
+    return F.when(col.rlike(rare), spelled).otherwise(col)
 
 
 def bert_normalize(col: Column) -> Column:
     """Clean control chars (tab/newline/CR become spaces), pad CJK ideographs with
-    spaces, strip accents (Latin letters by table, loose combining marks by
-    category), lower-case."""
+    spaces, strip accents (as NFD does, in every script), lower-case."""
     t = F.regexp_replace(col, F.lit(r"[\x{0}\x{FFFD}]|[\p{C}&&[^\t\n\r]]"), F.lit(""))
     t = F.regexp_replace(t, F.lit(r"[\t\n\r\p{Z}]"), F.lit(" "))
     cjk = "".join(f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in CJK_RANGES)
     t = F.regexp_replace(t, F.lit(f"([{cjk}])"), F.lit(" $1 "))
-    src, dst = accent_table()
-    t = F.regexp_replace(F.translate(t, src, dst), F.lit(r"\p{Mn}"), F.lit(""))
+    src, dst, _ = accent_table()
+    t = F.regexp_replace(_decompose(F.translate(t, src, dst)), F.lit(r"\p{Mn}"), F.lit(""))
     return F.lower(t)

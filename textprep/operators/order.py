@@ -3,9 +3,9 @@
 Spark rows have no position and ``row_number().over(Window.orderBy(...))``
 without ``partitionBy`` pulls every row into one task.  Instead:
 
-* ``kth_cut`` finds the exact boundary of the first ``k`` rows in an order by a
-  few histogram aggregations (each a partial + final hash aggregate that returns
-  at most ``2**16`` buckets to the driver), so "first k rows" / exact-size
+* ``kth_cut`` finds the exact boundary of the first ``k`` rows in an order by one
+  min / max / count aggregate and a histogram or two (each a partial + final hash
+  aggregate that returns at most ``2**16`` buckets), so "first k rows" / exact-size
   splits are a plain filter with no sort at all;
 * ``ordered_layout`` range-partitions on the full (unique) order key, sorts
   within partitions and pins the layout with a reliable ``checkpoint()``;
@@ -15,7 +15,7 @@ without ``partitionBy`` pulls every row into one task.  Instead:
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -28,51 +28,49 @@ def _cols(order_cols) -> list[Column]:
 
 # --- exact "first k rows" boundary -------------------------------------------
 
-def kth_cut(df: DataFrame, value: Column, tie_key: Column, k: int) -> Column:
-    """Predicate selecting exactly the ``k`` smallest rows by ``(value, tie_key)``.
-
-    ``value`` must be a non-negative bigint below 2**48 (seeded hash bits, ids,
-    row positions); ``tie_key`` breaks ties and must be unique per ``value``.
-    Three bounded aggregations: 16 high bits, then the border bucket's low bits,
-    then the border value's tie keys (only rows sharing one exact value)."""
+BUCKET_BITS = 16  # a histogram sends at most 2**16 rows to the driver
+FEW_ROWS = 4096  # a bucket of at most so many rows is read instead of cut again
+_SIGN = 1 << 63
+
+
+def kth_cut(df: DataFrame, value: Column, tie_key: Column, k: int | Callable[[int], int]) -> Column:
+    """Predicate selecting exactly the ``k`` smallest rows by ``(value, tie_key)``; ``k``
+    may be a function of the number of rows.
+
+    ``value`` may be any bigint; ``tie_key`` breaks ties and must be unique per ``value``.
+    One aggregate gives count, least and largest value.  Then histograms of at most 2**16
+    equal buckets (the next 16 bits below those that all values share) close in on the
+    bucket that holds the k-th row, until it is small enough to read or is one value.
+    Rows with a null value are never among the first."""
+    unsigned = value.cast("bigint").bitwiseXOR(F.lit(-_SIGN))  # the order of bigints as unsigned bits
+    base = df.select(value.cast("bigint").alias("_v"), unsigned.alias("_u"), tie_key.alias("_k")).where(F.col("_v").isNotNull())
+    total, low, high = base.agg(F.count(F.lit(1)), F.min("_v"), F.max("_v")).first()
+    if callable(k):
+        k = k(total)
     if k <= 0:
         return F.lit(False)
-    v = value.cast("bigint")
-    base = df.select(v.alias("_v"), tie_key.alias("_k"))
-    prefix = F.lit(True)
-    border = 0
-    remaining = k
-    # walk down 16 bits at a time from bit 48 to bit 0
-    for shift in (32, 16, 0):
-        bucket = F.shiftright(F.col("_v"), shift) if shift else F.col("_v")
-        rows = (
-            base.where(prefix)
-            .groupBy(bucket.alias("b"))
-            .agg(F.count(F.lit(1)).alias("n"))
-            .orderBy("b")
-            .collect()
-        )
-        acc = 0
-        chosen = None
-        for r in rows:
-            if acc + r["n"] >= remaining:
-                chosen = r["b"]
+    if k >= total:
+        return F.coalesce(value.isNotNull(), F.lit(False))
+    shift = ((low + _SIGN) ^ (high + _SIGN)).bit_length()  # bits that differ
+    prefix, held, before = F.lit(True), total, 0
+    while shift > 0 and held > FEW_ROWS:
+        shift = max(0, shift - BUCKET_BITS)
+        bucket = F.shiftrightunsigned(F.col("_u"), shift)
+        rows = base.where(prefix).groupBy(bucket.alias("b")).agg(F.count(F.lit(1)).alias("n")).collect()
+        for b, n in sorted((((r["b"] + (1 << 64)) % (1 << 64), r["n"]) for r in rows)):
+            if before + n >= k:
                 break
-            acc += r["n"]
-        if chosen is None:  # fewer than k rows: everything qualifies
-            return F.lit(True)
-        remaining -= acc
-        border = chosen
-        prefix = bucket == F.lit(chosen)
-    # ``border`` is now the exact value holding the k-th row; rank its tie keys
-    tie = (
-        base.where(F.col("_v") == F.lit(border))
-        .select("_k")
-        .orderBy("_k")
-        .limit(remaining)
-        .agg(F.max("_k").alias("m"))
-        .collect()[0]["m"]
-    )
+            before += n
+        signed = b - (1 << 64) if b >= _SIGN else b
+        prefix, held = bucket == F.lit(signed), n
+    need = k - before
+    inside = base.where(prefix).select("_v", "_k")
+    if held <= FEW_ROWS:
+        border, tie = sorted(map(tuple, inside.collect()))[need - 1]
+    else:  # one value with many rows: its tie keys, found the same way by sorting them in place
+        border = inside.first()["_v"]
+        tie = inside.select("_k").orderBy("_k").limit(need).agg(F.max("_k").alias("m")).first()["m"]
+    v = value.cast("bigint")
     return (v < F.lit(border)) | ((v == F.lit(border)) & (tie_key <= F.lit(tie)))
 
 

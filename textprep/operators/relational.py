@@ -7,17 +7,24 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from textprep.functions.text import PAT, java
 from textprep.operators.order import dense_index
+from textprep.session import ensure_checkpoint_dir
 
-# Upper bound (rows) for a side we broadcast; above it the join stays a
+# Upper bounds for a side we broadcast; above them the join stays a
 # shuffled join that AQE may still convert at runtime from real sizes.
 BROADCAST_MAX_ROWS = 2_000_000
+BROADCAST_MAX_BYTES = 64 << 20
 
 
-def checked_broadcast(small: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    """Broadcast hint only after counting the side (a bounded code/label table)."""
-    n = small.count()
-    return F.broadcast(small) if n <= max_rows else small
+def checked_broadcast(small: DataFrame, max_rows: int = BROADCAST_MAX_ROWS, max_bytes: int = BROADCAST_MAX_BYTES) -> DataFrame:
+    """Broadcast hint only after measuring the side's rows and bytes.  The side is learned
+    once: it is checkpointed, so neither the measure nor the join computes it again."""
+    ensure_checkpoint_dir(small.sparkSession)
+    small = small.checkpoint(eager=True)
+    width = sum((F.coalesce(F.octet_length(F.col(f"`{c}`").cast("string")), F.lit(0)) for c, t in small.dtypes if t == "string"), F.lit(16 * len(small.columns)))
+    n, size = small.agg(F.count(F.lit(1)), F.sum(width)).first()
+    return F.broadcast(small) if n <= max_rows and (size or 0) <= max_bytes else small
 
 
 def select_drop(df: DataFrame, keep: Sequence[str] | None = None, drop: Sequence[str] = ()) -> DataFrame:
@@ -107,9 +114,10 @@ def zip_align(src: DataFrame, tgt: DataFrame, order_cols, text_col: str = "text"
         a = dense_index(src.select(*order_cols, F.col(text_col).alias("src")), order_cols).drop(*order_cols)
         b = dense_index(tgt.select(*order_cols, F.col(text_col).alias("tgt")), order_cols).drop(*order_cols)
         return a.join(b, "idx", "inner")
-    a = dense_index(src.where(F.trim(F.col(text_col)) != "").select(*order_cols, F.col(text_col).alias("src")),
+    blank = F.regexp_replace(F.col(text_col), F.lit(java(PAT["strip"])), F.lit("")) == ""  # any white space, not spaces alone
+    a = dense_index(src.where(~blank).select(*order_cols, F.col(text_col).alias("src")),
                     order_cols).drop(*order_cols)
-    b = dense_index(tgt.where(F.trim(F.col(text_col)) != "").select(*order_cols, F.col(text_col).alias("tgt")),
+    b = dense_index(tgt.where(~blank).select(*order_cols, F.col(text_col).alias("tgt")),
                     order_cols).drop(*order_cols)
     return a.join(b, "idx", "inner")
 

@@ -26,14 +26,15 @@ def seeded_shuffle(df: DataFrame, key: str, seed: int = 42, name: str = "idx") -
 
 def slice_by_position(df: DataFrame, order_col: str, n: int, part: str = "head") -> DataFrame:
     """``df.iloc[:n]`` (``part="head"``) or ``df.iloc[n:]`` (``part="tail"``) in the
-    order of a unique bigint position column; an exact boundary, no sort."""
+    order of a unique bigint position column; an exact boundary, no sort.  Rows without
+    a position come last: they are in the tail."""
     cut = kth_cut(df, F.col(order_col), F.col(order_col), n)
-    return df.where(cut) if part == "head" else df.where(~cut)
+    return df.where(cut) if part == "head" else df.where(~F.coalesce(cut, F.lit(False)))
 
 
 def split_ordered(df: DataFrame, order_col: str, train: float | int, name: str = "part") -> DataFrame:
     """First ``int(f*n)`` rows (or first ``train`` rows when an int) are train."""
-    k = train if isinstance(train, int) else int(train * df.count())
+    k = train if isinstance(train, int) else lambda n: int(train * n)
     cut = kth_cut(df, F.col(order_col), F.col(order_col), k)
     return df.withColumn(name, F.when(cut, F.lit("train")).otherwise(F.lit("validation")))
 
@@ -64,7 +65,7 @@ def head_n(df: DataFrame, order_cols: Sequence, n: int) -> DataFrame:
 
 # --- splits -------------------------------------------------------------------------
 
-def _hash_cut(df: DataFrame, key: str, seed: int, k: int) -> Column:
+def _hash_cut(df: DataFrame, key: str, seed: int, k) -> Column:
     bits = seeded_bits(F.col(key), F.lit(0), seed)
     return kth_cut(df, bits, F.col(key), k)
 
@@ -73,9 +74,7 @@ def split_fraction(df: DataFrame, key: str, test_size: float = 0.2, seed: int =
     """Exact-size train/test split: the ``ceil(n * test_size)`` rows with the
     smallest seeded hash are test.  The cut is found by histogram aggregation, so
     the split itself is a filter on a pure function of the row."""
-    n = df.count()
-    k = math.ceil(n * test_size)
-    cut = _hash_cut(df, key, seed, k)
+    cut = _hash_cut(df, key, seed, lambda n: math.ceil(n * test_size))
     return df.withColumn(name, F.when(cut, F.lit("test")).otherwise(F.lit("train")))
 
 
@@ -84,9 +83,7 @@ def split_three_way(df: DataFrame, key: str, seed: int = 42, holdout: float = 0.
     """60/20/20 as two nested exact splits (first a 40 % holdout, then half of it)."""
     first = split_fraction(df, key, holdout, seed, "_p1")
     hold = first.where(F.col("_p1") == "test")
-    m = hold.count()
-    k2 = math.ceil(m * test_of_holdout)
-    cut2 = _hash_cut(hold, key, seed + 1, k2)
+    cut2 = _hash_cut(hold, key, seed + 1, lambda n: math.ceil(n * test_of_holdout))
     part = F.when(F.col("_p1") == "train", F.lit("train")).when(cut2, F.lit("test")).otherwise(F.lit("validation"))
     return first.withColumn(name, part).drop("_p1")
 
@@ -198,8 +195,8 @@ def token_swap_mix(df: DataFrame, key: str, ids: str, labels: str, swap_prob: fl
     mask = F.transform(F.col(ids), lambda x, i: seeded_uniform(F.col(key), i, seed) < F.lit(swap_prob))
     mixed = F.zip_with(F.arrays_zip(F.col(ids), F.col("_pids")), mask,
                        lambda pr, m: F.when(m, pr["_pids"]).otherwise(pr[ids]))
-    n = F.size(F.col(ids))
-    frac = F.aggregate(mask, F.lit(0), lambda acc, m: acc + m.cast("int")) / n
+    swapped = F.aggregate(mask, F.lit(0), lambda acc, m: acc + m.cast("int"))
+    frac = F.coalesce(F.try_divide(swapped.cast("double"), F.size(F.col(ids))), F.lit(0.0))  # no tokens: nothing swapped
     out = j.select(key, "partner_key", mixed.alias("mixed_ids"), frac.alias("swap_frac"), labels, "_plab")
     lab = F.zip_with(F.col(labels), F.col("_plab"),
                      lambda y, yp: (F.lit(1.0) - F.col("swap_frac")) * y + F.col("swap_frac") * yp)

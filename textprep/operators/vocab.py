@@ -84,8 +84,10 @@ def wordlevel_train(counts: DataFrame, vocab_size: int, specials: Sequence[str]
     return sp.unionByName(ranked)
 
 
-def encode_tokens(df: DataFrame, key: str, tokens: str, vocab: DataFrame, unk_id: int = 1, out: str = "ids") -> DataFrame:
-    """Token arrays -> id arrays (unknown -> ``unk_id``), order kept.
+def encode_tokens(df: DataFrame, key: str, tokens: str, vocab: DataFrame, unk_id: int = 1, out: str = "ids",
+                  length: int | None = None) -> DataFrame:
+    """Token arrays -> id arrays (unknown -> ``unk_id``), order kept; with ``length`` only
+    the first tokens are looked up, as only they are kept later.
 
     posexplode, broadcast join with the size-checked vocabulary, and an ordered
     regroup by the row key (one group = one row's tokens)."""
@@ -93,7 +95,8 @@ def encode_tokens(df: DataFrame, key: str, tokens: str, vocab: DataFrame, unk_id
     # join keep that partitioning, so the regroup below needs no exchange, and the
     # shuffle moves compact arrays instead of one row per token.
     # posexplode_outer keeps rows without tokens (one null entry, skipped below).
-    ex = df.repartition(key).select(key, F.posexplode_outer(F.col(tokens)).alias("pos", "token"))
+    toks = F.col(tokens) if length is None else F.slice(F.col(tokens), 1, length)
+    ex = df.select(key, toks.alias("_t")).repartition(key).select(key, F.posexplode_outer("_t").alias("pos", "token"))
     joined = ex.join(checked_broadcast(vocab.select("token", "id")), "token", "left")
     entry = F.when(F.col("pos").isNotNull(), F.struct("pos", F.coalesce("id", F.lit(unk_id)).alias("id")))
     grouped = joined.groupBy(key).agg(F.array_sort(F.collect_list(entry)).alias("_p"))
@@ -104,7 +107,7 @@ def wordlevel_encode(df: DataFrame, key: str, text_col: str, vocab: DataFrame, l
                      unk_id: int = 1, specials: Sequence[str] = ()) -> DataFrame:
     """Whitespace pre-tokenize, look up ids, truncate / pad to ``length`` + mask."""
     toks = df.select(key, pretokenize_words(F.col(text_col), specials).alias("_toks"))
-    enc = encode_tokens(toks, key, "_toks", vocab, unk_id, "_raw")
+    enc = encode_tokens(toks, key, "_toks", vocab, unk_id, "_raw", length)
     return enc.select(key, pad_truncate(F.col("_raw"), length).alias("ids"),
                       attention_mask(F.col("_raw"), length).alias("mask"))
 

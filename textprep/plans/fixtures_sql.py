@@ -19,7 +19,7 @@ SPARSE_TOKENS = (
     "(SELECT l.l_orderkey, l.l_linenumber, l.l_partkey, l.l_suppkey, "
     "CASE WHEN row_number() OVER (PARTITION BY l.l_orderkey ORDER BY l.l_linenumber, l.l_partkey, l.l_suppkey) = 1 "
     "THEN 'Sentence: ' || CAST(l.l_orderkey AS VARCHAR) END AS sentence, "
-    "'w' || CAST(l.l_partkey AS VARCHAR) AS word, l.l_linestatus AS pos_tag, l.l_returnflag AS tag FROM lineitem l)"
+    "'w' || CAST(l.l_partkey AS VARCHAR) AS word, l.l_linestatus AS pos_tag, CASE WHEN l.l_partkey % 13 <> 0 THEN l.l_returnflag END AS tag FROM lineitem l)"
 )
 
 AGE_RANGES = ("(SELECT p_partkey, CAST(p_size AS VARCHAR) || '-' || CAST(p_size + 9 AS VARCHAR) AS age FROM part)")
@@ -29,7 +29,7 @@ PARALLEL_PAIRS = (
     "ON a.conv_id = u.conv_id AND a.turn = u.turn + 1 AND a.role = 'assistant' WHERE u.role = 'user')"
 )
 
-_WORDS = "list_filter(regexp_split_to_array(text, '[ \\t\\n\\r]+'), lambda w: w <> '')[1:50]"
+_WORDS = "list_filter(regexp_split_to_array(text, '[ \\t\\n\\r]+'), lambda w: w <> '')"
 
 SYLLABLES = (
     "(SELECT doc_id, list_transform(" + _WORDS + ", lambda w, i: {'current_syllable': w, "
@@ -45,6 +45,6 @@ PREDICTIONS = (
 )
 
 SCORES = (
-    "(SELECT vec_id, list_transform(embedding[1:4], lambda x: CAST(x AS DOUBLE)) AS scores, "
-    "label % 4 AS label FROM embeddings)"
+    "(SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS scores, "
+    "label FROM embeddings)"
 )

@@ -3,7 +3,6 @@ flagship query used by ``entry``.  Names avoid the reference's word for them."""
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import functions as F
 
 from textprep.functions.arrays import age_range_expand, one_hot, seq2seq_shift
@@ -46,11 +45,10 @@ def flagship(spark, sf):
     """documents -> text_normalize -> drop empty -> 80/20 seeded split ->
     first-seen language ids learned on train -> lookup join."""
     docs = table(spark, sf, "documents").select("doc_id", "lang", text_normalize(F.col("text")).alias("clean"))
-    # the split runs a few bounded histogram jobs over this frame: clean once and
-    # keep the narrow result (memory, spilling to disk; lineage rebuilds lost blocks).
-    # Persist *before* filtering on ``clean``: a filter on the cleaned text would be
-    # pushed below the exchange that spreads the scan, re-running the chain there.
-    docs = docs.persist(StorageLevel.MEMORY_AND_DISK).where(F.col("clean") != "")
+    # the split and the codes read this frame several times: clean once, into a scratch table
+    path = FS.scratch_path(spark, "clean")
+    docs.write.parquet(path)
+    docs = spark.read.schema(docs.schema).parquet(path).where(F.col("clean") != "")
     parts = split_fraction(docs, "doc_id", 0.2, 42)
     codes = distinct_first_seen_ids(parts.where(F.col("part") == "train"), "lang", "doc_id")
     codes = codes.select(F.col("value").alias("lang"), F.col("id").alias("lang_id"))
@@ -97,7 +95,7 @@ def tweet_prep(spark, sf):
     # scan: CSV written in latin-1, read back with the encoding fallback
     src = FS.scratch_path(spark, "tweets-latin1")
     FS.write_csv(table(spark, sf, "documents"), src, encoding="ISO-8859-1")
-    raw = FS.read_csv_fallback(spark, src, "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    raw = FS.read_csv_fallback(spark, src, "doc_id bigint, text string, lang string, source string, n_chars bigint", multi_line=True)
     rows = R.dropna_any(raw)
     parts = split_fraction(rows, "doc_id", 0.2, 42)
     train = parts.where(F.col("part") == "train")
@@ -128,13 +126,13 @@ _POS_ORDER = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
     "pos_tagging_prep",
     f"WITH t AS (SELECT *, row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey) AS pos FROM {X.SPARSE_TOKENS}), "
     "f AS (SELECT * FROM t WHERE coalesce(pos_tag NOT IN ('F'), true)), "
-    "ti AS (SELECT tag, CAST(row_number() OVER (ORDER BY min(pos)) - 1 AS INTEGER) AS tag_id FROM f GROUP BY tag), "
+    "ti AS (SELECT tag, CAST(row_number() OVER (ORDER BY min(pos)) - 1 AS INTEGER) AS tag_id FROM f WHERE tag IS NOT NULL GROUP BY tag), "
     "pi AS (SELECT pos_tag, CAST(row_number() OVER (ORDER BY min(pos)) - 1 AS INTEGER) AS pos_id FROM f GROUP BY pos_tag), "
-    "ff AS (SELECT pos, word, tag, pos_tag, last_value(sentence IGNORE NULLS) OVER (ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING "
-    "AND CURRENT ROW) AS sentence FROM f) "
+    "ff AS (SELECT pos, " + ", ".join(f"last_value({c} IGNORE NULLS) OVER w AS {c}" for c in ("word", "tag", "pos_tag", "sentence"))
+    + " FROM f WINDOW w AS (ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) "
     "SELECT sentence, array_to_string(list(word ORDER BY pos), ' ') AS words, list(tag ORDER BY pos) AS tags, "
     "list(pos_tag ORDER BY pos) AS pos_tags, list(tag_id ORDER BY pos) AS tag_ids, list(pos_id ORDER BY pos) AS pos_ids "
-    "FROM ff JOIN ti USING (tag) JOIN pi USING (pos_tag) WHERE sentence IS NOT NULL GROUP BY sentence",
+    "FROM ff LEFT JOIN ti USING (tag) LEFT JOIN pi USING (pos_tag) WHERE sentence IS NOT NULL GROUP BY sentence",
 )
 def pos_tagging_prep(spark, sf):
     toks = TB.sparse_key_tokens(spark, sf)
@@ -144,7 +142,7 @@ def pos_tagging_prep(spark, sf):
     laid = ordered_layout(kept, _POS_ORDER)
     tag_ids = distinct_first_seen_ids(laid, "tag", "_seq").select(F.col("value").alias("tag"), F.col("id").alias("tag_id"))
     pos_ids = distinct_first_seen_ids(laid, "pos_tag", "_seq").select(F.col("value").alias("pos_tag"), F.col("id").alias("pos_id"))
-    filled = ffill_laid(laid, ["sentence"])
+    filled = ffill_laid(laid, ["sentence", "word", "pos_tag", "tag"])
     coded = R.lookup_join(R.lookup_join(filled, tag_ids, "tag"), pos_ids, "pos_tag")
     g = group_collect(coded, "sentence", ["_seq"], ["word", "tag", "pos_tag", "tag_id", "pos_id"])
     return g.select(
@@ -188,7 +186,7 @@ def translation_prep(spark, sf):
     base = FS.scratch_path(spark, "translation")
     for role, name in (("user", "src"), ("assistant", "tgt")):
         side = conv.where(F.col("role") == role).select("conv_id", "turn", F.regexp_replace("text", "[\\r\\n]+", " ").alias("text"))
-        side.repartitionByRange(4, "conv_id", "turn").sortWithinPartitions("conv_id", "turn").select("text") \
+        side.repartitionByRange("conv_id", "turn").sortWithinPartitions("conv_id", "turn").select("text") \
             .write.mode("overwrite").text(f"{base}/{name}")
     src = FS.read_text_lines(spark, f"{base}/src").select("file", "line_no", F.col("line").alias("text"))
     tgt = FS.read_text_lines(spark, f"{base}/tgt").select("file", "line_no", F.col("line").alias("text"))
@@ -268,8 +266,8 @@ def tabular_prep(spark, sf):
 def unsupervised_corpus(spark, sf):
     path = FS.scratch_path(spark, "unsup-noheader")
     FS.write_csv(table(spark, sf, "documents").select("doc_id", "lang", "source", "n_chars", F.col("doc_id").alias("id2"), "text"),
-                 path, encoding="ISO-8859-1", header=False)
-    col5 = FS.read_csv_positional(spark, path, 5)
+                 path, header=False)
+    col5 = FS.read_csv_positional(spark, path, 5, encoding="UTF-8", multi_line=True)
     clean = col5.select(text_normalize(F.col("_c5")).alias("clean"))
     corpus = FS.scratch_path(spark, "unsup-corpus")
     FS.write_text_corpus(clean, "clean", corpus)

@@ -131,14 +131,17 @@ def _lookup_join(spark, sf):
 
 
 def _side_sql(role, col):
-    return (f"(SELECT row_number() OVER (ORDER BY conv_id, turn) - 1 AS idx, text AS {col} FROM conversations "
-            f"WHERE role = '{role}' AND trim(text) <> '')")
+    # every 29th line or so holds a tab alone: blank, as any white space is
+    line = "CASE WHEN (conv_id * 7 + turn) % 29 = 0 THEN chr(9) ELSE text END"
+    return (f"(SELECT row_number() OVER (ORDER BY conv_id, turn) - 1 AS idx, line AS {col} FROM (SELECT conv_id, turn, {line} AS line "
+            f"FROM conversations WHERE role = '{role}') WHERE trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) <> '')")
 
 
 @register("zip_align", f"SELECT s.idx, s.src, t.tgt FROM {_side_sql('user', 'src')} s JOIN {_side_sql('assistant', 'tgt')} t "
           "ON s.idx = t.idx")
 def _zip_align(spark, sf):
-    conv = table(spark, sf, "conversations")
+    conv = table(spark, sf, "conversations").withColumn(
+        "text", F.when((F.col("conv_id") * 7 + F.col("turn")) % 29 == 0, "\t").otherwise(F.col("text")))
     src = conv.where(F.col("role") == "user").select("conv_id", "turn", "text")
     tgt = conv.where(F.col("role") == "assistant").select("conv_id", "turn", "text")
     return R.zip_align(src, tgt, ["conv_id", "turn"])

@@ -85,8 +85,9 @@ def _head(spark, sf):
 @register("error_samples", f"SELECT p.doc_id, p.label, p.pred, d.text FROM {X.PREDICTIONS} p JOIN documents d USING (doc_id) "
           "WHERE p.pred <> p.label ORDER BY p.doc_id LIMIT 10")
 def _errors(spark, sf):
-    p = TB.prediction_table(spark, sf).join(table(spark, sf, "documents").select("doc_id", "text"), "doc_id")
-    return SM.error_samples(p, "pred", "label", "doc_id", 10)
+    # the ids first: only ten rows meet the texts
+    few = SM.error_samples(TB.prediction_table(spark, sf), "pred", "label", "doc_id", 10)
+    return table(spark, sf, "documents").select("doc_id", "text").join(F.broadcast(few), "doc_id").select("doc_id", "label", "pred", "text")
 
 
 @register("vocab_top_k", f"SELECT token, count(*) AS count FROM (SELECT unnest(regexp_extract_all(text, {q(WS_PIECE)}, 0)) "
@@ -177,7 +178,7 @@ def _augment(spark, sf):
     return SM.augment_cutmix(docs, "lang", "doc_id", "text", 1, 42)
 
 
-SWAP_L = 16
+SWAP_L = 64
 
 
 def _swap_input(spark, sf):

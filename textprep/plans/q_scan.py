@@ -5,7 +5,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from textprep.functions.arrays import pad_truncate
 from textprep.functions.rnd import seeded_uniform
 from textprep.functions.text import text_normalize
 from textprep.operators.aggregates import distinct_first_seen_ids, label_encode_sorted
@@ -27,14 +26,14 @@ SYLLABLE_SCHEMA = ("doc_id bigint, annotations array<struct<current_syllable:str
 def _scan_csv(spark, sf):
     path = FS.scratch_path(spark, "documents-csv")
     FS.write_csv(table(spark, sf, "documents"), path)
-    return FS.read_csv(spark, path, DOC_SCHEMA)
+    return FS.read_csv(spark, path, DOC_SCHEMA, multi_line=True)
 
 
 @register("scan_csv_encoding", "SELECT doc_id, text, lang, source, n_chars FROM documents")
 def _scan_csv_enc(spark, sf):
     path = FS.scratch_path(spark, "documents-latin1")
     FS.write_csv(table(spark, sf, "documents"), path, encoding="ISO-8859-1")
-    return FS.read_csv_fallback(spark, path, DOC_SCHEMA)
+    return FS.read_csv_fallback(spark, path, DOC_SCHEMA, multi_line=True)
 
 
 @register("scan_csv_positional", "SELECT l_extendedprice AS _c5 FROM lineitem")
@@ -70,7 +69,7 @@ def _scan_jsonl(spark, sf):
 def _scan_text(spark, sf):
     path = FS.scratch_path(spark, "documents-text")
     docs = table(spark, sf, "documents").select("doc_id", "text")
-    docs.repartitionByRange(4, "doc_id").sortWithinPartitions("doc_id").select("text").write.mode("overwrite").text(path)
+    docs.repartitionByRange("doc_id").sortWithinPartitions("doc_id").select("text").write.mode("overwrite").text(path)
     return FS.read_text_lines(spark, path).select("line")
 
 
@@ -79,22 +78,22 @@ def _split_col():
     return F.when(u < 0.8, "train").when(u < 0.9, "validation").otherwise("test")
 
 
-@register("scan_split_dataset", "SELECT conv_id, turn, role, text FROM conversations WHERE CASE WHEN "
+@register("scan_split_dataset", "SELECT conv_id, turn, role, text, CASE WHEN "
           + "(('0x'||substr(md5(concat_ws('|', CAST(conv_id AS VARCHAR), 'split', '42')),1,8))::BIGINT / 4294967296.0)"
           + " < 0.8 THEN 'train' WHEN (('0x'||substr(md5(concat_ws('|', CAST(conv_id AS VARCHAR), 'split', '42')),1,8))::BIGINT"
-          + " / 4294967296.0) < 0.9 THEN 'validation' ELSE 'test' END = 'validation'")
+          + " / 4294967296.0) < 0.9 THEN 'validation' ELSE 'test' END AS split FROM conversations")
 def _scan_split(spark, sf):
     path = FS.scratch_path(spark, "conversations-split")
     conv = table(spark, sf, "conversations").withColumn("split", _split_col())
     conv.write.mode("overwrite").partitionBy("split").parquet(path)
-    return FS.read_split_dataset(spark, path, "validation").select("conv_id", "turn", "role", "text")
+    splits = [FS.read_split_dataset(spark, path, s) for s in ("train", "validation", "test")]
+    return splits[0].unionByName(splits[1]).unionByName(splits[2]).select("conv_id", "turn", "role", "text", "split")
 
 
-@register("sink_csv", f"SELECT doc_id, list_concat(({_LEN_IDS_SQL})[1:16], list_transform(range(greatest(0, 16 - "
-          f"len(({_LEN_IDS_SQL})[1:16]))), lambda x: 0)) AS ids FROM documents")
+@register("sink_csv", f"SELECT doc_id, {_LEN_IDS_SQL} AS ids FROM documents")
 def _sink_csv(spark, sf):
     path = FS.scratch_path(spark, "ids-csv")
-    d = table(spark, sf, "documents").select("doc_id", pad_truncate(_len_ids(), 16).alias("ids"))
+    d = table(spark, sf, "documents").select("doc_id", _len_ids().alias("ids"))
     FS.write_csv(d, path)
     back = FS.read_csv(spark, path, "doc_id bigint, ids string")
     return back.select("doc_id", F.from_json("ids", "array<int>").alias("ids"))

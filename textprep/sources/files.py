@@ -11,16 +11,15 @@ from __future__ import annotations
 import uuid
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from textprep.functions.text import PAT, java
-from textprep.operators.order import dense_index
 from textprep.operators.relational import checked_broadcast
 from textprep.session import ensure_checkpoint_dir
 
-CSV_OPTS = {"header": "true", "multiLine": "true", "quote": '"', "escape": '"'}
+CSV_OPTS = {"header": "true", "quote": '"', "escape": '"'}
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
@@ -30,8 +29,10 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 # --- scans ---------------------------------------------------------------------------
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType | str | None = None, header: bool = True,
-             encoding: str = "UTF-8") -> DataFrame:
-    r = spark.read.options(**CSV_OPTS).option("header", str(header).lower()).option("encoding", encoding)
+             encoding: str = "UTF-8", multi_line: bool = False) -> DataFrame:
+    """``multi_line`` is for fields with line breaks; such a file cannot be split."""
+    r = (spark.read.options(**CSV_OPTS).option("header", str(header).lower()).option("encoding", encoding)
+         .option("multiLine", str(multi_line).lower()))
     if schema is not None:
         r = r.schema(schema)
     else:
@@ -40,13 +41,14 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType | str | None =
 
 
 def read_csv_fallback(spark: SparkSession, path: str, schema: T.StructType | str | None = None,
-                      encodings: Sequence[str] = ("UTF-8", "ISO-8859-1"), text_cols: Sequence[str] | None = None) -> DataFrame:
+                      encodings: Sequence[str] = ("UTF-8", "ISO-8859-1"), text_cols: Sequence[str] | None = None,
+                      multi_line: bool = False) -> DataFrame:
     """Try encodings in order; an encoding fails when a decoded string column
     contains U+FFFD (one aggregate per attempt).  Latin-1 never fails, so it is the
     natural last entry."""
     df = None
     for enc in encodings:
-        df = read_csv(spark, path, schema, True, enc)
+        df = read_csv(spark, path, schema, True, enc, multi_line)
         cols = text_cols or [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
         if not cols:
             return df
@@ -57,9 +59,9 @@ def read_csv_fallback(spark: SparkSession, path: str, schema: T.StructType | str
 
 
 def read_csv_positional(spark: SparkSession, path: str, index: int, encoding: str = "ISO-8859-1",
-                        schema: T.StructType | str | None = None) -> DataFrame:
+                        schema: T.StructType | str | None = None, multi_line: bool = False) -> DataFrame:
     """Header-less CSV; keep the column at 0-based ``index`` (Spark names it ``_c<index>``)."""
-    df = read_csv(spark, path, schema, False, encoding)
+    df = read_csv(spark, path, schema, False, encoding, multi_line)
     return df.select(df.columns[index])
 
 
@@ -71,14 +73,17 @@ def read_text_lines(spark: SparkSession, path: str, strip: bool = True, drop_bla
                     underscore_to_space: bool = False) -> DataFrame:
     """Lines with a stable 0-based ``line_no`` per file.
 
-    The scan's split order follows file offsets, so ``monotonically_increasing_id``
-    taken right at the scan orders lines within a file; the dense index turns it
-    into line numbers without a single-task window."""
+    The lines are not moved: each split's lines are counted, and a line's number is its
+    place in the split plus the lines of the file's earlier splits (one row per file and
+    split).  A split's place in its file is where it starts."""
     raw = spark.read.text(path).select(
-        F.input_file_name().alias("file"), F.monotonically_increasing_id().alias("_scan_pos"), F.col("value").alias("line"))
-    numbered = dense_index(raw, ["file", "_scan_pos"], "_g")
-    first = numbered.groupBy("file").agg(F.min("_g").alias("_f"))
-    out = numbered.join(checked_broadcast(first), "file").select("file", (F.col("_g") - F.col("_f")).alias("line_no"), "line")
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_split"),
+        F.monotonically_increasing_id().alias("_scan_pos"), F.col("value").alias("line"))
+    before = Window.partitionBy("file").orderBy("_split").rowsBetween(Window.unboundedPreceding, -1)
+    splits = raw.groupBy("file", "_split").agg(F.count(F.lit(1)).alias("_n"), F.min("_scan_pos").alias("_first")).select(
+        "file", "_split", "_first", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    out = raw.join(checked_broadcast(splits), ["file", "_split"]).select(
+        "file", (F.col("_scan_pos") - F.col("_first") + F.col("_before")).cast("bigint").alias("line_no"), "line")
     if strip:
         out = out.withColumn("line", F.regexp_replace("line", F.lit(java(PAT["strip"])), F.lit("")))
     if underscore_to_space:

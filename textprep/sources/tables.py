@@ -74,7 +74,7 @@ def sparse_key_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(is_first, F.concat(F.lit("Sentence: "), F.col("l_orderkey").cast("string"))).alias("sentence"),
         F.concat(F.lit("w"), F.col("l_partkey").cast("string")).alias("word"),
         F.col("l_linestatus").alias("pos_tag"),
-        F.col("l_returnflag").alias("tag"),
+        F.when(F.col("l_partkey") % 13 != 0, F.col("l_returnflag")).alias("tag"),  # some tags are missing
     )
 
 
@@ -98,12 +98,11 @@ def parallel_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return u.join(a, ["conv_id", "turn"], "inner")
 
 
-def syllable_annotations(spark: SparkSession, sf_dir: str, max_words: int = 50) -> DataFrame:
-    """Nested spelling fixture: per document the first ``max_words`` words as
-    ``annotations: array<struct<current_syllable, alternative_syllables>>``.
-    The word cap is part of the fixture definition (FIXTURES.md), not a row cap."""
+def syllable_annotations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nested spelling fixture: per document all its words as
+    ``annotations: array<struct<current_syllable, alternative_syllables>>``."""
     docs = table(spark, sf_dir, "documents")
-    words = F.slice(F.filter(F.split(F.col("text"), r"[ \t\n\r]+"), lambda w: w != ""), 1, max_words)
+    words = F.filter(F.split(F.col("text"), r"[ \t\n\r]+"), lambda w: w != "")
     ann = F.transform(
         words,
         lambda w, i: F.struct(
@@ -143,8 +142,8 @@ def score_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     emb = table(spark, sf_dir, "embeddings")
     return emb.select(
         "vec_id",
-        F.transform(F.slice("embedding", 1, 4), lambda x: x.cast("double")).alias("scores"),
-        (F.col("label") % 4).alias("label"),
+        F.transform("embedding", lambda x: x.cast("double")).alias("scores"),
+        "label",
     )
 
 
