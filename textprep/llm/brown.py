@@ -19,7 +19,7 @@ of two of ten million words has a chance of 3e-6).
 
 Cases: null text is empty, its one token is the end; without training texts every count is
 0 and the smoothing alone is left; repeated rows count and score as rows; a null id is
-kept; words tied at the ``frequent`` or ``hot`` border go by hash; other columns are
+kept; words tied at the ``frequent`` border go by hash, those tied at the ``hot`` border are joined; other columns are
 ignored unless in ``keep``, whatever their names.
 """
 
@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textprep.llm.common import byte_table, pinned, words_with_endings
+from textprep.llm.common import byte_table, most_frequent, pinned, words_with_endings
 
 FREQUENT, HOT, CLASSES = 8192, 1 << 18, 64
 ROUNDS, LEAST_GAIN = 12, 1e-4
@@ -219,7 +219,7 @@ def fit(train: DataFrame, text_col: str = "text", frequent: int = FREQUENT, hot:
     tokens, types = (int(x or 0) for x in counts.agg(F.sum("n"), F.count(F.lit(1))).first())
     is_end = F.col("word") == F.lit(int(END))
     ends = int(counts.where(is_end).agg(F.sum("n")).first()[0] or 0)
-    top = counts.where(~is_end).orderBy(F.desc("n"), "word").limit(hot).select("word", "ending", "n").toPandas()  # at most `hot` rows
+    top = most_frequent(counts.where(~is_end), "n", hot).select("word", "n").toPandas().sort_values(["n", "word"], ascending=[False, True])  # at most `hot` rows
     words, n = top["word"].to_numpy(np.int64).view(np.uint64), top["n"].to_numpy(np.int64)
     by_hash = np.argsort(words)
     head = np.sort(words[:frequent])

@@ -59,6 +59,27 @@ def explode_count(df: DataFrame, count: str, index: str, block: int = 4096) -> D
     )
 
 
+def most_frequent(counts: DataFrame, n: str, bound: int) -> DataFrame:
+    """The rows with the largest ``n`` (1 or more), at most ``bound`` of them: all above a
+    border found from a histogram of a few thousand bins (no rows are sent to be ranked)."""
+    bin_of = F.floor(F.log(F.col(n)) * 100)  # counts below 100 have bins of their own
+    room, border = bound, None
+    for r in sorted(counts.groupBy(bin_of.alias("bin")).agg(F.count(F.lit(1)).alias("rows")).collect(), reverse=True):
+        if r["rows"] > room:
+            break
+        room, border = room - r["rows"], r["bin"]
+    return counts.limit(0) if border is None else counts.where(bin_of >= border)
+
+
+def bounded_sample(df: DataFrame, key: Column, total: int, bound: int) -> DataFrame:
+    """At most ``bound`` of ``total`` rows, those with the smallest hashes of ``key``; the
+    border leaves five standard deviations of room, so the limit behind it cuts nothing."""
+    if total <= bound:
+        return df
+    want = max(1.0, bound - 5 * bound ** 0.5)
+    return df.where(hash53(key) < int(want / total * (1 << 53))).limit(bound)
+
+
 # --- vectorised word hashing -------------------------------------------------------
 
 _MULT = 0x9E3779B97F4A7C15  # odd, so it has an inverse modulo 2**64
