@@ -56,7 +56,7 @@ def test_unigram_invariants(spark):
     vocab = V.unigram_train(counts, 40, seed_size=200)
     toks = {r["token"] for r in vocab.collect()}
     chars = {c for line in CORPUS for c in line if not c.isspace()}
-    assert chars <= toks and len(toks) <= 40 + len(chars)
+    assert chars <= toks and len(toks) == 40
     df = spark.createDataFrame([(0, "lowest newer")], "i int, text string")
     enc = V.subword_encode(df, "i", "text", vocab, "unigram").collect()[0]["ids"]
     assert enc and 1 not in enc
@@ -68,3 +68,44 @@ def test_subword_bpe_encode_roundtrip(spark):
     ids = V.subword_encode(df, "i", "text", vocab, "bpe", merges).collect()[0]["ids"]
     inv = {r["id"]: r["token"] for r in vocab.collect()}
     assert "".join(inv[i] for i in ids) == "lowestnewerwall"
+
+
+def test_markers_stay_whole_and_bracket_pieces_are_kept(spark):
+    df = spark.createDataFrame([(0, "[SOS] lowest newer [EOS]"), (1, "[[ low"), (2, "")], "i int, text string")
+    counts = _counts(spark).unionByName(spark.createDataFrame([("[[", 50)], "word string, count bigint"))
+    vocab, merges = V.bpe_train(counts, 80)
+    got = {r["i"]: r["ids"] for r in V.subword_encode(df, "i", "text", vocab, "bpe", merges).collect()}
+    inv = {r["id"]: r["token"] for r in vocab.collect()}
+    assert got[0][0] == 2 and got[0][-1] == 3 and "".join(inv[i] for i in got[0][1:-1]) == "lowestnewer" and got[2] == []
+    uni = V.unigram_train(counts, 60, seed_size=300)
+    inv = {r["id"]: r["token"] for r in uni.collect()}
+    got = {r["i"]: r["ids"] for r in V.subword_encode(df, "i", "text", uni, "unigram").collect()}
+    assert inv[got[1][0]] == "[[" and got[0][0] == 2 and got[0][-1] == 3
+
+
+def test_sentencepiece_form_round_trips(spark):
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(CORPUS[:4])], "i int, text string")
+    vocab, merges = V.bpe_train(V.sentencepiece_words(df, "text"), 60, ["[PAD]", "[UNK]", "[SOS]", "[EOS]"])
+    inv = {r["id"]: r["token"] for r in vocab.collect()}
+    for r in V.subword_encode(df, "i", "text", vocab, "bpe", merges, word_mark="\u2581").collect():
+        assert "".join(inv[x] for x in r["ids"]).replace("\u2581", " ").strip() == CORPUS[r["i"]]
+
+
+def test_merges_from_the_left():
+    import numpy as np
+
+    from textprep.operators.bpe import apply_merge
+
+    rng = np.random.default_rng(0)
+    for _ in range(200):
+        s = rng.integers(0, 3, 30).astype(np.int32)
+        a, b = rng.integers(0, 3, 2)
+        want, i = [], 0
+        while i < len(s):
+            if i + 1 < len(s) and s[i] == a and s[i + 1] == b:
+                want.append(9)
+                i += 2
+            else:
+                want.append(int(s[i]))
+                i += 1
+        assert apply_merge(s, a, b, 9).tolist() == want

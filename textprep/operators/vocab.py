@@ -6,17 +6,7 @@ stays distributed.  The driver only holds what the model itself is: the
 vocabulary (bounded by ``vocab_size``) and, per BPE round, a bounded list of the
 best candidate pairs.
 
-BPE / WordPiece: each round counts adjacent symbol pairs over the word table
-(explode + aggregate), takes the best ``M`` pairs (ordered by count, then by the
-ids of the two symbols), and applies as many of them as provably give the same
-sequence as one-merge-at-a-time training: a prefix of the candidate list whose
-counts no earlier merge of the round can change.  A pair whose count may change
-ends the round; pairs created by the merges can never
-outrank the next disjoint candidate (their counts are bounded by pairs that were
-ranked below it, and new ids sort last).  Precisely, merging ``(a, b)`` can
-only change the count of pairs ``(x, y)`` with ``x == b`` or ``y == a``, so the
-round stops at the first such candidate.  Merges are applied with one
-``regexp_replace`` per pair on the space-joined symbol string.
+BPE / WordPiece are trained in ``textprep.operators.bpe``.
 
 Unigram: seed pieces are frequent substrings (explode + count), then hard-EM
 rounds: Viterbi-segment every distinct word with the current piece scores in
@@ -28,7 +18,6 @@ library's own trainer.
 from __future__ import annotations
 
 import math
-import os
 import re
 from collections.abc import Sequence
 
@@ -38,13 +27,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from textprep.functions.arrays import attention_mask, pad_truncate
-from textprep.functions.text import SPACE_CHARS, WORD, WORD_CHARS, java
+from textprep.functions.text import SPACE_CHARS, WORD, WORD_CHARS, java, split_whitespace
+from textprep.operators import bpe
 from textprep.operators.relational import checked_broadcast
 from textprep.session import ensure_checkpoint_dir
 
 WHITESPACE_PIECE = f"{WORD}+|[^{WORD_CHARS}{SPACE_CHARS}]+"
 DEFAULT_SPECIALS = ("[PAD]", "[UNK]", "[SOS]", "[EOS]")
-_DEBUG = bool(os.environ.get("TEXTPREP_DEBUG"))
 
 
 def pretokenize_words(text: Column, specials: Sequence[str] = ()) -> Column:
@@ -129,128 +118,16 @@ def decode_ids(df: DataFrame, key: str, ids: str, vocab: DataFrame, skip_ids: Se
 
 # --- BPE / WordPiece ----------------------------------------------------------------
 
-def _quote_java(s: str) -> str:
-    return "\\Q" + s.replace("\\E", "\\E\\\\E\\Q") + "\\E"
+def bpe_train(counts: DataFrame, vocab_size: int, specials: Sequence[str] = DEFAULT_SPECIALS, **kw):
+    """Train BPE merges to ``vocab_size`` (``textprep.operators.bpe``)."""
+    return bpe.bpe_train(counts, vocab_size, specials, **kw)
 
 
-def _quote_repl(s: str) -> str:
-    return s.replace("\\", "\\\\").replace("$", "\\$")
-
-
-def _merge_expr(col: Column, a: str, b: str, new: str) -> Column:
-    pat = f"(?<=^| ){_quote_java(a)} {_quote_java(b)}(?= |$)"
-    return F.regexp_replace(col, F.lit(pat), F.lit(_quote_repl(new)))
-
-
-def _initial_symbols(word: Column, prefix: str | None, suffix: str | None) -> Column:
-    """Space-joined initial symbols: characters, non-first ones with ``prefix``,
-    the last one with ``suffix`` (lambdas only touch their own element)."""
-    chars = F.regexp_extract_all(word, F.lit("(?s)."), 0)
-    if prefix:
-        rest = F.transform(F.slice(chars, 2, F.greatest(F.size(chars) - 1, F.lit(0))), lambda c: F.concat(F.lit(prefix), c))
-        chars = F.concat(F.slice(chars, 1, 1), rest)
-    joined = F.array_join(chars, " ")
-    return F.concat(joined, F.lit(suffix)) if suffix else joined
-
-
-def bpe_train(counts: DataFrame, vocab_size: int, specials: Sequence[str] = DEFAULT_SPECIALS,
-              min_frequency: int = 0, max_merges: int | None = None, continuing_prefix: str | None = None,
-              end_suffix: str | None = None, candidates: int = 256, checkpoint_every: int = 10):
-    """Train BPE merges.  Returns ``(vocab_df(token, id), merges_df(rank, left, right))``.
-
-    ``continuing_prefix="##"`` gives the WordPiece trainer's vocabulary.  Initial
-    symbols are numbered by code point after the specials (the prefixed forms
-    after the plain ones).  Words are kept as space-joined symbol *ids*, so the
-    tie-break on ids needs no lookup join."""
-    spark = counts.sparkSession
-    ensure_checkpoint_dir(spark)
-    words = counts.select(_initial_symbols(F.col("word"), continuing_prefix, end_suffix).alias("syms"),
-                          F.col("count").cast("long").alias("freq"))
-    # the alphabet is bounded by the character repertoire of the corpus
-    alphabet = [r["s"] for r in words.select(F.explode(F.split("syms", " ")).alias("s")).distinct().collect()]
-    plain = {s for s in alphabet if not (continuing_prefix and s.startswith(continuing_prefix))}
-    pref = sorted([s for s in alphabet if continuing_prefix and s.startswith(continuing_prefix)],
-                  key=lambda s: [ord(c) for c in s])
-    if continuing_prefix:
-        # every character also enters in its plain form (the alphabet), even if it
-        # only ever occurs inside words
-        plain |= {s[len(continuing_prefix):] for s in pref}
-    plain = sorted(plain, key=lambda s: [ord(c) for c in s])
-    vocab: dict[str, int] = {}
-    for sym in list(specials) + plain + pref:
-        if sym not in vocab:
-            vocab[sym] = len(vocab)
-    id_of = F.create_map(*[x for sym in alphabet for x in (F.lit(sym), F.lit(str(vocab[sym])))])
-    words = words.select(F.array_join(F.transform(F.split("syms", " "), lambda c: id_of[c]), " ").alias("syms"), "freq")
-    words = words.checkpoint(eager=True)
-    token_of = {i: t for t, i in vocab.items()}
-    merges: list[tuple[str, str]] = []
-    rounds = 0
-    done = False
-    cached = None
-    current_cache = None
-    while not done:
-        if len(vocab) >= vocab_size or (max_merges is not None and len(merges) >= max_merges):
-            break
-        sym = F.split("syms", " ")
-        n1 = F.greatest(F.size(sym) - 1, F.lit(0))
-        pairs = words.select(F.explode(F.arrays_zip(F.slice(sym, 1, n1), F.slice(sym, 2, n1))).alias("p"), "freq")
-        counted = pairs.groupBy(F.col("p.0").cast("int").alias("ia"), F.col("p.1").cast("int").alias("ib")).agg(
-            F.sum("freq").alias("c"))
-        ranked = counted.orderBy(F.col("c").desc(), "ia", "ib").limit(candidates).collect()
-        # ``words`` is materialised now; the frame it was derived from can go
-        if cached is not None:
-            cached.unpersist()
-            cached = None
-        if not ranked:
-            break
-        accepted: list[tuple[int, int, int]] = []
-        # merging (a, b) changes the count of (x, y) only when x == b or y == a
-        blocked_left: set[int] = set()
-        blocked_right: set[int] = set()
-        for r in ranked:
-            if len(vocab) >= vocab_size or (max_merges is not None and len(merges) >= max_merges):
-                done = True
-                break
-            if r["c"] < max(min_frequency, 1):
-                done = True
-                break
-            ia, ib = r["ia"], r["ib"]
-            if ia in blocked_left or ib in blocked_right:
-                break
-            a, b = token_of[ia], token_of[ib]
-            part_b = b[len(continuing_prefix):] if continuing_prefix and b.startswith(continuing_prefix) else b
-            new = a + part_b
-            merges.append((a, b))
-            blocked_left.add(ib)
-            blocked_right.add(ia)
-            if new in vocab:  # an existing token gains occurrences: end the round
-                accepted.append((ia, ib, vocab[new]))
-                break
-            vocab[new] = len(vocab)
-            token_of[vocab[new]] = new
-            accepted.append((ia, ib, vocab[new]))
-        if not accepted:
-            break
-        if _DEBUG:
-            print(f"bpe round {rounds}: {len(accepted)} merges, vocab {len(vocab)}", flush=True)
-        col = F.col("syms")
-        for ia, ib, nid in accepted:
-            col = F.regexp_replace(col, F.lit(f"(?<=^| ){ia} {ib}(?= |$)"), F.lit(str(nid)))
-        rounds += 1
-        # a word that is one symbol has no pairs left: drop it from the working set.
-        # Filter the input (not the rewritten column) so the rewrite is not inlined
-        # into the filter and evaluated twice; words emptied now go next round.
-        nxt = words.where(F.instr("syms", " ") > 0).select(col.alias("syms"), "freq")
-        cached = current_cache
-        if rounds % checkpoint_every == 0:
-            words = nxt.checkpoint(eager=True)
-            current_cache = None
-        else:
-            words = current_cache = nxt.cache()
-    vocab_df = spark.createDataFrame(list(vocab.items()), "token string, id int")
-    merges_df = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(merges)], "rank int, left string, right string")
-    return vocab_df, merges_df
+def sentencepiece_words(df: DataFrame, text_col: str, mark: str = "\u2581") -> DataFrame:
+    """Distinct white-space words with the word mark in front: training on them gives the
+    SentencePiece form, whose pieces say where a word begins."""
+    words = df.select(F.explode(split_whitespace(F.col(text_col))).alias("w"))
+    return words.groupBy(F.concat(F.lit(mark), "w").alias("word")).agg(F.count(F.lit(1)).alias("count"))
 
 
 def wordpiece_train(counts: DataFrame, vocab_size: int, specials: Sequence[str] = DEFAULT_SPECIALS, **kw):
@@ -285,9 +162,11 @@ def _viterbi(word: str, scores: dict[str, float], max_len: int, unk_score: float
 
 
 def unigram_train(counts: DataFrame, vocab_size: int, specials: Sequence[str] = ("[PAD]", "[UNK]", "[SOS]", "[EOS]", "[MASK]"),
-                  max_piece_length: int = 16, seed_size: int = 10_000, em_rounds: int = 3, shrinking_factor: float = 0.75):
+                  max_piece_length: int = 16, seed_size: int = 100_000, em_rounds: int = 3, shrinking_factor: float = 0.75):
     """Hard-EM Unigram LM.  Returns ``vocab_df(token, id, score)``; every
-    character of the corpus stays in the vocabulary, so any seen word encodes."""
+    character of the corpus stays in the vocabulary, so any seen word encodes.  Seeds are
+    the substrings that occur twice, the ``seed_size`` best by count x length; pruning
+    ends at exactly ``vocab_size`` pieces if the corpus has as many."""
     spark = counts.sparkSession
     ensure_checkpoint_dir(spark)
     w = counts.select("word", F.col("count").cast("long").alias("count"))
@@ -305,12 +184,13 @@ def unigram_train(counts: DataFrame, vocab_size: int, specials: Sequence[str] =
              .orderBy((F.col("f") * F.length("piece")).desc(), "piece").limit(seed_size))
     seed = chars.unionByName(multi).collect()  # bounded: characters + seed_size
     char_set = {r["piece"] for r in seed if len(r["piece"]) == 1}
-    total = float(sum(r["f"] for r in seed))
+    total = float(sum(r["f"] for r in seed)) or 1.0
     scores = {r["piece"]: math.log(r["f"] / total) for r in seed}
     target = max(vocab_size - len(specials), len(char_set))
     schema = T.StructType([T.StructField("piece", T.StringType()), T.StructField("n", T.LongType())])
     settle = em_rounds
-    for _ in range(40):
+    seed_counts = {r["piece"]: r["f"] for r in seed}
+    while True:  # every round drops a quarter of the pieces, or settles the scores of the last ones
         bscores = spark.sparkContext.broadcast(scores)
         unk = min(scores.values()) - 10.0
 
@@ -328,9 +208,9 @@ def unigram_train(counts: DataFrame, vocab_size: int, specials: Sequence[str] =
         tot = float(sum(counts_now.values())) or 1.0
         new_scores = {}
         for p in scores:
-            n = counts_now.get(p, 0)
-            if n > 0 or p in char_set:
-                new_scores[p] = math.log(max(n, 0.5) / tot)
+            # a piece that no best segmentation uses ranks below all used ones, by its seed count
+            n = counts_now.get(p, 0) or 0.5 * seed_counts[p] / total
+            new_scores[p] = math.log(n / tot)
         if len(new_scores) > target:
             keep = max(target, int(len(new_scores) * shrinking_factor))
             ranked = sorted((p for p in new_scores if p not in char_set), key=lambda p: (-new_scores[p], p))
@@ -392,16 +272,26 @@ def _wordpiece_apply(word: str, vocab: set[str], prefix: str = "##", unk: str =
 
 
 def subword_encode(df: DataFrame, key: str, text_col: str, vocab: DataFrame, model: str = "bpe",
-                   merges: DataFrame | None = None, length: int | None = None, unk_id: int = 1) -> DataFrame:
-    """Encode text with a learned subword model.
+                   merges: DataFrame | None = None, length: int | None = None, unk_id: int = 1,
+                   specials: Sequence[str] = DEFAULT_SPECIALS, word_mark: str | None = None) -> DataFrame:
+    """Encode text with a learned subword model.  ``specials`` are markers that stay whole
+    in the text (and never enter a model's pieces); ``word_mark`` is put before every
+    white-space word (the SentencePiece form).  With ``length`` only the first ``length``
+    words are looked at, as each gives one id at least.
 
     Each **distinct word** is segmented once (``mapInPandas`` over the word table
     with the model broadcast; the model is bounded by its vocabulary size), the
     pieces are mapped to ids by a join, and documents are rebuilt by posexplode +
     join on the word + ordered regroup."""
     spark: SparkSession = df.sparkSession
-    words = df.select(key, F.posexplode(pretokenize_words(F.col(text_col))).alias("pos", "word"))
+    if word_mark:
+        tokens = F.transform(split_whitespace(F.col(text_col)), lambda w: F.when(w.isin(list(specials)), w).otherwise(F.concat(F.lit(word_mark), w)))
+    else:
+        tokens = pretokenize_words(F.col(text_col), specials)
+    tokens = tokens if length is None else F.slice(tokens, 1, length)
+    words = df.select(key, F.posexplode(tokens).alias("pos", "word"))
     distinct = words.select("word").distinct()
+    special = frozenset(specials)
     if model == "bpe" or model == "wordpiece_bpe":
         ranks = {(r["left"], r["right"]): r["rank"] for r in merges.collect()}  # bounded by vocab size
         prefix = "##" if model == "wordpiece_bpe" else None
@@ -410,7 +300,7 @@ def subword_encode(df: DataFrame, key: str, text_col: str, vocab: DataFrame, mod
         def seg(batches, _p=payload):
             rk, pf = _p.value
             for pdf in batches:
-                yield pd.DataFrame({"word": pdf["word"], "pieces": [_bpe_apply(w, rk, pf) for w in pdf["word"]]})
+                yield pd.DataFrame({"word": pdf["word"], "pieces": [[w] if w in special else _bpe_apply(w, rk, pf) for w in pdf["word"]]})
     elif model == "wordpiece":
         vset = {r["token"] for r in vocab.select("token").collect()}
         payload = spark.sparkContext.broadcast(vset)
@@ -418,16 +308,16 @@ def subword_encode(df: DataFrame, key: str, text_col: str, vocab: DataFrame, mod
         def seg(batches, _p=payload):
             vs = _p.value
             for pdf in batches:
-                yield pd.DataFrame({"word": pdf["word"], "pieces": [_wordpiece_apply(w, vs) for w in pdf["word"]]})
+                yield pd.DataFrame({"word": pdf["word"], "pieces": [[w] if w in special else _wordpiece_apply(w, vs) for w in pdf["word"]]})
     elif model == "unigram":
-        sc = {r["token"]: r["score"] for r in vocab.where(F.col("id") >= 0).collect() if not r["token"].startswith("[")}
+        sc = {r["token"]: r["score"] for r in vocab.where(F.col("id") >= 0).collect() if r["token"] not in special}
         payload = spark.sparkContext.broadcast(sc)
 
         def seg(batches, _p=payload):
             s = _p.value
             unk = min(s.values()) - 10.0 if s else -10.0
             for pdf in batches:
-                yield pd.DataFrame({"word": pdf["word"], "pieces": [_viterbi(w, s, 16, unk) for w in pdf["word"]]})
+                yield pd.DataFrame({"word": pdf["word"], "pieces": [[w] if w in special else _viterbi(w, s, 16, unk) for w in pdf["word"]]})
     else:
         raise ValueError(model)
     seg_schema = "word string, pieces array<string>"

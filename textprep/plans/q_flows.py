@@ -272,5 +272,5 @@ def unsupervised_corpus(spark, sf):
     corpus = FS.scratch_path(spark, "unsup-corpus")
     FS.write_text_corpus(clean, "clean", corpus)
     lines = spark.read.text(corpus).withColumnRenamed("value", "text")
-    vocab, merges = bpe_train(word_table(lines, "text"), 3000, SPECIALS, max_merges=50)
+    vocab, merges = bpe_train(word_table(lines, "text"), 3000, SPECIALS)
     return vocab.join(merges.select(F.concat("left", "right").alias("token"), "rank"), "token", "left")
