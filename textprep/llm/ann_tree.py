@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textprep.llm.common import hash53, key_groups, pinned
+from textprep.llm.common import bounded_sample, hash53, key_groups, pinned
 
 SAMPLE_ROWS, CALIBRATION_QUERIES = 16_384, 128
 BRANCH, MAX_LEAVES, BLOCK_ROWS = 12, 4096, 4096
@@ -174,7 +174,7 @@ def calibrate(indexed: DataFrame, tree: Tree, calibration: list, dims: int, k: i
     rank = [{leaf: n for n, leaf in enumerate(tree.best_first(v))} for v in vectors]
     places = np.array([rank[r["q"]][r["leaf"]] for r in true])
     visits = 1
-    while len(places) and (places < visits).mean() < recall:
+    while visits < tree.n_leaves and len(places) and (places < visits).mean() < recall:
         visits = max(visits + 1, math.ceil(visits * WIDEN))
     return min(visits, tree.n_leaves)
 
@@ -275,8 +275,8 @@ def nearest(rows: DataFrame, is_query: Column, id_col: str = "vec_id", vector_co
     dims, n = dims_row["d"], dims_row["n"]
     base = base.where(F.size("vector") == dims)
     first = hash53(F.col("id"))
-    sample = base.orderBy(first, "id", "vector").limit(sample_rows).select("vector").toPandas()["vector"]  # sample_rows rows
-    tree = fit_tree(np.array(list(sample), np.float64).reshape(-1, dims), n_leaves or min(MAX_LEAVES, max(1, round(math.sqrt(n) / 1.5))))
+    sample = sorted(r["vector"] for r in bounded_sample(base, F.col("id"), n, sample_rows).select("vector").collect())
+    tree = fit_tree(np.array(sample, np.float64).reshape(-1, dims), n_leaves or min(MAX_LEAVES, max(1, round(math.sqrt(n) / 1.5))))
     sc = spark.sparkContext
     shared = sc.broadcast(tree)  # MAX_LEAVES leaves at most
 
