@@ -34,6 +34,7 @@ from textprep.llm.common import byte_table, ngram_hashes, word_count, word_hashe
 
 MIN_MATCH, COVERAGE = 5, 0.5
 MAX_BLOCK_TOKENS = 2_000_000
+SLICE_ROWS = 500
 _TABLE = byte_table(lower=True, split_punctuation=True)
 
 
@@ -116,6 +117,14 @@ class Seeds:
                 yield int(doc[a]), int(item[a]), tiles
 
 
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A few hundred texts at a time, so that a task's arrays stay small."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, SLICE_ROWS):
+            part = pa.Table.from_batches([batch]).slice(at, SLICE_ROWS)
+            yield part.combine_chunks().to_batches()[0] if at or part.num_rows < batch.num_rows else batch
+
+
 def _seed_blocks(benchmark: DataFrame, item_col: str, item_text_col: str, min_match: int) -> Iterator:
     """Broadcasts of (item ids, Seeds), each of about MAX_BLOCK_TOKENS tokens at most."""
     items = benchmark.where(F.col(item_text_col).isNotNull()).select(F.col(item_col).alias("item"), F.col(item_text_col).alias("text"))
@@ -141,7 +150,7 @@ def contaminations(docs: DataFrame, benchmark: DataFrame, keep: list[str], text_
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             names, seeds = shared.value
-            for batch in batches:
+            for batch in _slices(batches):
                 found = list(seeds.matches(*word_hashes(batch.column(1), _TABLE), coverage))
                 if found:
                     n = [sum(t[0] for t in tiles) for _, _, tiles in found]
@@ -167,7 +176,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "te
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             _, seeds = shared.value
-            for batch in batches:
+            for batch in _slices(batches):
                 texts = pc.fill_null(batch.column(0).field(at), "")
                 lost = {d for d, _, _ in seeds.matches(*word_hashes(texts, _TABLE), coverage)}
                 yield batch if not lost else batch.filter(pa.array([d not in lost for d in range(batch.num_rows)]))
