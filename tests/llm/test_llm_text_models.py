@@ -63,8 +63,10 @@ def test_langid_matches_brute_force(spark, langs, monkeypatch):
         best = max(z, key=z.get)
         assert r.lang_pred == best
         assert r.score == pytest.approx(1 / sum(math.exp(v - z[best]) for v in z.values()), abs=1e-3)
-    monkeypatch.setattr(langid, "SEGMENT_CHARS", 16)  # texts in many pieces still decide alike
-    assert {k: r.lang_pred for k, r in got.items()} == {(r.text, r.lang): r.lang_pred for r in langid.predict(langs, model).collect()}
+    texts = pa.array([t * 3 for t in LANGS.values()])
+    whole = langid.log_scores(model, texts)
+    monkeypatch.setattr(langid, "SEGMENT_CHARS", 16)  # texts in many pieces decide alike
+    assert list(langid.log_scores(model, texts).argmax(axis=1)) == list(whole.argmax(axis=1))
 
 
 def test_langid_without_training_rows(spark, langs):
@@ -110,8 +112,13 @@ def test_automaton_is_greedy_longest_match():
                 assert (n & (token_counts.UNKNOWN - 1), n >> 32) == greedy(w, pieces, mark), (w, pieces)
 
 
-def test_token_counts_rows(spark, monkeypatch):
+def test_words_of_a_long_text_in_blocks(monkeypatch):
     monkeypatch.setattr(token_counts, "BLOCK_CHARS", 8)
+    for text in ("ab a b", "abababababababab abab x", " lead and trail  ", "12345678 2345678", "1234567 2"):
+        assert [w for words in token_counts._blocks(text) for w in words] == text.split()
+
+
+def test_token_counts_rows(spark):
     pieces = {"▁", "a", "b", "ab", "▁ab", "▁a"}
     a = token_counts.build(pieces, "", "▁")
     texts = [None, "", " \t", "ab a b", "abababababababab abab x", "zz ab", "ab a b"]

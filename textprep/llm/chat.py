@@ -96,11 +96,11 @@ def _fold(rows: Iterator[tuple]) -> Iterator[tuple]:
         yield conv, role, "".join(parts)
 
 
-def _render(messages: Iterator[tuple]) -> Iterator[tuple]:
-    """(conv_id, segment, formatted, loss spans), each segment of about SEGMENT_CHARS."""
+def _render(messages: Iterator[tuple], segment_chars: int) -> Iterator[tuple]:
+    """(conv_id, segment, formatted, loss spans), each segment of about ``segment_chars``."""
     conv, seg, held, size, spans = object(), 0, [], 0, []
     for c, role, text in messages:
-        if held and (c != conv or size >= SEGMENT_CHARS):
+        if held and (c != conv or size >= segment_chars):
             yield conv, seg, "".join(held), spans
             seg, held, size, spans = seg + 1, [], 0, []
         if c != conv:
@@ -114,7 +114,7 @@ def _render(messages: Iterator[tuple]) -> Iterator[tuple]:
         yield conv, seg, "".join(held), spans
 
 
-def render_conversations(events: DataFrame) -> DataFrame:
+def render_conversations(events: DataFrame, segment_chars: int = SEGMENT_CHARS) -> DataFrame:
     """(conv_id, segment, formatted, loss_start, loss_end): a conversation's text is its
     segments in order; the loss spans are code points inside the segment."""
     log = events.select(
@@ -126,10 +126,10 @@ def render_conversations(events: DataFrame) -> DataFrame:
         rows = (row for b in batches for row in zip(*(c.to_pylist() for c in b.columns)))
         out: list[tuple] = []
         chars = 0
-        for conv, seg, text, spans in _render(_fold(rows)):
+        for conv, seg, text, spans in _render(_fold(rows), segment_chars):
             out.append((conv, seg, text, [s for s, _ in spans], [e for _, e in spans]))
             chars += len(text)
-            if chars >= SEGMENT_CHARS:
+            if chars >= segment_chars:
                 yield _batch(out)
                 out, chars = [], 0
         if out:

@@ -144,7 +144,7 @@ def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 pa.array(keys.ravel().view(np.int64))], ["rid", "band", "bucket"])
 
 
-def _prune(threshold: float, tolerance: float):
+def _prune(threshold: float, tolerance: float, slab_pairs: int):
     least = {n: least_matches(n, threshold, tolerance) for n in range(STEP, K + 1, STEP)}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -163,7 +163,7 @@ def _prune(threshold: float, tolerance: float):
             if not len(right):
                 continue
             block = np.uint64(group.column("block")[0].as_py() & 0xFFFFFFFFFFFFFFFF)
-            rows = max(1, SLAB_PAIRS // len(right))
+            rows = max(1, slab_pairs // len(right))
             for k, r0 in enumerate(range(0, len(left), rows)):
                 part = left[r0: r0 + rows]
                 a, b = np.repeat(part, len(right)), np.tile(right, len(part))
@@ -280,7 +280,7 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 (F.col("mine") != F.col("other")).alias("crossed"), (F.col("mine") > F.col("other")).alias("side")))
     blocks = members.join(with_sig.select("rid", "n_shingles", "sig"), "rid").select("block", "band", "crossed", "side", "rid", "n_shingles", "sig")
     units = pinned(blocks.repartition(F.col("block")).sortWithinPartitions("block").mapInArrow(
-        _prune(threshold, tolerance), "unit bigint, a array<bigint>, b array<bigint>"), "units")
+        _prune(threshold, tolerance, SLAB_PAIRS), "unit bigint, a array<bigint>, b array<bigint>"), "units")
 
     in_unit = units.select("unit", F.explode(F.array_distinct(F.concat("a", "b"))).alias("rid"))
     needed = pinned(texts.join(in_unit.select("rid").distinct(), "rid").select("rid", "key", "copies"), "needed")
