@@ -68,6 +68,11 @@ def seq2seq_shift(src: Column, tgt: Column, length: int) -> Column:
     return F.struct(enc.alias("encoder"), target.alias("target"), dec.alias("decoder"))
 
 
+def seq2seq_wrapped_target(tgt: Column, length: int) -> Column:
+    """The recurrent model's target: ``[2] + y[:L-2] + [3]``."""
+    return F.concat(F.array(F.lit(SOS_ID)), F.slice(tgt, 1, length - 2), F.array(F.lit(EOS_ID)))
+
+
 def cut_at_eos(ids: Column, eos: int = EOS_ID) -> Column:
     """Everything before the first ``eos``."""
     p = F.array_position(ids, F.lit(eos))

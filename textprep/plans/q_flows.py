@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from textprep.functions.arrays import age_range_expand, one_hot, seq2seq_shift
+from textprep.functions.arrays import age_range_expand, one_hot
 from textprep.functions.text import text_normalize, text_normalize_v2
 from textprep.operators import relational as R
 from textprep.operators.aggregates import (
@@ -20,14 +20,7 @@ from textprep.operators.metrics import accuracy_micro, bleu_corpus
 from textprep.operators.models import assemble, decision_tree, random_forest, tabular_logreg
 from textprep.operators.order import ffill_laid, ordered_layout
 from textprep.operators.sampling import class_cap_rebalance, split_fraction, split_ordered, split_three_way
-from textprep.operators.vocab import (
-    bpe_train,
-    encode_tokens,
-    pretokenize_words,
-    word_table,
-    wordlevel_encode,
-    wordlevel_train,
-)
+from textprep.operators.vocab import bpe_train, subword_encode, unigram_train, word_table, wordpiece_train
 from textprep.plans import fixtures_sql as X
 from textprep.plans import sql as S
 from textprep.plans.catalog import register
@@ -37,6 +30,9 @@ from textprep.sources import tables as TB
 from textprep.sources.tables import table
 
 SPECIALS = ("[PAD]", "[UNK]", "[SOS]", "[EOS]")
+# Marker tokens of the spelling and the question tokenizer
+SPELLING_SPECIALS = ("[PAD]", "[UNK]", "[SOS]", "[EOS]", "[RS]", "[WS]", "[MASK]", "[CLS]")
+QUESTION_SPECIALS = ("[PAD]", "[UNK]", "[SOS]", "[EOS]", "[MASK]")
 
 
 # --- flagship (entry) ---------------------------------------------------------------------
@@ -82,13 +78,14 @@ def _age_text():
 
 @register(
     "tweet_prep",
-    f"WITH c AS ({_clean_sql()}), d AS (SELECT x.doc_id, x.lang, x.source, x.n_chars, c.clean FROM documents x JOIN c USING (doc_id) "
+    f"WITH c AS ({_clean_sql()}), d AS (SELECT x.doc_id, x.lang, x.source, x.n_chars, concat('s', x.n_chars % 3) AS size_class, c.clean FROM documents x JOIN c USING (doc_id) "
     "WHERE x.text IS NOT NULL AND x.lang IS NOT NULL AND x.source IS NOT NULL AND x.n_chars IS NOT NULL), "
     f"p AS {split_sql(src='d')}, "
     "li AS (SELECT lang, CAST(row_number() OVER (ORDER BY min(doc_id)) - 1 AS INTEGER) AS lang_id FROM p WHERE part = 'train' GROUP BY lang), "
-    "si AS (SELECT source, CAST(row_number() OVER (ORDER BY min(doc_id)) - 1 AS INTEGER) AS source_id FROM p WHERE part = 'train' GROUP BY source) "
-    "SELECT p.doc_id, p.part, p.clean, li.lang_id, si.source_id, CAST(generate_series(CAST(floor(n_chars / 1000) AS INTEGER), "
-    "CAST(floor(n_chars / 1000) AS INTEGER) + 9) AS INTEGER[]) AS ages FROM p JOIN li USING (lang) JOIN si USING (source) "
+    "si AS (SELECT source, CAST(row_number() OVER (ORDER BY min(doc_id)) - 1 AS INTEGER) AS source_id FROM p WHERE part = 'train' GROUP BY source), "
+    "zi AS (SELECT size_class, CAST(row_number() OVER (ORDER BY min(doc_id)) - 1 AS INTEGER) AS size_id FROM p WHERE part = 'train' GROUP BY size_class) "
+    "SELECT p.doc_id, p.part, p.clean, li.lang_id, si.source_id, zi.size_id, CAST(generate_series(CAST(floor(n_chars / 1000) AS INTEGER), "
+    "CAST(floor(n_chars / 1000) AS INTEGER) + 9) AS INTEGER[]) AS ages FROM p JOIN li USING (lang) JOIN si USING (source) JOIN zi USING (size_class) "
     "WHERE p.clean <> ''",
 )
 def tweet_prep(spark, sf):
@@ -96,21 +93,24 @@ def tweet_prep(spark, sf):
     src = FS.scratch_path(spark, "tweets-latin1")
     FS.write_csv(table(spark, sf, "documents"), src, encoding="ISO-8859-1")
     raw = FS.read_csv_fallback(spark, src, "doc_id bigint, text string, lang string, source string, n_chars bigint", multi_line=True)
-    rows = R.dropna_any(raw)
+    rows = R.dropna_any(raw).withColumn("size_class", F.concat(F.lit("s"), (F.col("n_chars") % 3).cast("string")))
     parts = split_fraction(rows, "doc_id", 0.2, 42)
     train = parts.where(F.col("part") == "train")
     lang_ids = distinct_first_seen_ids(train, "lang", "doc_id")
     source_ids = distinct_first_seen_ids(train, "source", "doc_id")
-    out = parts.select("doc_id", "part", "lang", "source", text_normalize(F.col("text")).alias("clean"),
+    size_ids = distinct_first_seen_ids(train, "size_class", "doc_id")
+    out = parts.select("doc_id", "part", "lang", "source", "size_class", text_normalize(F.col("text")).alias("clean"),
                        age_range_expand(_age_text()).alias("ages"))
     out = R.map_values_strict(out, "lang", lang_ids, out="lang_id")
     out = R.map_values_strict(out, "source", source_ids, out="source_id")
-    out = out.select("doc_id", "part", "clean", "lang_id", "source_id", "ages")
+    out = R.map_values_strict(out, "size_class", size_ids, out="size_id")
+    out = out.select("doc_id", "part", "clean", "lang_id", "source_id", "size_id", "ages")
     # sinks: cleaned CSV + code tables as JSON; the CSV is what later stages read
     dst = FS.scratch_path(spark, "tweets-clean")
     FS.write_csv(out, dst)
-    FS.write_mapping_json({"lang2id": lang_ids, "source2id": source_ids}, FS.scratch_path(spark, "tweets-maps"))
-    back = FS.read_csv(spark, dst, "doc_id bigint, part string, clean string, lang_id int, source_id int, ages string")
+    maps = {"lang": lang_ids, "source": source_ids, "size": size_ids}
+    FS.write_mapping_json({f"{k}2id": t for k, t in maps.items()} | {f"id2{k}": t for k, t in maps.items()}, FS.scratch_path(spark, "tweets-maps"))
+    back = FS.read_csv(spark, dst, "doc_id bigint, part string, clean string, lang_id int, source_id int, size_id int, ages string")
     # an empty cleaned text is written as an empty field and comes back null: dropped
     back = back.where(F.col("clean").isNotNull() & (F.col("clean") != ""))
     return back.withColumn("ages", F.from_json("ages", "array<int>"))
@@ -168,12 +168,24 @@ def spelling_prep(spark, sf):
     wrong = F.array_join(F.transform("annotations", lambda a: a["current_syllable"]), " ")
     pairs = ann.select("doc_id", text_normalize(right).alias("right"), text_normalize(wrong).alias("wrong"))
     parts = split_three_way(pairs, "doc_id", 42)
-    vocab = wordlevel_train(word_table(parts.where(F.col("part") == "train"), "right"), 3000, SPECIALS)
-    wrap = lambda c: F.concat(F.lit("[SOS] "), F.col(c), F.lit(" [EOS]"))
-    src = wordlevel_encode(parts.select("doc_id", wrap("wrong").alias("t")), "doc_id", "t", vocab, 64, specials=SPECIALS)
-    tgt = wordlevel_encode(parts.select("doc_id", wrap("right").alias("t")), "doc_id", "t", vocab, 64, specials=SPECIALS)
-    return parts.select("doc_id", "part").join(src.withColumnRenamed("ids", "src_ids").withColumnRenamed("mask", "src_mask"),
-                                               "doc_id").join(tgt.select("doc_id", F.col("ids").alias("tgt_ids")), "doc_id")
+    scratch = FS.scratch_path(spark, "spelling-pairs")  # cleaned once, read by the training and the encoding
+    parts.write.parquet(scratch)
+    parts = spark.read.schema(parts.schema).parquet(scratch)
+    vocab, _ = wordpiece_train(word_table(parts, "right"), 3000, SPELLING_SPECIALS)
+    # the three texts of a pair are encoded in one pass
+    texts = F.array(F.struct(F.lit("right").alias("side"), F.concat(F.lit("[SOS]"), "right").alias("t")),
+                    F.struct(F.lit("wrong").alias("side"), F.col("wrong").alias("t")),
+                    F.struct(F.lit("target").alias("side"), F.concat("right", F.lit("[EOS]")).alias("t")))
+    sides = parts.select("doc_id", F.explode(texts).alias("x")).select(
+        F.concat_ws(":", F.col("doc_id").cast("string"), "x.side").alias("k"), "x.t")
+    enc = subword_encode(sides, "k", "t", vocab, "wordpiece", length=64, specials=SPELLING_SPECIALS)
+    enc = enc.select(F.substring_index("k", ":", 1).cast("bigint").alias("doc_id"), F.substring_index("k", ":", -1).alias("side"), "ids", "mask")
+    wide = enc.groupBy("doc_id").agg(*[F.max(F.when(F.col("side") == s, F.col(c))).alias(f"{s}_{c}")
+                                       for s in ("right", "wrong", "target") for c in ("ids", "mask")])
+    return parts.select("doc_id", "part").join(wide, "doc_id")
+
+
+TRANSLATION_VOCAB = 1500  # entries of each side's BPE vocabulary
 
 
 # --- translation prep -------------------------------------------------------------------
@@ -193,18 +205,20 @@ def translation_prep(spark, sf):
     pairs = R.zip_align(src, tgt, ["file", "line_no"])
     pairs = split_ordered(pairs, "idx", 0.9)
     train = pairs.where(F.col("part") == "train")
-    v_src = wordlevel_train(word_table(train, "src"), 31000, SPECIALS)
-    v_tgt = wordlevel_train(word_table(train, "tgt"), 31000, SPECIALS)
-    toks = pairs.select("idx", pretokenize_words(F.col("src")).alias("ts"), pretokenize_words(F.col("tgt")).alias("tt"))
-    e_src = encode_tokens(toks, "idx", "ts", v_src, out="s")
-    e_tgt = encode_tokens(toks, "idx", "tt", v_tgt, out="t")
-    enc = e_src.join(e_tgt, "idx").select("idx", seq2seq_shift(F.col("s"), F.col("t"), 64).alias("sh"))
-    scored = pairs.join(enc, "idx").select("idx", "part", "sh.encoder", "sh.target", "sh.decoder", "src", "tgt")
+    coded = {}
+    for side in ("src", "tgt"):
+        vocab, merges = bpe_train(word_table(train, side), TRANSLATION_VOCAB, SPECIALS)
+        forms = {"src": {"encoder": ("[SOS]", "[EOS]")}, "tgt": {"decoder": ("[SOS]", ""), "target": ("", "[EOS]")}}[side]
+        for name, (head, tail) in forms.items():
+            text = pairs.select("idx", F.concat(F.lit(head), F.translate(side, "_", " "), F.lit(tail)).alias("t"))
+            coded[name] = subword_encode(text, "idx", "t", vocab, "bpe", merges, 128, specials=SPECIALS).select(
+                "idx", F.col("ids").alias(name), F.col("mask").alias(f"{name}_mask"))
+    scored = pairs.join(coded["encoder"], "idx").join(coded["decoder"], "idx").join(coded["target"], "idx")
     # trivial scoring function: the hypothesis is the source text itself
     bleu = bleu_corpus(scored.where(F.col("part") == "validation"), "idx", "src", "tgt").first()["bleu"]
     out = FS.scratch_path(spark, "translation-out")
     FS.write_csv(scored.select("idx", "part", "src", "tgt"), out)
-    return scored.select("idx", "part", "encoder", "target", "decoder", F.lit(bleu).alias("val_bleu"))
+    return scored.select("idx", "part", "encoder", "encoder_mask", "decoder", "decoder_mask", "target", "target_mask", F.lit(bleu).alias("val_bleu"))
 
 
 # --- question balance -------------------------------------------------------------------
@@ -230,6 +244,19 @@ def question_balance(spark, sf):
                         one_hot(F.col("quality"), 2).alias("label_1h"))
 
 
+@register("question_balance_encoded")
+def question_balance_encoded(spark, sf):
+    """``question_balance`` with the encoding: a Unigram vocabulary of the whole corpus,
+    texts cut and padded to 64 ids."""
+    path = FS.scratch_path(spark, "questions")
+    question_balance(spark, sf).write.parquet(path)
+    rows = spark.read.parquet(path)
+    corpus = R.dropna_any(TB.labelled_texts(spark, sf).select("text", "quality"))
+    vocab = unigram_train(word_table(corpus, "text"), 3000, QUESTION_SPECIALS)
+    enc = subword_encode(rows.select("doc_id", "clean"), "doc_id", "clean", vocab, "unigram", length=64, specials=QUESTION_SPECIALS)
+    return rows.select("doc_id", "idx", "part", "label_1h").join(enc, "doc_id")
+
+
 # --- tabular prep -----------------------------------------------------------------------
 
 @register("tabular_prep")
@@ -254,7 +281,7 @@ def tabular_prep(spark, sf):
         "y", (F.col("flag_id") == 2).cast("double"))
     rows = []
     for name, fn in (("logreg", lambda a, b: tabular_logreg(a, b, "y")), ("tree", lambda a, b: decision_tree(a, b, "y")),
-                     ("forest", lambda a, b: random_forest(a, b, "y", num_trees=100, max_depth=12))):
+                     ("forest", lambda a, b: random_forest(a, b, "y", num_trees=100, max_depth=30))):
         acc = accuracy_micro(fn(train_s, test_s), "prediction", "y").first()["accuracy"]
         rows.append((name, float(acc), int(audit), float(corr)))
     return spark.createDataFrame(rows, "model string, accuracy double, nulls_before int, max_abs_corr double")

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from textprep.functions.arrays import pad_labels
+from textprep.functions.rnd import seeded_uniform, sql_uniform
 from textprep.operators import metrics as M
 from textprep.operators.order import running_max_records
 from textprep.operators.sampling import batch_assign, mask_tokens
@@ -49,6 +51,42 @@ def _ce(spark, sf):
     return out.select(F.round("cross_entropy", 9).alias("cross_entropy"))
 
 
+@register("cross_entropy_ignore", "SELECT round(avg(list_max(scores) + ln(list_sum(list_transform(scores, lambda x: exp(x - list_max(scores))))) "
+          f"- scores[label + 1]), 9) AS cross_entropy FROM {X.SCORES} WHERE label <> 3")
+def _ce_ignore(spark, sf):
+    out = M.cross_entropy(TB.score_table(spark, sf), "scores", "label", ignore_index=3)
+    return out.select(F.round("cross_entropy", 9).alias("cross_entropy"))
+
+
+@register("cross_entropy_binary", "SELECT round(avg(greatest(x, 0.0) - x * y + ln(1 + exp(-abs(x)))), 9) AS bce FROM (SELECT "
+          f"{_BIN_SCORE} AS x, CASE WHEN event_type IN ('purchase', 'signup') THEN 1.0 ELSE 0.0 END AS y FROM events)")
+def _bce(spark, sf):
+    ev = table(spark, sf, "events").select(
+        ((F.col("value") - 250.0) / 100.0).alias("score"), F.col("event_type").isin("purchase", "signup").cast("int").alias("target"))
+    return M.binary_cross_entropy_logits(ev, "score", "target").select(F.round("bce", 9).alias("bce"))
+
+
+TOKEN_L, TOKEN_PAD = 4, 37  # orders longer than four lines are cut, shorter ones padded with the ignored id
+
+
+@register("accuracy_tokens", "WITH t AS (SELECT l_orderkey, CASE l_returnflag WHEN 'A' THEN 0 WHEN 'N' THEN 1 ELSE 2 END AS label, "
+          "row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) - 1 AS i FROM lineitem) "
+          f"SELECT round(avg(CASE WHEN {sql_uniform('l_orderkey', 'i', 13)} < 0.8 THEN 1.0 ELSE 0.0 END), 9) AS accuracy "
+          f"FROM t WHERE i < {TOKEN_L}")
+def _acc_tokens(spark, sf):
+    codes = F.create_map(F.lit("A"), F.lit(0), F.lit("N"), F.lit(1), F.lit("R"), F.lit(2))
+    rows = F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_returnflag")))
+    tags = table(spark, sf, "lineitem").groupBy("l_orderkey").agg(rows.alias("r")).select(
+        "l_orderkey", pad_labels(F.transform("r", lambda x: codes[x["l_returnflag"]]), TOKEN_L).alias("label"))
+    guess = F.transform("label", lambda x, i: F.when(seeded_uniform(F.col("l_orderkey"), i, 13) < 0.8, x).otherwise((x + 1) % 3))
+    return M.token_accuracy(tags.withColumn("pred", guess), "pred", "label", TOKEN_PAD).select(F.round("accuracy", 9).alias("accuracy"))
+
+
+@register("bleu_smoothed")
+def _bleu_smoothed(spark, sf):
+    return M.bleu_corpus(_bleu_input(spark, sf), "pair_id", "hyp", "tgt", smooth=True)
+
+
 @register("confusion_matrix", "SELECT g.label, g.pred, coalesce(c.n, 0)::BIGINT AS n FROM (SELECT a.label, b.pred FROM "
           "range(4) a(label), range(4) b(pred)) g LEFT JOIN (SELECT label, pred, count(*) AS n FROM "
           f"{X.PREDICTIONS} GROUP BY label, pred) c ON c.label = g.label AND c.pred = g.pred")
