@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from textprep.llm.common import bounded_broadcast, hash53, pinned, word_count
 
 MAX_SOURCES = 100_000
-CUT_ROWS = 4096  # mean rows of a cell that are ranked together
+CUT_ROWS = 512  # mean rows of a cell that are ranked together
 PLAN_BROADCAST_ROWS = 300_000
 
 
