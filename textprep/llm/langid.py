@@ -39,9 +39,11 @@ class LangModel:
     bits: int
 
 
-def _features(cps: np.ndarray, doc: np.ndarray, orders: int, bits: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """For each order: (feature, text index) of the n-grams that stay inside one text."""
+def _features(cps: np.ndarray, doc: np.ndarray, fresh: int, orders: int, bits: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For each order: (feature, text index) of the n-grams that stay inside one text and end
+    at or behind ``fresh`` (what is before it gives context only)."""
     space = cps == 0x20
+    space[:fresh] = True
     h = np.zeros(len(cps), np.uint64)
     for k in range(min(orders, len(cps))):
         if k:
@@ -55,27 +57,30 @@ def _features(cps: np.ndarray, doc: np.ndarray, orders: int, bits: int) -> Itera
         yield (g >> np.uint64(64 - bits)).astype(np.int64), doc[k:][ok]
 
 
-def _segments(texts: pa.Array, orders: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Normalised code points and text index, in segments of about SEGMENT_CHARS; a long
-    text is cut, each piece repeating no n-gram (its first characters give context only)."""
+def _segments(texts: pa.Array, orders: int) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
+    """Normalised code points, text index and number of context characters, in segments of
+    about SEGMENT_CHARS; a long text is cut, and a segment that goes on with a text begins
+    with that text's last characters as context, so no n-gram is lost or repeated."""
     low = pc.utf8_lower(texts)
     table = np.arange(128, dtype=np.uint64)
     table[:97] = 0x20
     table[123:] = 0x20
-    parts, docs, held = [], [], 0
+    parts, docs, held, context = [], [], 0, 0
     for i, value in enumerate(low):
         s = value.as_py()
         for a in range(0, len(s), SEGMENT_CHARS):
-            piece = s[a: a + SEGMENT_CHARS]
+            if a:  # the piece before filled its segment, so this one begins the next
+                context = min(orders - 1, a)
+            piece = s[a - min(orders - 1, a): a + SEGMENT_CHARS]
             c = np.frombuffer(piece.encode("utf-32-le", "replace"), np.uint32).astype(np.uint64)
             parts.append(np.where(c < 128, table[np.minimum(c, 127)], c))
             docs.append(i)
             held += len(c)
             if held >= SEGMENT_CHARS:
-                yield np.concatenate(parts), np.repeat(docs, [len(p) for p in parts])
-                parts, docs, held = [], [], 0
+                yield np.concatenate(parts), np.repeat(docs, [len(p) for p in parts]), context
+                parts, docs, held, context = [], [], 0, 0
     if parts:
-        yield np.concatenate(parts), np.repeat(docs, [len(p) for p in parts])
+        yield np.concatenate(parts), np.repeat(docs, [len(p) for p in parts]), context
 
 
 def fit(rows: DataFrame, text_col: str = "text", label_col: str = "lang", orders: int = 3, bits: int = 16,
@@ -104,8 +109,8 @@ def fit(rows: DataFrame, text_col: str = "text", label_col: str = "lang", orders
             for k, x in enumerate(names):
                 held.setdefault(x, np.zeros(size, np.int64))
                 n_rows[x] = n_rows.get(x, 0) + int((of == k).sum())
-            for cps, doc in _segments(batch.column(1), orders):
-                for feat, d in _features(cps, doc, orders, bits):
+            for cps, doc, context in _segments(batch.column(1), orders):
+                for feat, d in _features(cps, doc, context, orders, bits):
                     lang = of[d]
                     for k in np.unique(lang):
                         held[names[k]] += np.bincount(feat[lang == k], minlength=size)
@@ -135,9 +140,9 @@ def fit(rows: DataFrame, text_col: str = "text", label_col: str = "lang", orders
 def log_scores(model: LangModel, texts: pa.Array) -> np.ndarray:
     """Log prior + log likelihood, (texts, languages)."""
     total = np.tile(model.log_prior, (len(texts), 1))
-    for cps, doc in _segments(texts, model.orders):
+    for cps, doc, context in _segments(texts, model.orders):
         first, n = int(doc[0]), int(doc[-1]) - int(doc[0]) + 1
-        for feat, d in _features(cps, doc, model.orders, model.bits):
+        for feat, d in _features(cps, doc, context, model.orders, model.bits):
             for k in range(len(model.langs)):
                 total[first: first + n, k] += np.bincount(d - first, weights=model.log_prob[k][feat], minlength=n)
     return total
