@@ -8,7 +8,8 @@ bounded set of queries are found by one pass over all rows, and the visits are w
 until ``recall`` of them lie in visited leaves.
 
 The visits are joined with the rows by (leaf, block): a leaf is dealt into blocks of about
-BLOCK_ROWS rows, so a leaf that holds a third of all rows is many tasks.  In a task the
+BLOCK_ROWS rows, by row, so a leaf that holds a third of all rows is many tasks, even if
+all of them are one row repeated.  In a task the
 block's vectors come first and the queries stream past them; per query and block only the
 ``k`` best go on, and a last pass merges them.
 
@@ -295,8 +296,8 @@ def nearest(rows: DataFrame, is_query: Column, id_col: str = "vec_id", vector_co
     walked = sc.broadcast((tree, counts))
     visited = queries.mapInArrow(_visits(walked, dims, visits, k), "leaf int, query bigint, vector array<double>")
     blocks = spark.createDataFrame([(i, max(1, math.ceil(int(c) / BLOCK_ROWS))) for i, c in enumerate(counts)], "leaf int, blocks int")
-    candidate = indexed.join(F.broadcast(blocks), "leaf").select(
-        F.xxhash64("leaf", F.pmod(F.xxhash64("id", "vector"), "blocks").cast("int")).alias("unit"), F.lit(False).alias("is_query"), "id", "vector")
+    candidate = indexed.withColumn("row", F.monotonically_increasing_id()).join(F.broadcast(blocks), "leaf").select(
+        F.xxhash64("leaf", F.pmod(F.xxhash64("row"), "blocks").cast("int")).alias("unit"), F.lit(False).alias("is_query"), "id", "vector")
     asked = visited.join(F.broadcast(blocks), "leaf").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
         F.xxhash64("leaf", "block").alias("unit"), F.lit(True).alias("is_query"), F.col("query").alias("id"), "vector")
     found = candidate.unionByName(asked).repartition(F.col("unit")).sortWithinPartitions("unit", "is_query").mapInArrow(
