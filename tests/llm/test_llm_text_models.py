@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from conftest import SF001, SF01
 from textprep.llm import brown, langid, quality_kn, queries, token_counts
-from textprep.llm.common import byte_table, ngram_hashes, word_hashes
+from textprep.llm.common import byte_table, ngram_hashes, text_slices, word_hashes
 
 
 # --- hashing -----------------------------------------------------------------------------
@@ -30,6 +30,16 @@ def test_word_hashes_follow_the_words(monkeypatch):
     assert len(ngram_hashes(plain, 3)) == 0 and len(ngram_hashes(plain, 2)) == 1
 
 
+def test_slices_are_bounded_by_rows_and_bytes(monkeypatch):
+    monkeypatch.setattr("textprep.llm.common.SLICE_BYTES", 10)
+    texts = ["aaaa", "é" * 3, "", "b" * 40, "", "c", "d", "e", "f"]
+    whole = pa.record_batch([pa.array(range(-1, len(texts))), pa.array(["before", *texts])], ["k", "t"]).slice(1)
+    parts = [(part.column(0).to_pylist(), got.to_pylist()) for part, got in text_slices(whole, whole.column(1), 3)]
+    assert [t for _, got in parts for t in got] == texts and [k for ks, _ in parts for k in ks] == list(range(len(texts)))
+    assert all(len(got) <= 3 and (len(got) == 1 or sum(len(t.encode()) for t in got) <= 10) for _, got in parts)
+    assert list(text_slices(whole.slice(0, 0), whole.column(1).slice(0, 0))) == []
+
+
 # --- language ID -------------------------------------------------------------------------
 
 LANGS = {"xx": "abra kadabra simsala bim ", "yy": "quod erat demonstrandum ergo ", "zz": "жили были дед и баба "}
@@ -65,8 +75,9 @@ def test_langid_matches_brute_force(spark, langs, monkeypatch):
         assert r.score == pytest.approx(1 / sum(math.exp(v - z[best]) for v in z.values()), abs=1e-3)
     texts = pa.array([t * 3 for t in LANGS.values()])
     whole = langid.log_scores(model, texts)
-    monkeypatch.setattr(langid, "SEGMENT_CHARS", 16)  # texts in many pieces decide alike
-    assert list(langid.log_scores(model, texts).argmax(axis=1)) == list(whole.argmax(axis=1))
+    for chars in (1, 2, 7, 16):  # texts in many pieces lose and repeat no n-gram
+        monkeypatch.setattr(langid, "SEGMENT_CHARS", chars)
+        assert langid.log_scores(model, texts) == pytest.approx(whole)
 
 
 def test_langid_without_training_rows(spark, langs):

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textprep.llm.common import byte_table, most_frequent, pinned, words_with_endings
+from textprep.llm.common import byte_table, most_frequent, pinned, text_slices, words_with_endings
 
 FREQUENT, HOT, CLASSES = 8192, 1 << 18, 64
 ROUNDS, LEAST_GAIN = 12, 1e-4
@@ -85,11 +85,12 @@ def _texts(docs: DataFrame, text_col: str) -> DataFrame:
 
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        words, _, endings = words_with_endings(batch.column(0), _TABLE)
-        word, first, n = np.unique(words, return_index=True, return_counts=True)
-        yield pa.RecordBatch.from_arrays([
-            pa.array(np.append(word.view(np.int64), END)), pa.array(np.append(endings[first], -1).astype(np.int32)),
-            pa.array(np.append(n, batch.num_rows).astype(np.int64))], ["word", "ending", "n"])
+        for part, texts in text_slices(batch, batch.column(0)):
+            words, _, endings = words_with_endings(texts, _TABLE)
+            word, first, n = np.unique(words, return_index=True, return_counts=True)
+            yield pa.RecordBatch.from_arrays([
+                pa.array(np.append(word.view(np.int64), END)), pa.array(np.append(endings[first], -1).astype(np.int32)),
+                pa.array(np.append(n, part.num_rows).astype(np.int64))], ["word", "ending", "n"])
 
 
 def _steps(words: np.ndarray, ptr: np.ndarray, endings: np.ndarray, units: Units) -> tuple[np.ndarray, np.ndarray]:
@@ -105,10 +106,11 @@ def _count_bigrams(shared):
         units: Units = shared.value
         base = np.int64(units.end + 1)
         for batch in batches:
-            before, here = _steps(*words_with_endings(batch.column(0), _TABLE), units)
-            pair, n = np.unique(before * base + here, return_counts=True)
-            yield pa.RecordBatch.from_arrays([
-                pa.array((pair // base).astype(np.int32)), pa.array((pair % base).astype(np.int32)), pa.array(n.astype(np.int64))], ["a", "b", "n"])
+            for _, texts in text_slices(batch, batch.column(0)):
+                before, here = _steps(*words_with_endings(texts, _TABLE), units)
+                pair, n = np.unique(before * base + here, return_counts=True)
+                yield pa.RecordBatch.from_arrays([
+                    pa.array((pair // base).astype(np.int32)), pa.array((pair % base).astype(np.int32)), pa.array(n.astype(np.int64))], ["a", "b", "n"])
     return run
 
 
@@ -260,9 +262,8 @@ def _score_texts(shared):
         units, classes, transition, norm, hot, hot_count, tokens, types, ends = shared.value
         base = np.log10(tokens + types + 1.0)
         for whole in batches:
-            for at in range(0, whole.num_rows, _TEXTS):
-                batch = whole.slice(at, _TEXTS)
-                words, ptr, endings = words_with_endings(batch.column(1), _TABLE)
+            for batch, texts in text_slices(whole, whole.column(1), _TEXTS):
+                words, ptr, endings = words_with_endings(texts, _TABLE)
                 n = batch.num_rows
                 before, here = _steps(words, ptr, endings, units)
                 size = np.diff(ptr) + 1

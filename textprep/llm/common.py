@@ -14,6 +14,7 @@ from textprep.session import ensure_checkpoint_dir
 
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"  # a word: a run without ASCII white space
 BLOCK_BYTES = 1 << 21  # texts are hashed in blocks of about this many bytes
+SLICE_BYTES = 1 << 23  # UTF-8 bytes of texts that a step of a task holds
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -137,6 +138,18 @@ def string_buffers(column) -> tuple[np.ndarray, np.ndarray]:
     return raw[off[0]: off[-1]], off - off[0]
 
 
+def text_slices(batch: pa.RecordBatch, texts: pa.Array, rows: int = 1 << 20) -> Iterator[tuple[pa.RecordBatch, pa.Array]]:
+    """``batch`` and its non-null ``texts`` in parts of at most ``rows`` rows and SLICE_BYTES of
+    text (a longer text is a part of its own), so that a step's arrays do not grow with the batch."""
+    _, off = string_buffers(texts)
+    a = 0
+    while a < batch.num_rows:
+        b = int(np.searchsorted(off, off[a] + SLICE_BYTES, "right")) - 1
+        b = min(max(a + 1, b), a + rows, batch.num_rows)
+        yield batch.slice(a, b - a), texts.slice(a, b - a)
+        a = b
+
+
 def _hash_block(raw: np.ndarray, starts_doc: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start, hash and last two bytes of each word; ``starts_doc``: positions where a text begins."""
     norm = table[raw]

@@ -29,8 +29,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from textprep.llm.common import byte_table, ngram_hashes, word_count, word_hashes
+from textprep.llm.common import byte_table, ngram_hashes, text_slices, word_count, word_hashes
 
 MIN_MATCH, COVERAGE = 5, 0.5
 MAX_BLOCK_TOKENS = 2_000_000
@@ -117,14 +118,6 @@ class Seeds:
                 yield int(doc[a]), int(item[a]), tiles
 
 
-def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A few hundred texts at a time, so that a task's arrays stay small."""
-    for batch in batches:
-        for at in range(0, batch.num_rows, SLICE_ROWS):
-            part = pa.Table.from_batches([batch]).slice(at, SLICE_ROWS)
-            yield part.combine_chunks().to_batches()[0] if at or part.num_rows < batch.num_rows else batch
-
-
 def _seed_blocks(benchmark: DataFrame, item_col: str, item_text_col: str, min_match: int) -> Iterator:
     """Broadcasts of (item ids, Seeds), each of about MAX_BLOCK_TOKENS tokens at most."""
     items = benchmark.where(F.col(item_text_col).isNotNull()).select(F.col(item_col).alias("item"), F.col(item_text_col).alias("text"))
@@ -144,19 +137,21 @@ def contaminations(docs: DataFrame, benchmark: DataFrame, keep: list[str], text_
     packed = docs.where(F.col(text_col).isNotNull()).select(F.struct(*keep).alias("row"), F.col(text_col).alias("text"))
     row_type, item_type = packed.schema["row"].dataType.simpleString(), benchmark.schema[item_col].dataType.simpleString()
     schema = f"row {row_type}, item_id {item_type}, item_tokens bigint, matched_tokens bigint, n_tiles bigint, coverage double"
-    id_kind = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[item_type]
+    id_kind = to_arrow_type(benchmark.schema[item_col].dataType)
     out = None
     for shared in _seed_blocks(benchmark, item_col, item_text_col, min_match):
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             names, seeds = shared.value
-            for batch in _slices(batches):
-                found = list(seeds.matches(*word_hashes(batch.column(1), _TABLE), coverage))
-                if found:
+            for batch in batches:
+                for part, texts in text_slices(batch, batch.column(1), SLICE_ROWS):
+                    found = list(seeds.matches(*word_hashes(texts, _TABLE), coverage))
+                    if not found:
+                        continue
                     n = [sum(t[0] for t in tiles) for _, _, tiles in found]
                     size = [seeds.lengths[k] for _, k, _ in found]
                     yield pa.RecordBatch.from_arrays([
-                        batch.column(0).take(pa.array([d for d, _, _ in found])), pa.array([names[k] for _, k, _ in found], id_kind),
+                        part.column(0).take(pa.array([d for d, _, _ in found])), pa.array([names[k] for _, k, _ in found], id_kind),
                         pa.array(size, pa.int64()), pa.array(n, pa.int64()), pa.array([len(t) for _, _, t in found], pa.int64()),
                         pa.array([x / y for x, y in zip(n, size)], pa.float64())],
                         ["row", "item_id", "item_tokens", "matched_tokens", "n_tiles", "coverage"])
@@ -176,10 +171,10 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "te
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             _, seeds = shared.value
-            for batch in _slices(batches):
-                texts = pc.fill_null(batch.column(0).field(at), "")
-                lost = {d for d, _, _ in seeds.matches(*word_hashes(texts, _TABLE), coverage)}
-                yield batch if not lost else batch.filter(pa.array([d not in lost for d in range(batch.num_rows)]))
+            for batch in batches:
+                for part, texts in text_slices(batch, pc.fill_null(batch.column(0).field(at), ""), SLICE_ROWS):
+                    lost = {d for d, _, _ in seeds.matches(*word_hashes(texts, _TABLE), coverage)}
+                    yield part if not lost else part.filter(pa.array([d not in lost for d in range(part.num_rows)]))
 
         packed = packed.mapInArrow(run, packed.schema)
     return packed.select("row.*")

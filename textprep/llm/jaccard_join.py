@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textprep.llm.common import bounded_broadcast, byte_table, key_groups, mix64, ngram_hashes, pinned, word_hashes
+from textprep.llm.common import bounded_broadcast, byte_table, key_groups, mix64, ngram_hashes, pinned, text_slices, word_hashes
 from textprep.llm.components import connected_components
 
 WORDS, THRESHOLD, TOLERANCE = 5, 0.8, 1e-5
@@ -43,6 +43,7 @@ CHUNK_TEXTS = 256
 SLAB_PAIRS = 60_000
 MINHASH_BLOCK = 1 << 16
 BROADCAST_TEXTS = 100_000
+SLICE_ROWS = 2000
 
 _rng = np.random.default_rng(7)
 _A = _rng.integers(0, 1 << 32, K, dtype=np.uint64).astype(np.uint32) | np.uint32(1)
@@ -121,9 +122,8 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(id, key, text) -> (id, key, n_shingles, sig); sig is null without shingles."""
     table = byte_table()
     for batch in batches:
-        for at in range(0, batch.num_rows, 2000):
-            part = batch.slice(at, 2000)
-            sh, off = shingles(*word_hashes(part.column(2), table))
+        for part, texts in text_slices(batch, batch.column(2), SLICE_ROWS):
+            sh, off = shingles(*word_hashes(texts, table))
             n = np.diff(off)
             some = np.flatnonzero(n)
             sig = minhash(sh, np.append(off[some], off[-1])) if len(some) else np.zeros((0, K), np.uint32)
@@ -196,11 +196,12 @@ def _shingle_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             if k not in seen:
                 seen.add(k)
                 fresh.append(i)
-        part = batch.take(pa.array(fresh, pa.int64())) if len(fresh) < batch.num_rows else batch
-        sh, off = shingles(*word_hashes(part.column(1), table))
-        sets = [np.unique(sh[s:e]) for s, e in zip(off[:-1], off[1:])]
-        ends = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int64)
-        yield pa.RecordBatch.from_arrays([part.column(0), _binary(np.concatenate(sets) if sets else sh, ends)], ["key", "shingles"])
+        first = batch.take(pa.array(fresh, pa.int64())) if len(fresh) < batch.num_rows else batch
+        for part, texts in text_slices(first, first.column(1), SLICE_ROWS):
+            sh, off = shingles(*word_hashes(texts, table))
+            sets = [np.unique(sh[s:e]) for s, e in zip(off[:-1], off[1:])]
+            ends = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([part.column(0), _binary(np.concatenate(sets), ends)], ["key", "shingles"])
 
 
 def _verify(threshold: float):
