@@ -203,6 +203,22 @@ def test_exchange_raises_the_likelihood(spark, two_tongues):
     assert seen[0] == sorted(seen[0]) and seen[0][-1] > seen[0][0]
 
 
+def test_packed_rows_keep_a_unit_together(spark, monkeypatch):
+    """Moves do not depend on how many rows of the table are packed into one."""
+    rng = np.random.default_rng(3)
+    rows = [(int(u), bool(f), int(o), int(n)) for u, f, o, n in zip(np.sort(rng.integers(0, 30, 500)), rng.integers(0, 2, 500), rng.integers(0, 30, 500), rng.integers(1, 9, 500))]
+    table = pa.record_batch([pa.array(c) for c in zip(*rows)], ["unit", "first", "other", "n"])
+    shared = type("Shared", (), {"value": (np.arange(30) % 4, np.ones((5, 5)))})
+    seen = []
+    for size in (1, 7, 1 << 16):
+        monkeypatch.setattr(brown, "PACK_ROWS", size)
+        packed = brown._pack(table.slice(a, 5) for a in range(0, 500, 5))
+        seen.append(pa.Table.from_batches(brown._best_moves(shared, 5)(packed)).to_pydict())
+    assert seen[0]["unit"] == sorted({r[0] for r in rows})
+    for other in seen[1:]:
+        assert all(other[c] == seen[0][c] for c in ("unit", "best", "mass")) and other["gain"] == pytest.approx(seen[0]["gain"])
+
+
 @pytest.mark.parametrize("hot", [0, 5, 1000])
 def test_scores_by_brute_force(spark, two_tongues, hot):
     """Any share of counts may come by the join: the scores are the same sums."""

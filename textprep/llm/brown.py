@@ -6,8 +6,9 @@ Units of clustering are the ``frequent`` most frequent words and, for all other
 their ending (last two bytes): every word has a class, known or not, and the map fits a
 broadcast of fixed size.  The exchange algorithm moves units between classes to raise the
 class-bigram likelihood.  Its counts are a table of unit bigrams over all training texts,
-laid out by unit, so each step is one pass in which a task holds the whole neighbourhood
-of its units; a step is taken only if the likelihood, counted again, rises.
+laid out by unit in rows of packed columns, so each step is one pass in which a task holds
+the whole neighbourhood of its units; a step is taken only if the likelihood, counted
+again, rises.
 
 Word counts cover all training texts.  A word's count is needed where a text is scored:
 the ``hot`` most frequent words' counts are broadcast (a bound, not a cut), all others are
@@ -39,6 +40,8 @@ FREQUENT, HOT, CLASSES = 8192, 1 << 18, 64
 ROUNDS, LEAST_GAIN = 12, 1e-4
 CLASS_PRIOR, WORD_PRIOR = 8.0, 0.5
 ENDINGS = 1 << 16
+PACK_ROWS = 1 << 16  # rows of the bigram table that are one row of packed columns
+_PACKED = {"unit": np.int32, "first": np.uint8, "other": np.int32, "n": np.int64}
 END = np.int64(0)  # key of the end token in the table of counts
 _TABLE = byte_table(lower=True)
 _TEXTS = 2000  # texts that a step of a task holds
@@ -114,12 +117,35 @@ def _count_bigrams(shared):
     return run
 
 
+def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of a partition -> rows that hold PACK_ROWS or more of them, order kept."""
+    def row(part: list[pa.RecordBatch]) -> pa.RecordBatch:
+        cols = [np.concatenate([b.column(i).to_numpy(zero_copy_only=False) for b in part]).astype(kind) for i, kind in enumerate(_PACKED.values())]
+        return pa.RecordBatch.from_arrays([pa.array([c.tobytes()], pa.binary()) for c in cols], list(_PACKED))
+
+    held, size = [], 0
+    for batch in batches:
+        held.append(batch)
+        size += batch.num_rows
+        if size >= PACK_ROWS:
+            yield row(held)
+            held, size = [], 0
+    if size:
+        yield row(held)
+
+
+def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
+    for batch in batches:
+        for i in range(batch.num_rows):
+            unit, first, other, n = (np.frombuffer(batch.column(c)[i].as_py(), kind) for c, kind in enumerate(_PACKED.values()))
+            yield [unit, first.astype(bool), other, n]
+
+
 def _class_matrix(shared, k: int):
     """Class bigram counts of the pairs in which the unit comes first."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         classes, total = shared.value, np.zeros(k * k, np.int64)
-        for batch in batches:
-            unit, first, other, n = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+        for unit, first, other, n in _unpacked(batches):
             total += np.bincount(classes[unit[first]] * k + classes[other[first]], n[first], k * k).astype(np.int64)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], ["cell", "n"])
@@ -153,12 +179,12 @@ def _best_moves(shared, k: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         classes, matrix = shared.value
-        held = None  # the rows of a batch's last unit go on in the next batch
-        for batch in batches:
-            cols = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+        held = None  # the rows of the last unit go on in the next packed row
+        for cols in _unpacked(batches):
             if held is not None:
                 cols = [np.concatenate(x) for x in zip(held, cols)]
-            cut = int(np.searchsorted(cols[0], cols[0][-1])) if len(cols[0]) else 0
+            edges = np.flatnonzero(np.diff(cols[0]))
+            cut = int(edges[-1]) + 1 if len(edges) else 0
             held = [c[cut:] for c in cols]
             if cut:
                 yield choose(*[c[:cut] for c in cols], classes, matrix)
@@ -173,6 +199,7 @@ def exchange(table: DataFrame, classes: np.ndarray, k: int, rounds: int = ROUNDS
     ``table`` (unit, first, other, n) holds every bigram twice, for either unit, sorted by
     unit.  Half of the units may move in a round, so that neighbours do not swap for ever."""
     sc = table.sparkSession.sparkContext
+    table = pinned(table.mapInArrow(_pack, ", ".join(f"{c} binary" for c in _PACKED)), "unit-bigrams")
 
     def matrix_of(c: np.ndarray) -> np.ndarray:
         shared, m = sc.broadcast(c), np.zeros(k * k)
@@ -232,7 +259,7 @@ def fit(train: DataFrame, text_col: str = "text", frequent: int = FREQUENT, hot:
     pairs = pinned(pairs, "bigrams")
     both = pairs.select(F.col("a").alias("unit"), F.lit(True).alias("first"), F.col("b").alias("other"), "n").unionByName(
         pairs.select(F.col("b").alias("unit"), F.lit(False).alias("first"), F.col("a").alias("other"), "n"))
-    both = pinned(both.repartition(F.col("unit")).sortWithinPartitions("unit"), "unit-bigrams")
+    both = both.repartition(F.col("unit")).sortWithinPartitions("unit")
 
     k = n_classes + 1
     classes = np.empty(units.end + 1, np.int64)
