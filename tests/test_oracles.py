@@ -12,7 +12,8 @@ load_all()
 KEYS = ["text_normalize", "norm_phones", "pretokenize", "lookup_join", "zip_align", "distinct_first_seen_ids",
         "group_collect", "ffill", "seeded_shuffle", "split_three_way", "mask_tokens", "augment_cutmix",
         "token_swap_mix", "wordlevel_encode", "tfidf", "bleu_corpus", "confusion_matrix", "pos_tagging_prep",
-        "scan_csv_encoding", "text_clean_ids"]
+        "scan_csv_encoding", "text_clean_ids", "embedding_split", "tabular_prep_rows", "spelling_prep_pairs",
+        "translation_prep_pairs"]
 
 
 @pytest.fixture(scope="module")

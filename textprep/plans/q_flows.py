@@ -24,6 +24,7 @@ from textprep.operators.vocab import bpe_train, subword_encode, unigram_train, w
 from textprep.plans import fixtures_sql as X
 from textprep.plans import sql as S
 from textprep.plans.catalog import register
+from textprep.plans.q_arrays import spelling_sql
 from textprep.plans.q_sampling import split_sql
 from textprep.sources import files as FS
 from textprep.sources import tables as TB
@@ -157,8 +158,8 @@ def pos_tagging_prep(spark, sf):
 
 # --- spelling prep ----------------------------------------------------------------------
 
-@register("spelling_prep")
-def spelling_prep(spark, sf):
+def _spelling_parts(spark, sf):
+    """Cleaned (doc_id, right_text, wrong_text, part), written once."""
     path = FS.scratch_path(spark, "spelling-jsonl")
     TB.syllable_annotations(spark, sf).write.mode("overwrite").json(path)
     ann = FS.read_jsonl(spark, path, "doc_id bigint, annotations array<struct<current_syllable:string, "
@@ -166,16 +167,32 @@ def spelling_prep(spark, sf):
     right = F.array_join(F.transform("annotations", lambda a: R.pick_first_or_else(a["alternative_syllables"],
                                                                                    a["current_syllable"])), " ")
     wrong = F.array_join(F.transform("annotations", lambda a: a["current_syllable"]), " ")
-    pairs = ann.select("doc_id", text_normalize(right).alias("right"), text_normalize(wrong).alias("wrong"))
+    pairs = ann.select("doc_id", text_normalize(right).alias("right_text"), text_normalize(wrong).alias("wrong_text"))
     parts = split_three_way(pairs, "doc_id", 42)
     scratch = FS.scratch_path(spark, "spelling-pairs")  # cleaned once, read by the training and the encoding
     parts.write.parquet(scratch)
-    parts = spark.read.schema(parts.schema).parquet(scratch)
-    vocab, _ = wordpiece_train(word_table(parts, "right"), 3000, SPELLING_SPECIALS)
+    return spark.read.schema(parts.schema).parquet(scratch)
+
+
+@register(
+    "spelling_prep_pairs",
+    f"WITH r AS ({spelling_sql()}), a AS {split_sql(0.4, 42, 'r')}, h AS (SELECT doc_id, CASE WHEN row_number() OVER (ORDER BY "
+    f"{X.bits('doc_id', '0', 43)}, doc_id) <= ceil(count(*) OVER () * 0.5) THEN 'test' ELSE 'validation' END AS held FROM a WHERE part = 'test') "
+    "SELECT doc_id, right_text, wrong_text, coalesce(held, 'train') AS part FROM a LEFT JOIN h USING (doc_id)",
+)
+def spelling_prep_pairs(spark, sf):
+    """What ``spelling_prep`` trains on and encodes."""
+    return _spelling_parts(spark, sf)
+
+
+@register("spelling_prep")
+def spelling_prep(spark, sf):
+    parts = _spelling_parts(spark, sf)
+    vocab, _ = wordpiece_train(word_table(parts, "right_text"), 3000, SPELLING_SPECIALS)
     # the three texts of a pair are encoded in one pass
-    texts = F.array(F.struct(F.lit("right").alias("side"), F.concat(F.lit("[SOS]"), "right").alias("t")),
-                    F.struct(F.lit("wrong").alias("side"), F.col("wrong").alias("t")),
-                    F.struct(F.lit("target").alias("side"), F.concat("right", F.lit("[EOS]")).alias("t")))
+    texts = F.array(F.struct(F.lit("right").alias("side"), F.concat(F.lit("[SOS]"), "right_text").alias("t")),
+                    F.struct(F.lit("wrong").alias("side"), F.col("wrong_text").alias("t")),
+                    F.struct(F.lit("target").alias("side"), F.concat("right_text", F.lit("[EOS]")).alias("t")))
     sides = parts.select("doc_id", F.explode(texts).alias("x")).select(
         F.concat_ws(":", F.col("doc_id").cast("string"), "x.side").alias("k"), "x.t")
     enc = subword_encode(sides, "k", "t", vocab, "wordpiece", length=64, specials=SPELLING_SPECIALS)
@@ -190,10 +207,14 @@ TRANSLATION_VOCAB = 1500  # entries of each side's BPE vocabulary
 
 # --- translation prep -------------------------------------------------------------------
 
-@register("translation_prep")
-def translation_prep(spark, sf):
-    """Two line files -> aligned pairs -> ordered 90/10 split -> a vocabulary per
-    side -> shifted / padded ids -> a scoring function -> corpus BLEU."""
+def _line_sql(role: str, col: str) -> str:
+    return (f"(SELECT row_number() OVER (ORDER BY conv_id, turn) - 1 AS idx, line AS {col} FROM (SELECT conv_id, turn, regexp_replace(text, "
+            f"'[\\r\\n]+', ' ', 'g') AS line FROM conversations WHERE role = '{role}') "
+            "WHERE trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) <> '')")
+
+
+def _translation_pairs(spark, sf):
+    """Two line files -> aligned pairs -> ordered 90/10 split."""
     conv = table(spark, sf, "conversations")
     base = FS.scratch_path(spark, "translation")
     for role, name in (("user", "src"), ("assistant", "tgt")):
@@ -203,7 +224,24 @@ def translation_prep(spark, sf):
     src = FS.read_text_lines(spark, f"{base}/src").select("file", "line_no", F.col("line").alias("text"))
     tgt = FS.read_text_lines(spark, f"{base}/tgt").select("file", "line_no", F.col("line").alias("text"))
     pairs = R.zip_align(src, tgt, ["file", "line_no"])
-    pairs = split_ordered(pairs, "idx", 0.9)
+    return split_ordered(pairs, "idx", 0.9)
+
+
+@register(
+    "translation_prep_pairs",
+    f"SELECT idx, src, tgt, CASE WHEN row_number() OVER (ORDER BY idx) <= floor(0.9 * count(*) OVER ()) THEN 'train' ELSE 'validation' END AS part "
+    f"FROM {_line_sql('user', 'src')} JOIN {_line_sql('assistant', 'tgt')} USING (idx)",
+)
+def translation_prep_pairs(spark, sf):
+    """What ``translation_prep`` trains on and encodes."""
+    return _translation_pairs(spark, sf).select("idx", "src", "tgt", "part")
+
+
+@register("translation_prep")
+def translation_prep(spark, sf):
+    """Aligned pairs -> a vocabulary per side -> shifted / padded ids -> a scoring
+    function -> corpus BLEU."""
+    pairs = _translation_pairs(spark, sf)
     train = pairs.where(F.col("part") == "train")
     coded = {}
     for side in ("src", "tgt"):
@@ -259,8 +297,11 @@ def question_balance_encoded(spark, sf):
 
 # --- tabular prep -----------------------------------------------------------------------
 
-@register("tabular_prep")
-def tabular_prep(spark, sf):
+TABULAR_FEATURES = ("l_quantity", "l_extendedprice", "l_discount", "qty_tax", "status_code")
+
+
+def _tabular_parts(spark, sf):
+    """(split rows, nulls before the drop, largest correlation)."""
     li = table(spark, sf, "lineitem")
     li = R.fillna_const(li, 0, ["l_quantity", "l_tax", "l_discount"])
     li = R.derive_sum(li, "qty_tax", "l_quantity", "l_tax")
@@ -270,10 +311,37 @@ def tabular_prep(spark, sf):
     li = li.withColumn("status_code", R.map_values(F.col("l_linestatus"), {"O": 0, "F": 1}))
     audit = null_counts(li.select("l_quantity", "l_tax", "status_code")).agg(F.sum("n_null").alias("n")).first()["n"]
     li = R.dropna_any(li)
-    feats = ["l_quantity", "l_extendedprice", "l_discount", "qty_tax", "status_code"]
-    corr = corr_matrix(li, feats[:4], 6).agg(F.max(F.abs("r")).alias("m")).first()["m"]
+    corr = corr_matrix(li, TABULAR_FEATURES[:4], 6).agg(F.max(F.abs("r")).alias("m")).first()["m"]
     li = li.withColumn("row_key", F.concat_ws(":", *[F.col(c).cast("string") for c in _POS_ORDER]))
-    parts = split_fraction(li, "row_key", 0.2, 42)
+    return split_fraction(li, "row_key", 0.2, 42), audit, corr
+
+
+def _tabular_sql() -> str:
+    key = "concat_ws(':', l_orderkey, l_linenumber, l_partkey, l_suppkey)"
+    stats = ", ".join(f"avg({c}) AS m_{c}, stddev_pop({c}) AS s_{c}" for c in TABULAR_FEATURES)
+    scaled = ", ".join(f"round(({c} - m_{c}) / s_{c}, 6) AS {c}_z" for c in TABULAR_FEATURES)
+    return (
+        "WITH f AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, coalesce(l_quantity, 0) AS l_quantity, l_extendedprice, "
+        "coalesce(l_discount, 0) AS l_discount, coalesce(l_tax, 0) AS l_tax, l_returnflag, l_linestatus FROM lineitem), "
+        "d AS (SELECT *, l_quantity + l_tax AS qty_tax, CAST(dense_rank() OVER (ORDER BY l_returnflag) - 1 AS INTEGER) AS flag_id, "
+        "CASE l_linestatus WHEN 'O' THEN 0 WHEN 'F' THEN 1 END AS status_code FROM f WHERE l_returnflag IS NOT NULL), "
+        "k AS (SELECT * FROM d WHERE status_code IS NOT NULL AND l_extendedprice IS NOT NULL), "
+        f"p AS {split_sql(src='k', key=key)}, st AS (SELECT {stats} FROM p WHERE part = 'train') "
+        f"SELECT {', '.join(_POS_ORDER)}, part, flag_id, {scaled} FROM p, st")
+
+
+@register("tabular_prep_rows", _tabular_sql())
+def tabular_prep_rows(spark, sf):
+    """What the models of ``tabular_prep`` learn from and are judged on."""
+    parts, _, _ = _tabular_parts(spark, sf)
+    out = standard_scale(parts.where("part = 'train'"), parts, TABULAR_FEATURES, "_z")
+    return out.select(*_POS_ORDER, "part", "flag_id", *[F.round(f"{c}_z", 6).alias(f"{c}_z") for c in TABULAR_FEATURES])
+
+
+@register("tabular_prep")
+def tabular_prep(spark, sf):
+    parts, audit, corr = _tabular_parts(spark, sf)
+    feats = list(TABULAR_FEATURES)
     train, test = parts.where("part = 'train'"), parts.where("part = 'test'")
     train_s = assemble(standard_scale(train, train, feats, "_z"), [f + "_z" for f in feats]).withColumn(
         "y", (F.col("flag_id") == 2).cast("double"))
