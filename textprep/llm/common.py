@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 from textprep.session import ensure_checkpoint_dir
 
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"  # a word: a run without ASCII white space
-BLOCK_BYTES = 1 << 21  # texts are hashed in blocks of about this many bytes
-SLICE_BYTES = 1 << 23  # UTF-8 bytes of texts that a step of a task holds
+BLOCK_BYTES = 1 << 19  # texts are hashed in blocks of about this many bytes
+SLICE_BYTES = 1 << 22  # UTF-8 bytes of texts that a step of a task holds
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

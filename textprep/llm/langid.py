@@ -24,9 +24,11 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from textprep.llm.common import text_slices
+
 UNDETERMINED = "und"
 MAX_LANGS = 1000
-SEGMENT_CHARS = 1 << 20
+SEGMENT_CHARS = 1 << 18
 _FACTORS = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
 
 
@@ -112,7 +114,7 @@ def fit(rows: DataFrame, text_col: str = "text", label_col: str = "lang", orders
             for cps, doc, context in _segments(batch.column(1), orders):
                 for feat, d in _features(cps, doc, context, orders, bits):
                     lang = of[d]
-                    for k in np.unique(lang):
+                    for k in np.flatnonzero(np.bincount(lang, minlength=len(names))):
                         held[names[k]] += np.bincount(feat[lang == k], minlength=size)
             if len(held) > 32:
                 yield from flush()
@@ -160,17 +162,18 @@ def predict(docs: DataFrame, model: LangModel, text_col: str = "text", keep: lis
         *([] if text_col in keep else [F.coalesce(text_col, F.lit("")).alias("text")]))
     row_type = packed.schema["row"].dataType.simpleString()
 
+    def slices(batch: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, pa.Array]]:
+        return text_slices(batch, pc.fill_null(batch.column(0).field(keep.index(text_col)), "") if text_col in keep else batch.column(2))
+
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        for batch in batches:
-            row = batch.column(0)
-            texts = pc.fill_null(row.field(keep.index(text_col)), "") if text_col in keep else batch.column(2)
+        for part, texts in (x for batch in batches for x in slices(batch)):
             z = log_scores(m, texts)
-            best = z.argmax(axis=1) if len(z) else np.zeros(0, np.int64)
-            post = 1.0 / np.exp(z - z.max(axis=1, keepdims=True)).sum(axis=1) if len(z) else np.zeros(0)
-            letter = batch.column(1).to_numpy(zero_copy_only=False)
+            best = z.argmax(axis=1)
+            post = 1.0 / np.exp(z - z.max(axis=1, keepdims=True)).sum(axis=1)
+            letter = part.column(1).to_numpy(zero_copy_only=False)
             yield pa.RecordBatch.from_arrays([
-                row, pa.array([m.langs[b] if ok else UNDETERMINED for b, ok in zip(best, letter)], pa.string()),
+                part.column(0), pa.array([m.langs[b] if ok else UNDETERMINED for b, ok in zip(best, letter)], pa.string()),
                 pa.array(np.where(letter, post, 0.0), pa.float64())], ["row", "lang_pred", "score"])
 
     return packed.mapInArrow(score, f"row {row_type}, lang_pred string, score double").select("row.*", "lang_pred", "score")
