@@ -79,6 +79,27 @@ def test_jaccard_classes_by_brute_force(spark, monkeypatch, chunk):
     assert sorted([(r.id, r.class_id, r.n_links) for r in got], key=key) == sorted([(d, c, n) for (d, _), (c, n) in zip(rows, want)], key=key)
 
 
+def repeated_passages():
+    """Texts of nearly equal shingle sets whose counts with repeats lie far apart."""
+    words = [f"r{k}" for k in range(100)]
+    line = [f"l{k}" for k in range(12)]
+    body = [f"c{k}" for k in range(200)]
+    rows = [" ".join(words), " ".join(words * 2), " ".join(words * 7), " ".join(["z"] * 5), " ".join(["z"] * 90)]
+    rows += [" ".join(body + line), " ".join(body + line * 30), " ".join(body[:100]), " ".join(body[:100] + words)]
+    return list(enumerate(rows, 1))
+
+
+@pytest.mark.parametrize("chunk", [256, 1])
+def test_repeated_passages_by_brute_force(spark, monkeypatch, chunk):
+    monkeypatch.setattr(jaccard_join, "CHUNK_TEXTS", chunk)
+    rows = repeated_passages()
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    want = brute_classes(rows)
+    assert [c for c, _ in want] == [1, 1, 1, 4, 4, 6, 6, 8, 9]
+    assert sorted((r.id, r.class_id, r.n_links) for r in jaccard_join.jaccard_classes(df).collect()) == [(d, c, n) for (d, _), (c, n) in zip(rows, want)]
+    assert sorted(r.doc_id for r in jaccard_join.keep_one_per_class(df).collect()) == [1, 4, 6, 8, 9]
+
+
 def test_one_row_of_each_class_is_kept(spark):
     rows = near_copies()
     df = spark.createDataFrame([(d, t, "k", 1) for d, t in rows], "doc_id bigint, text string, key string, doc int")

@@ -118,13 +118,24 @@ def _binary(flat: np.ndarray, off: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(off) - 1, [None, pa.py_buffer((off * size).astype(np.int32)), pa.py_buffer(flat)])
 
 
+def distinct_counts(sh: np.ndarray, off: np.ndarray) -> np.ndarray:
+    """Number of different shingles of each text."""
+    doc = np.repeat(np.arange(len(off) - 1), np.diff(off))
+    order = np.lexsort((sh, doc))
+    sh, doc = sh[order], doc[order]
+    new = np.ones(len(sh), bool)
+    new[1:] = (sh[1:] != sh[:-1]) | (doc[1:] != doc[:-1])
+    return np.bincount(doc[new], minlength=len(off) - 1)
+
+
 def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(id, key, text) -> (id, key, n_shingles, sig); sig is null without shingles."""
+    """(id, key, text) -> (id, key, n_shingles, sig); ``n_shingles`` counts different ones
+    (the size of the set that is compared), sig is empty without shingles."""
     table = byte_table()
     for batch in batches:
         for part, texts in text_slices(batch, batch.column(2), SLICE_ROWS):
             sh, off = shingles(*word_hashes(texts, table))
-            n = np.diff(off)
+            n = distinct_counts(sh, off)
             some = np.flatnonzero(n)
             sig = minhash(sh, np.append(off[some], off[-1])) if len(some) else np.zeros((0, K), np.uint32)
             size = np.where(n > 0, K, 0)
