@@ -248,6 +248,23 @@ def test_scores_by_brute_force(spark, two_tongues, hot):
         assert r.score == pytest.approx(want)
 
 
+def test_every_word_above_a_small_count_is_a_unit(spark):
+    """Also words far outside the most frequent ones and with one ending are told apart by their neighbours."""
+    n_words, text = 9000, []
+    for i in range(n_words):  # equal endings, two kinds of neighbours; more words than were units before
+        text.append(" ".join([("a", "b")[i % 2], f"{i}xx", ("c", "d")[i % 2]] * 5))
+    docs = spark.createDataFrame([(t,) for t in text] + [("once seen",)], "text string")
+    model = brown.fit(docs, n_classes=8)
+    assert len(model.units.frequent) == n_words + 4
+    h, _ = word_hashes(pa.array([f"{i}xx" for i in range(n_words)]), byte_table(lower=True))
+    units = model.units.of(h, np.full(n_words, ord("x") * 257))
+    assert len(set(units.tolist())) == n_words and units.max() < len(model.units.frequent)
+    classes = model.classes[units]
+    assert not set(classes[::2].tolist()) & set(classes[1::2].tolist())
+    rare, _ = word_hashes(pa.array(["once"]), byte_table(lower=True))
+    assert model.units.of(rare, np.array([7]))[0] == len(model.units.frequent) + 7
+
+
 def test_class_model_without_training_text(spark, two_tongues):
     model = brown.fit(two_tongues.limit(0))
     got = brown.score(two_tongues, model, ["doc_id"]).collect()

@@ -2,9 +2,9 @@
 
     p(text) = product over tokens, then one end, of p(class | class before) * p(word | class)
 
-Units of clustering are the ``frequent`` most frequent words and, for all other words,
-their ending (last two bytes): every word has a class, known or not, and the map fits a
-broadcast of fixed size.  The exchange algorithm moves units between classes to raise the
+Units of clustering are all words that occur ``least`` times or more and, for rarer and
+unknown words, their ending (last two bytes): every word has a class, known or not.  The map
+takes 8 bytes (hash) and one (class) per unit and is broadcast.  The exchange algorithm moves units between classes to raise the
 class-bigram likelihood.  Its counts are a table of unit bigrams over all training texts,
 laid out by unit in rows of packed columns, so each step is one pass in which a task holds
 the whole neighbourhood of its units; a step is taken only if the likelihood, counted
@@ -20,7 +20,7 @@ of two of ten million words has a chance of 3e-6).
 
 Cases: null text is empty, its one token is the end; without training texts every count is
 0 and the smoothing alone is left; repeated rows count and score as rows; a null id is
-kept; words tied at the ``frequent`` border go by hash, those tied at the ``hot`` border are joined; other columns are
+kept; given ``frequent``, only so many words are units (ties go by hash); words tied at the ``hot`` border are joined; other columns are
 ignored unless in ``keep``, whatever their names.
 """
 
@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from textprep.llm.common import byte_table, most_frequent, pinned, text_slices, words_with_endings
 
-FREQUENT, HOT, CLASSES = 8192, 1 << 18, 64
+LEAST, DEALT, HOT, CLASSES = 5, 8192, 1 << 18, 64  # DEALT: words that start in classes of their own rank, the others in their ending's
 ROUNDS, LEAST_GAIN = 12, 1e-4
 CLASS_PRIOR, WORD_PRIOR = 8.0, 0.5
 ENDINGS = 1 << 16
@@ -49,7 +49,7 @@ _TEXTS = 2000  # texts that a step of a task holds
 
 @dataclass
 class Units:
-    frequent: np.ndarray  # sorted uint64 hashes of the frequent words
+    frequent: np.ndarray  # sorted uint64 hashes of the words that are units
 
     @property
     def end(self) -> int:
@@ -146,7 +146,7 @@ def _class_matrix(shared, k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         classes, total = shared.value, np.zeros(k * k, np.int64)
         for unit, first, other, n in _unpacked(batches):
-            total += np.bincount(classes[unit[first]] * k + classes[other[first]], n[first], k * k).astype(np.int64)
+            total += np.bincount(classes[unit[first]].astype(np.int64) * k + classes[other[first]], n[first], k * k).astype(np.int64)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], ["cell", "n"])
     return run
@@ -218,9 +218,10 @@ def exchange(table: DataFrame, classes: np.ndarray, k: int, rounds: int = ROUNDS
     still = 0
     for r in range(rounds):
         shared = sc.broadcast((classes, matrix))
-        moves = table.mapInArrow(_best_moves(shared, k), "unit int, best int, gain double, mass double").toPandas()  # a row per unit
-        moves = moves.sort_values("mass").drop_duplicates("unit", keep="last")
-        moves = moves[(moves["gain"] > 0) & (moves["unit"] % 2 == r % 2)].sort_values("gain", ascending=False)
+        moves = table.mapInArrow(_best_moves(shared, k), "unit int, best int, gain double, mass double").where(F.col("unit") % 2 == r % 2).select(
+            "unit", F.col("best").cast("smallint"), F.col("gain").cast("float"), F.col("mass").cast("float")).toArrow().to_pandas()  # a narrow row per unit
+        moves = moves.sort_values(["mass", "unit"]).drop_duplicates("unit", keep="last")
+        moves = moves[moves["gain"] > 0].sort_values(["gain", "unit"], ascending=False)
         improved = False
         while len(moves):
             new = classes.copy()
@@ -238,9 +239,10 @@ def exchange(table: DataFrame, classes: np.ndarray, k: int, rounds: int = ROUNDS
     return classes, matrix, history
 
 
-def fit(train: DataFrame, text_col: str = "text", frequent: int = FREQUENT, hot: int = HOT, n_classes: int = CLASSES,
-        rounds: int = ROUNDS) -> ClassModel:
-    """Learn from every row of ``train``."""
+def fit(train: DataFrame, text_col: str = "text", frequent: int | None = None, hot: int = HOT, n_classes: int = CLASSES,
+        rounds: int = ROUNDS, least: int = LEAST) -> ClassModel:
+    """Learn from every row of ``train``.  All words that occur ``least`` times are units,
+    or only the ``frequent`` most frequent words when that is given."""
     sc = train.sparkSession.sparkContext
     texts = _texts(train, text_col)
     counts = pinned(texts.mapInArrow(_count_words, "word bigint, ending int, n bigint").groupBy("word").agg(
@@ -248,10 +250,20 @@ def fit(train: DataFrame, text_col: str = "text", frequent: int = FREQUENT, hot:
     tokens, types = (int(x or 0) for x in counts.agg(F.sum("n"), F.count(F.lit(1))).first())
     is_end = F.col("word") == F.lit(int(END))
     ends = int(counts.where(is_end).agg(F.sum("n")).first()[0] or 0)
-    top = most_frequent(counts.where(~is_end), "n", hot).select("word", "n").toPandas().sort_values(["n", "word"], ascending=[False, True])  # at most `hot` rows
+    top = most_frequent(counts.where(~is_end), "n", hot).select("word", "n").toArrow().to_pandas().sort_values(["n", "word"], ascending=[False, True])  # at most `hot` rows
     words, n = top["word"].to_numpy(np.int64).view(np.uint64), top["n"].to_numpy(np.int64)
     by_hash = np.argsort(words)
-    head = np.sort(words[:frequent])
+    if frequent is None:
+        is_unit = ~is_end & (F.col("n") >= least)
+    elif len(words[:frequent]):
+        word, border = top.iloc[len(words[:frequent]) - 1][["word", "n"]]
+        is_unit = ~is_end & ((F.col("n") > int(border)) | ((F.col("n") == int(border)) & (F.col("word") <= int(word))))
+    else:
+        is_unit = F.lit(False)
+    start = counts.where(is_unit).select("word", F.pmod("ending", F.lit(n_classes)).cast("smallint").alias("c")).toArrow()  # 10 bytes a unit
+    head, first_class = start["word"].to_numpy().view(np.uint64), start["c"].to_numpy()
+    order = np.argsort(head)
+    head, first_class = head[order], first_class[order]
     units = Units(head)
 
     shared = sc.broadcast(units)
@@ -262,9 +274,10 @@ def fit(train: DataFrame, text_col: str = "text", frequent: int = FREQUENT, hot:
     both = both.repartition(F.col("unit")).sortWithinPartitions("unit")
 
     k = n_classes + 1
-    classes = np.empty(units.end + 1, np.int64)
-    rank, _ = lookup(head, words[: len(head)])
-    classes[rank] = np.arange(len(head)) % n_classes  # by falling frequency, as a deal of cards
+    classes = np.empty(units.end + 1, np.min_scalar_type(n_classes))
+    classes[: len(head)] = first_class
+    rank, known = lookup(head, words[:DEALT])
+    classes[rank[known]] = np.flatnonzero(known) % n_classes  # by falling frequency, as a deal of cards
     classes[len(head): units.end] = np.arange(ENDINGS) % n_classes
     classes[units.end] = n_classes
     classes, matrix, _ = exchange(both, classes, k, rounds)
@@ -275,8 +288,7 @@ def fit(train: DataFrame, text_col: str = "text", frequent: int = FREQUENT, hot:
     prior /= prior.sum()
     transition = np.log10((matrix + CLASS_PRIOR * prior) / (matrix.sum(axis=1, keepdims=True) + CLASS_PRIOR))
     types_class = np.bincount(classes[: len(head)], minlength=k).astype(np.float64)
-    frequent_rows = train.sparkSession.createDataFrame([(int(x),) for x in head.view(np.int64)], "word bigint")
-    for r in counts.where(~is_end).join(F.broadcast(frequent_rows), "word", "left_anti").groupBy("ending").agg(F.count(F.lit(1)).alias("v")).collect():
+    for r in counts.where(~is_end & ~is_unit).groupBy("ending").agg(F.count(F.lit(1)).alias("v")).collect():
         types_class[classes[len(head) + r["ending"]]] += r["v"]  # at most ENDINGS rows
     norm = np.log10(n_class + WORD_PRIOR * (types_class + 1))
     return ClassModel(units, classes, transition, norm, words[by_hash], n[by_hash], counts, tokens, types, ends)
