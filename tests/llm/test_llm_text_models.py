@@ -337,6 +337,12 @@ def test_quality_keeps_clean_and_drops_junk(spark):
     assert np.mean(good) >= 0.98 and np.mean(junk) <= 0.2
 
 
+def test_training_sample_holds_what_the_bounds_allow(spark):
+    docs = spark.range(3000).select(F.col("id").alias("doc_id"), F.repeat(F.lit("w "), 400).alias("text"))
+    ids = quality_kn.training_ids(docs, spark.range(3000), "doc_id", "text", quality_kn.MAX_TRAIN_DOCS, quality_kn.MAX_TRAIN_WORDS)
+    assert ids.distinct().count() == 3000
+
+
 def test_quality_without_trusted_text(spark):
     docs = spark.createDataFrame([(1, "a b", None), (2, None, "en"), (None, "c", "en")], "doc_id bigint, text string, lang string")
     labels = spark.createDataFrame([(1, 0, 0), (None, 1, 0)], "doc_id bigint, quality int, toxic int")
