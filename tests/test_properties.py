@@ -6,6 +6,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from conftest import SF001
+from textprep.operators import models as MO
 from textprep.operators import order as O
 from textprep.operators import sampling as SM
 from textprep.operators import vocab as V
@@ -165,3 +166,27 @@ def test_smoothed_bleu(spark):
     want = 100 * (2 / 4 * (0.5 / 3) * (0.25 / 2) * (0.125 / 1)) ** 0.25
     assert abs(bleu_corpus(df.where("k = 2"), "k", "h", "r", smooth=True).first()["bleu"] - want) < 1e-9
     assert bleu_corpus(df.where("k = 2"), "k", "h", "r").first()["bleu"] == 0.0
+
+
+def test_boosted_trees_learn_every_class(spark, monkeypatch):
+    """All rows of the table and all ten classes, with few and shallow rounds (the given labels do not follow the vectors)."""
+    from textprep.plans import q_models
+
+    real = q_models.MO.boosted_trees
+    monkeypatch.setattr(q_models.MO, "boosted_trees", lambda a, b, y: real(a, b, y, max_iter=2, max_depth=3))
+    got = q_models._gbt(spark, SF001).collect()
+    labels = [r.label for r in spark.read.parquet(f"{SF001}/embeddings.parquet").select("label").collect()]
+    assert len(got) == -(-len(labels) // 5)
+    assert {r.y for r in got} == {float(x) for x in labels} and len({r.prediction for r in got}) > 2
+    apart = MO.assemble(spark.range(120).selectExpr("CAST(id % 4 AS DOUBLE) AS y", "id % 4 AS a", "id % 7 AS b"), ["a", "b"])
+    assert all(r.y == r.prediction for r in real(apart, apart, "y", max_iter=2, max_depth=3).collect())
+
+
+def test_tabular_prep_has_a_boosted_model(spark, monkeypatch):
+    from textprep.plans import q_flows
+
+    boosted, forest = q_flows.boosted_trees, q_flows.random_forest
+    monkeypatch.setattr(q_flows, "boosted_trees", lambda a, b, y: boosted(a, b, y, max_iter=2, max_depth=3))
+    monkeypatch.setattr(q_flows, "random_forest", lambda a, b, y, **k: forest(a, b, y, num_trees=2, max_depth=3))
+    got = {r.model: r.accuracy for r in q_flows.tabular_prep(spark, SF001).collect()}
+    assert set(got) == {"logreg", "tree", "forest", "boosted"} and got["boosted"] > 0.5

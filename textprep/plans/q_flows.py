@@ -17,7 +17,7 @@ from textprep.operators.aggregates import (
 )
 from textprep.operators.features import standard_scale
 from textprep.operators.metrics import accuracy_micro, bleu_corpus
-from textprep.operators.models import assemble, decision_tree, random_forest, tabular_logreg
+from textprep.operators.models import assemble, boosted_trees, decision_tree, random_forest, tabular_logreg
 from textprep.operators.order import ffill_laid, ordered_layout
 from textprep.operators.sampling import class_cap_rebalance, split_fraction, split_ordered, split_three_way
 from textprep.operators.vocab import bpe_train, subword_encode, unigram_train, word_table, wordpiece_train
@@ -349,7 +349,8 @@ def tabular_prep(spark, sf):
         "y", (F.col("flag_id") == 2).cast("double"))
     rows = []
     for name, fn in (("logreg", lambda a, b: tabular_logreg(a, b, "y")), ("tree", lambda a, b: decision_tree(a, b, "y")),
-                     ("forest", lambda a, b: random_forest(a, b, "y", num_trees=100, max_depth=12))):
+                     ("forest", lambda a, b: random_forest(a, b, "y", num_trees=100, max_depth=12)),
+                     ("boosted", lambda a, b: boosted_trees(a, b, "y"))):
         acc = accuracy_micro(fn(train_s, test_s), "prediction", "y").first()["accuracy"]
         rows.append((name, float(acc), int(audit), float(corr)))
     return spark.createDataFrame(rows, "model string, accuracy double, nulls_before int, max_abs_corr double")
