@@ -2,6 +2,7 @@
 
 import pytest
 
+from conftest import SF001
 from textprep.operators import vocab as V
 
 tokenizers = pytest.importorskip("tokenizers")
@@ -109,3 +110,17 @@ def test_merges_from_the_left():
                 want.append(int(s[i]))
                 i += 1
         assert apply_merge(s, a, b, 9).tolist() == want
+
+
+def test_translation_prep_trains_at_the_references_size(spark, monkeypatch):
+    from textprep.plans import q_flows
+
+    sizes, real = [], q_flows.bpe_train
+
+    def small(words, size, specials):
+        sizes.append(size)
+        return real(words, 300, specials)
+
+    monkeypatch.setattr(q_flows, "bpe_train", small)
+    q_flows.translation_prep(spark, SF001)
+    assert sizes == [5000, 5000]

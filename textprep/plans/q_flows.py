@@ -202,7 +202,7 @@ def spelling_prep(spark, sf):
     return parts.select("doc_id", "part").join(wide, "doc_id")
 
 
-TRANSLATION_VOCAB = 1500  # entries of each side's BPE vocabulary
+TRANSLATION_VOCAB = 5000  # entries of each side's BPE vocabulary, as in the reference
 
 
 # --- translation prep -------------------------------------------------------------------
