@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType, StructType
 
 from textprep.session import ensure_checkpoint_dir
 
@@ -41,6 +42,19 @@ def bounded_broadcast(small: DataFrame, max_rows: int) -> DataFrame:
     return F.broadcast(small) if small.limit(max_rows + 1).count() <= max_rows else small
 
 
+def row_struct(columns: list[str]) -> Column:
+    """The columns as one struct, whatever their names."""
+    return F.struct(*[F.col("`" + c.replace("`", "``") + "`").alias(c) for c in columns])
+
+
+def schema_of(given: dict[str, DataType], more: str) -> StructType:
+    """A schema of the fields ``given`` and those of the DDL string ``more``."""
+    out = StructType()
+    for name, kind in given.items():
+        out = out.add(name, kind)
+    return StructType([*out.fields, *StructType.fromDDL(more).fields])
+
+
 def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD_PATTERN)), F.lit(0)).cast("bigint")
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textprep.llm import ann_tree, brown, chat, decontamination, jaccard_join, langid, mixing, quality_kn, sharding, token_counts
+from textprep.llm import ann_tree, brown, chat, decontamination, jaccard_join, langid, merkle, mixing, quality_kn, sharding, token_counts
 from textprep.llm.common import pinned, read_table
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
@@ -87,6 +87,16 @@ def op10_quality_kn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("row.doc_id", "lang", "n_tokens", "log10_prob", "log10_perplexity", "threshold", "keep")
 
 
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    leaf = lambda n_chars: merkle.leaf_digest(F.col("doc_id"), F.col("source"), F.col("lang"), n_chars, F.col("text"))
+    one_more = F.col("n_chars").cast("decimal(20,0)") + 1
+    tampered = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 7 == 0, F.lit(False)) & F.col("n_chars").isNotNull()
+    rows = docs.select("doc_id", "lang", leaf(F.col("n_chars")).alias("leaf"), F.when(tampered, leaf(one_more)).alias("changed"))
+    found = merkle.verify(merkle.build(rows, "lang", "doc_id", keep=["doc_id"]))
+    return found.select("row.doc_id", "leaf", "subroot", "root", F.col("proof").alias("proof_sha256"), "folded_root", "verified", "copied_nodes")
+
+
 OP9_SQL = r"""
 WITH rows AS (
     SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
@@ -101,6 +111,58 @@ SELECT CAST(conv_id AS BIGINT) AS conv_id,
 FROM rows GROUP BY conv_id
 """
 
+# crc32 as a list of 256 steps, made from the polynomial; bytes: a list of integers
+CRC_STEPS = """SELECT list(list_reduce(range(8), lambda c, k: xor(c >> 1, CASE WHEN c & 1 = 1 THEN 3988292384 ELSE 0 END), i) ORDER BY i) AS steps
+    FROM (SELECT unnest(range(256)) AS i)"""
+
+
+def crc32_sql(byte_list: str) -> str:
+    return f"xor(list_reduce({byte_list}, lambda c, b: xor(c >> 8, steps[CAST(xor(c, b) & 255 AS INTEGER) + 1]), 4294967295), 4294967295)"
+
+
+def _field_sql(value: str) -> str:
+    s = f"CAST({value} AS VARCHAR)"
+    return f"coalesce(CAST(strlen({s}) AS VARCHAR) || ':' || {s}, '-')"
+
+
+def _leaf_sql(n_chars: str) -> str:
+    return "sha256(" + " || ".join(map(_field_sql, ("doc_id", "source", "lang", n_chars, "text"))) + ")"
+
+
+OP11_SQL = f"""
+WITH RECURSIVE crc AS ({CRC_STEPS}),
+docs AS (
+    SELECT doc_id, lang, dense_rank() OVER (ORDER BY lang NULLS FIRST) - 1 AS g,
+           row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, {_leaf_sql("n_chars")}) - 1 AS pos,
+           {_leaf_sql("n_chars")} AS leaf, {_leaf_sql("n_chars + 1")} AS more,
+           coalesce(n_chars IS NOT NULL AND {crc32_sql("[ascii(x) FOR x IN string_split(CAST(doc_id AS VARCHAR), '')]")} % 7 = 0, false) AS tampered
+    FROM documents, crc),
+nodes AS (
+    SELECT g, 0 AS level, pos, leaf AS node, count(*) OVER (PARTITION BY g) AS n FROM docs
+    UNION ALL
+    SELECT g, level + 1, pos // 2, sha256(string_agg(node, '' ORDER BY pos)), (n + 1) // 2 FROM nodes WHERE n > 1 GROUP BY g, level, pos // 2, n),
+subroots AS (SELECT g, level AS height, node AS subroot FROM nodes WHERE n = 1),
+upper AS (
+    SELECT 0 AS level, g AS pos, subroot AS node, count(*) OVER () AS n FROM subroots
+    UNION ALL
+    SELECT level + 1, pos // 2, sha256(string_agg(node, '' ORDER BY pos)), (n + 1) // 2 FROM upper WHERE n > 1 GROUP BY level, pos // 2, n),
+tree AS (
+    SELECT g, level, pos, node FROM nodes WHERE n > 1
+    UNION ALL SELECT s.g, s.height + u.level, u.pos, u.node FROM upper u, subroots s WHERE u.n > 1),
+top AS (SELECT node AS root, level AS height FROM upper WHERE n = 1),
+fold AS (
+    SELECT d.g, d.pos AS leaf_pos, 0 AS level, d.pos AS pos, CASE WHEN tampered THEN more ELSE leaf END AS x, '' AS proof, s.height AS own, s.height + t.height AS height
+    FROM docs d JOIN subroots s USING (g), top t
+    UNION ALL
+    SELECT f.g, f.leaf_pos, f.level + 1, CASE WHEN f.level + 1 = f.own THEN f.g ELSE f.at // 2 END,
+           sha256(CASE WHEN b.node IS NULL THEN f.x WHEN f.at % 2 = 1 THEN b.node || f.x ELSE f.x || b.node END), f.proof || coalesce(b.node, ''), f.own, f.height
+    FROM (SELECT *, CASE WHEN own = 0 AND level = 0 THEN g ELSE pos END AS at FROM fold WHERE level < height) f
+    LEFT JOIN tree b ON b.g = f.g AND b.level = f.level AND b.pos = xor(f.at, 1))
+SELECT d.doc_id, d.leaf, s.subroot, t.root, sha256(f.proof) AS proof_sha256, f.x AS folded_root, f.x = t.root AS verified,
+       CAST(CASE WHEN tampered THEN f.height ELSE 0 END AS BIGINT) AS copied_nodes
+FROM docs d JOIN subroots s USING (g) JOIN fold f ON f.g = d.g AND f.leaf_pos = d.pos AND f.level = f.height, top t
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
     "op2_decontamination": op2_decontamination,
@@ -112,8 +174,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_counts": op8_token_counts,
     "op9_chat": op9_chat,
     "op10_quality_kn": op10_quality_kn,
+    "op11_merkle": op11_merkle,
 }
 
 ORACLES: dict[str, str] = {
     "op9_chat": OP9_SQL,
+    "op11_merkle": OP11_SQL,
 }
