@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textprep.llm import ann_tree, brown, chat, decontamination, jaccard_join, langid, merkle, mixing, quality_kn, sharding, token_counts
+from textprep.llm import ann_tree, brown, chat, decontamination, importance, jaccard_join, langid, merkle, mixing, quality_kn, sharding, token_counts
 from textprep.llm.common import pinned, read_table
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
@@ -97,6 +97,12 @@ def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("row.doc_id", "leaf", "subroot", "root", F.col("proof").alias("proof_sha256"), "folded_root", "verified", "copied_nodes")
 
 
+def op13_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = importance.resample(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"), "doc_id", ["doc_id"],
+                                orders=1, buckets=10_000, percent=10, least_words=20, seed=2024)
+    return found.select("row.doc_id", "n_features", "weight", "score", "rank")
+
+
 OP9_SQL = r"""
 WITH rows AS (
     SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
@@ -163,6 +169,33 @@ SELECT d.doc_id, d.leaf, s.subroot, t.root, sha256(f.proof) AS proof_sha256, f.x
 FROM docs d JOIN subroots s USING (g) JOIN fold f ON f.g = d.g AND f.leaf_pos = d.pos AND f.level = f.height, top t
 """
 
+OP13_SQL = rf"""
+WITH crc AS ({CRC_STEPS}),
+texts AS (
+    SELECT 0 AS goal, row_number() OVER () AS r, doc_id, text FROM documents
+    UNION ALL SELECT 1, row_number() OVER (), NULL, text FROM benchmark),
+words AS (
+    SELECT goal, r, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS word
+    FROM texts),
+counted AS (SELECT goal, r, word, count(*) AS c FROM words GROUP BY ALL),
+buckets AS (
+    SELECT word, {crc32_sql("[CAST('0x' || substr(h, CAST(2 * i + 1 AS BIGINT), 2) AS BIGINT) FOR i IN range(length(h) // 2)]")} % 10000 AS b
+    FROM (SELECT word, hex(encode(word)) AS h FROM (SELECT DISTINCT word FROM counted)), crc),
+totals AS (
+    SELECT b, CAST(sum(CASE WHEN goal = 0 THEN c ELSE 0 END) AS BIGINT) AS s, CAST(sum(CASE WHEN goal = 1 THEN c ELSE 0 END) AS BIGINT) AS t
+    FROM counted JOIN buckets USING (word) GROUP BY b),
+gains AS (
+    SELECT b, CAST(floor(1000 * ln(CAST(t + 1 AS DOUBLE) * (s_all + 10000) / (CAST(s + 1 AS DOUBLE) * (t_all + 10000)))) AS BIGINT) AS gain
+    FROM totals, (SELECT CAST(sum(s) AS DOUBLE) AS s_all, CAST(sum(t) AS DOUBLE) AS t_all FROM totals)),
+found AS (SELECT r, CAST(sum(c) AS BIGINT) AS n, CAST(sum(c * gain) AS BIGINT) AS w FROM counted JOIN buckets USING (word) JOIN gains USING (b) WHERE goal = 0 GROUP BY r),
+scored AS (
+    SELECT doc_id, coalesce(n, 0) AS n_features, coalesce(w, 0) AS weight,
+           coalesce(w, 0) + CAST(floor(-1000 * ln(-ln((CAST('0x' || substr(sha256('2024:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8) AS BIGINT) + 0.5::DOUBLE) / 4294967296::DOUBLE))) AS BIGINT) AS score
+    FROM texts LEFT JOIN found USING (r) WHERE goal = 0),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY n_features >= 20 ORDER BY score DESC, doc_id) AS place, count(*) FILTER (n_features >= 20) OVER () AS n FROM scored)
+SELECT doc_id, n_features, weight, score, CASE WHEN n_features >= 20 AND place <= 10 * n // 100 THEN place END AS rank FROM ranked
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
     "op2_decontamination": op2_decontamination,
@@ -175,9 +208,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_chat": op9_chat,
     "op10_quality_kn": op10_quality_kn,
     "op11_merkle": op11_merkle,
+    "op13_importance": op13_importance,
 }
 
 ORACLES: dict[str, str] = {
     "op9_chat": OP9_SQL,
     "op11_merkle": OP11_SQL,
+    "op13_importance": OP13_SQL,
 }
