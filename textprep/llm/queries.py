@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textprep.llm import ann_tree, brown, chat, decontamination, importance, jaccard_join, langid, merkle, mixing, quality_kn, sharding, token_counts
+from textprep.llm import ann_tree, brown, chat, decontamination, importance, jaccard_join, langid, merkle, mixing, quality_kn, quality_rules, sharding, token_counts
 from textprep.llm.common import pinned, read_table
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
@@ -97,6 +97,11 @@ def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("row.doc_id", "leaf", "subroot", "root", F.col("proof").alias("proof_sha256"), "folded_root", "verified", "copied_nodes")
 
 
+def op12_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = quality_rules.classify(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"), ["doc_id"])
+    return found.select("row.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "score", "threshold")
+
+
 def op13_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = importance.resample(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"), "doc_id", ["doc_id"],
                                 orders=1, buckets=10_000, percent=10, least_words=20, seed=2024)
@@ -208,6 +213,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_chat": op9_chat,
     "op10_quality_kn": op10_quality_kn,
     "op11_merkle": op11_merkle,
+    "op12_quality_rules": op12_quality_rules,
     "op13_importance": op13_importance,
 }
 
