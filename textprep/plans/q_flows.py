@@ -26,6 +26,7 @@ from textprep.plans import sql as S
 from textprep.plans.catalog import register
 from textprep.plans.q_arrays import spelling_sql
 from textprep.plans.q_sampling import split_sql
+from textprep.session import ensure_checkpoint_dir
 from textprep.sources import files as FS
 from textprep.sources import tables as TB
 from textprep.sources.tables import table
@@ -342,14 +343,13 @@ def tabular_prep_rows(spark, sf):
 def tabular_prep(spark, sf):
     parts, audit, corr = _tabular_parts(spark, sf)
     feats = list(TABULAR_FEATURES)
-    train, test = parts.where("part = 'train'"), parts.where("part = 'test'")
-    train_s = assemble(standard_scale(train, train, feats, "_z"), [f + "_z" for f in feats]).withColumn(
-        "y", (F.col("flag_id") == 2).cast("double"))
-    test_s = assemble(standard_scale(train, test, feats, "_z"), [f + "_z" for f in feats]).withColumn(
-        "y", (F.col("flag_id") == 2).cast("double"))
+    ensure_checkpoint_dir(spark)
+    scaled = standard_scale(parts.where("part = 'train'"), parts, feats, "_z").withColumn("y", (F.col("flag_id") == 2).cast("double"))
+    scaled = scaled.select("part", "y", *[f + "_z" for f in feats]).checkpoint()  # written once for all fits and scores
+    train_s, test_s = (assemble(scaled.where(F.col("part") == part), [f + "_z" for f in feats]) for part in ("train", "test"))
     rows = []
     for name, fn in (("logreg", lambda a, b: tabular_logreg(a, b, "y")), ("tree", lambda a, b: decision_tree(a, b, "y")),
-                     ("forest", lambda a, b: random_forest(a, b, "y", num_trees=100, max_depth=12)),
+                     ("forest", lambda a, b: random_forest(a, b, "y", num_trees=100)),
                      ("boosted", lambda a, b: boosted_trees(a, b, "y"))):
         acc = accuracy_micro(fn(train_s, test_s), "prediction", "y").first()["accuracy"]
         rows.append((name, float(acc), int(audit), float(corr)))
