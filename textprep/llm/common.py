@@ -23,17 +23,36 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def pinned(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as a scratch table in the shared checkpoint folder and read it back:
     lineage is cut, lost executors cost nothing, and columns are pruned on every read.
-    The table is deleted when the driver's JVM ends."""
+    The shuffle files behind it go when it is written, the table itself by ``discard`` or
+    when the driver's JVM ends."""
     spark = df.sparkSession
     path = f"{ensure_checkpoint_dir(spark)}/llm/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
     sc = spark.sparkContext
     jpath = sc._jvm.org.apache.hadoop.fs.Path(path)
     jpath.getFileSystem(sc._jsc.hadoopConfiguration()).deleteOnExit(jpath)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._scratch_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete scratch tables that no later step reads."""
+    for table in tables:
+        sc = table.sparkSession.sparkContext
+        jpath = sc._jvm.org.apache.hadoop.fs.Path(table._scratch_path)
+        jpath.getFileSystem(sc._jsc.hadoopConfiguration()).delete(jpath, True)
 
 
 def bounded_broadcast(small: DataFrame, max_rows: int) -> DataFrame:
