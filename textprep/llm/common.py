@@ -15,7 +15,7 @@ from textprep.session import ensure_checkpoint_dir
 
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"  # a word: a run without ASCII white space
 BLOCK_BYTES = 1 << 19  # texts are hashed in blocks of about this many bytes
-SLICE_BYTES = 1 << 22  # UTF-8 bytes of texts that a step of a task holds
+SLICE_BYTES = 1 << 21  # UTF-8 bytes of texts that a step of a task holds
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -181,6 +181,7 @@ def text_slices(batch: pa.RecordBatch, texts: pa.Array, rows: int = 1 << 20) ->
         b = min(max(a + 1, b), a + rows, batch.num_rows)
         yield batch.slice(a, b - a), texts.slice(a, b - a)
         a = b
+    pa.default_memory_pool().release_unused()  # a reused worker would keep its peak
 
 
 def _hash_block(raw: np.ndarray, starts_doc: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

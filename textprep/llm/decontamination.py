@@ -26,12 +26,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from textprep.llm.common import byte_table, ngram_hashes, text_slices, word_count, word_hashes
+from textprep.llm.common import byte_table, ngram_hashes, row_struct, schema_of, text_slices, word_count, word_hashes
 
 MIN_MATCH, COVERAGE = 5, 0.5
 MAX_BLOCK_TOKENS = 2_000_000
@@ -134,9 +133,9 @@ def contaminations(docs: DataFrame, benchmark: DataFrame, keep: list[str], text_
                    item_text_col: str = "text", min_match: int = MIN_MATCH, coverage: float = COVERAGE) -> DataFrame:
     """(row struct of ``keep``, item_id, item_tokens, matched_tokens, n_tiles, coverage): one
     row per document and benchmark item whose tiles reach ``coverage``."""
-    packed = docs.where(F.col(text_col).isNotNull()).select(F.struct(*keep).alias("row"), F.col(text_col).alias("text"))
-    row_type, item_type = packed.schema["row"].dataType.simpleString(), benchmark.schema[item_col].dataType.simpleString()
-    schema = f"row {row_type}, item_id {item_type}, item_tokens bigint, matched_tokens bigint, n_tiles bigint, coverage double"
+    packed = docs.where(F.col(text_col).isNotNull()).select(row_struct(keep).alias("row"), F.col(text_col).alias("text"))
+    schema = schema_of({"row": packed.schema["row"].dataType, "item_id": benchmark.schema[item_col].dataType},
+                       "item_tokens bigint, matched_tokens bigint, n_tiles bigint, coverage double")
     id_kind = to_arrow_type(benchmark.schema[item_col].dataType)
     out = None
     for shared in _seed_blocks(benchmark, item_col, item_text_col, min_match):
@@ -161,20 +160,25 @@ def contaminations(docs: DataFrame, benchmark: DataFrame, keep: list[str], text_
     return out
 
 
+def _is_clean(shared, coverage: float):
+    """Whether a text holds no item of the broadcast block; the text alone goes to Python."""
+    @F.arrow_udf("boolean")
+    def clean(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        _, seeds = shared.value
+        for texts in batches:
+            keep, first = np.ones(len(texts), bool), 0
+            for _, part in text_slices(pa.RecordBatch.from_arrays([texts], ["text"]), texts, SLICE_ROWS):
+                keep[[first + d for d, _, _ in seeds.matches(*word_hashes(part, _TABLE), coverage)]] = False
+                first += len(part)
+            yield pa.array(keep)
+
+    return clean.asNondeterministic()
+
+
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id",
                       item_text_col: str = "text", min_match: int = MIN_MATCH, coverage: float = COVERAGE) -> DataFrame:
     """``docs`` without the documents that hold a benchmark item.  The decision is made and
     applied in one map task per block of the benchmark; no text is shuffled."""
-    packed = docs.select(F.struct(*docs.columns).alias("row"))
-    at = docs.columns.index(text_col)
     for shared in _seed_blocks(benchmark, item_col, item_text_col, min_match):
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            _, seeds = shared.value
-            for batch in batches:
-                for part, texts in text_slices(batch, pc.fill_null(batch.column(0).field(at), ""), SLICE_ROWS):
-                    lost = {d for d, _, _ in seeds.matches(*word_hashes(texts, _TABLE), coverage)}
-                    yield part if not lost else part.filter(pa.array([d not in lost for d in range(part.num_rows)]))
-
-        packed = packed.mapInArrow(run, packed.schema)
-    return packed.select("row.*")
+        docs = docs.where(_is_clean(shared, coverage)(F.coalesce(F.col(text_col), F.lit(""))))
+    return docs

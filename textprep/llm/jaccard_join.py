@@ -30,10 +30,11 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textprep.llm.common import bounded_broadcast, byte_table, key_groups, mix64, ngram_hashes, pinned, text_slices, word_hashes
+from textprep.llm.common import bounded_broadcast, byte_table, key_groups, mix64, ngram_hashes, pinned, row_struct, text_slices, word_hashes
 from textprep.llm.components import connected_components
 
 WORDS, THRESHOLD, TOLERANCE = 5, 0.8, 1e-5
@@ -229,7 +230,7 @@ def _verify(threshold: float):
             ra, rb = (np.array(group.column(c)[at].as_py(), np.int64) for c in ("a", "b"))
             a, b = (order[np.searchsorted(rid[order], x)] for x in (ra, rb))
             flat = _matrix(texts.column("shingles"), np.uint64)
-            size = np.array([len(x) for x in texts.column("shingles").to_pylist()]) // 8
+            size = pc.binary_length(texts.column("shingles")).to_numpy().astype(np.int64) // 8
             off = np.concatenate([[0], np.cumsum(size)])
             vocabulary, ids = np.unique(flat, return_inverse=True)
             shared = np.zeros(len(a), np.int64)
@@ -332,7 +333,7 @@ def keep_one_per_class(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     first = F.col("id").eqNullSafe(F.col("class_id")) & (F.col("key") == F.col("class_key"))
     losers = pinned(classes.where(~first).select("id", "key").distinct(), "losers")
     repeated = pinned(classes.where(first).groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key"), "repeated")
-    packed = docs.select(F.struct(*docs.columns).alias("doc"), F.col(id_col).alias("_id"), F.unhex(F.md5(text_col)).alias("_key"))
+    packed = docs.select(row_struct(docs.columns).alias("doc"), F.col(id_col).alias("_id"), F.unhex(F.md5(text_col)).alias("_key"))
     lost = bounded_broadcast(losers, 3 * BROADCAST_TEXTS)
     kept = packed.join(lost, (F.col("_key") == F.col("key")) & F.col("_id").eqNullSafe(F.col("id")), "left_anti")
     if not repeated.isEmpty():  # only representatives that occur in several equal rows are moved

@@ -21,14 +21,14 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textprep.llm.common import text_slices
+from textprep.llm.common import row_struct, text_slices
 
 UNDETERMINED = "und"
 MAX_LANGS = 1000
-SEGMENT_CHARS = 1 << 18
+SEGMENT_CHARS = 1 << 17
 _FACTORS = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
 
 
@@ -150,30 +150,33 @@ def log_scores(model: LangModel, texts: pa.Array) -> np.ndarray:
     return total
 
 
+def language_of(text: Column, model: LangModel, spark: SparkSession) -> Column:
+    """(lang_pred, score) of a text column.  Only the text goes to Python; the rest of the row stays
+    in the JVM.  Marked as not deterministic so that a filter on it does not make it run twice."""
+    if not model.langs:
+        return F.struct(F.lit(UNDETERMINED).alias("lang_pred"), F.lit(0.0).alias("score"))
+    shared = spark.sparkContext.broadcast(model)  # MAX_LANGS x 2**bits floats at most
+    kind = pa.struct([("lang_pred", pa.string()), ("score", pa.float64())])
+
+    @F.arrow_udf("lang_pred string, score double")
+    def best(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        m = shared.value
+        for texts in batches:
+            found = [pa.array([], kind)]
+            for _, part in text_slices(pa.RecordBatch.from_arrays([texts], ["text"]), texts):
+                z = log_scores(m, part)
+                post = 1.0 / np.exp(z - z.max(axis=1, keepdims=True)).sum(axis=1)
+                found.append(pa.StructArray.from_arrays([pa.array([m.langs[b] for b in z.argmax(axis=1)], pa.string()), pa.array(post)], fields=list(kind)))
+            yield pa.concat_arrays(found)
+
+    got = best.asNondeterministic()(F.coalesce(text, F.lit("")))
+    none = F.struct(F.lit(UNDETERMINED).alias("lang_pred"), F.lit(0.0).alias("score"))
+    return F.when(F.coalesce(text.rlike(r"\p{L}"), F.lit(False)), got).otherwise(none)
+
+
 def predict(docs: DataFrame, model: LangModel, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
     """``docs`` (or its columns ``keep``) with ``lang_pred`` and ``score``, the posterior
     probability of the predicted language."""
     keep = [c for c in (keep if keep is not None else docs.columns) if c not in ("lang_pred", "score")]
-    if not model.langs:
-        return docs.select(*keep, F.lit(UNDETERMINED).alias("lang_pred"), F.lit(0.0).alias("score"))
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # MAX_LANGS x 2**bits floats at most
-    packed = docs.select(
-        F.struct(*keep).alias("row"), F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False)).alias("letter"),
-        *([] if text_col in keep else [F.coalesce(text_col, F.lit("")).alias("text")]))
-    row_type = packed.schema["row"].dataType.simpleString()
-
-    def slices(batch: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, pa.Array]]:
-        return text_slices(batch, pc.fill_null(batch.column(0).field(keep.index(text_col)), "") if text_col in keep else batch.column(2))
-
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
-        for part, texts in (x for batch in batches for x in slices(batch)):
-            z = log_scores(m, texts)
-            best = z.argmax(axis=1)
-            post = 1.0 / np.exp(z - z.max(axis=1, keepdims=True)).sum(axis=1)
-            letter = part.column(1).to_numpy(zero_copy_only=False)
-            yield pa.RecordBatch.from_arrays([
-                part.column(0), pa.array([m.langs[b] if ok else UNDETERMINED for b, ok in zip(best, letter)], pa.string()),
-                pa.array(np.where(letter, post, 0.0), pa.float64())], ["row", "lang_pred", "score"])
-
-    return packed.mapInArrow(score, f"row {row_type}, lang_pred string, score double").select("row.*", "lang_pred", "score")
+    found = docs.select(row_struct(keep).alias("row"), language_of(F.col(text_col), model, docs.sparkSession).alias("found"))
+    return found.select("row.*", "found.lang_pred", "found.score")
