@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textprep.llm import decontamination, jaccard_join, langid, mixing, sharding
-from textprep.llm.common import explode_count, pinned, read_table
+from textprep.llm.common import explode_count, pinned, read_table, row_struct
 from textprep.llm.queries import N_SHARDS, SOURCE_WEIGHTS, id_remainder
 
 MIN_LANG_SCORE = 0.5
@@ -21,8 +21,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects texts without a letter and texts whose best language has a probability of
     less than MIN_LANG_SCORE; the model is learned as in op5."""
     model = langid.fit(docs.where(id_remainder(F.col("doc_id"), 3) != 1))
-    scored = langid.predict(docs.select(F.struct(*docs.columns).alias("doc"), "text"), model)
-    return scored.where((F.col("lang_pred") != langid.UNDETERMINED) & (F.col("score") >= MIN_LANG_SCORE)).select("doc.*")
+    found = docs.select(row_struct(docs.columns).alias("doc"), langid.language_of(F.col("text"), model, spark).alias("found"))
+    return found.where((F.col("found.lang_pred") != langid.UNDETERMINED) & (F.col("found.score") >= MIN_LANG_SCORE)).select("doc.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,7 +37,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it (0 to 2 times)."""
-    doc = docs.select(F.struct(*docs.columns).alias("doc"), "doc_id", "text", "source")
+    doc = docs.select(row_struct(docs.columns).alias("doc"), "doc_id", "text", "source")
     mixed = mixing.mix(doc, mixing.cyclic_weights(SOURCE_WEIGHTS)).where("copies > 0")
     return explode_count(mixed.select("doc", "copies"), "copies", "copy").select("doc.*")
 
