@@ -203,18 +203,34 @@ def test_exchange_raises_the_likelihood(spark, two_tongues):
     assert seen[0] == sorted(seen[0]) and seen[0][-1] > seen[0][0]
 
 
-def test_packed_rows_keep_a_unit_together(spark, monkeypatch):
-    """Moves do not depend on how many rows of the table are packed into one."""
+@pytest.mark.parametrize("ranges", [1, 7])
+def test_packed_bigrams_equal_counted_pairs_and_keep_a_unit_together(monkeypatch, ranges):
+    """However few pairs a task holds and however few rows are packed into one."""
     rng = np.random.default_rng(3)
-    rows = [(int(u), bool(f), int(o), int(n)) for u, f, o, n in zip(np.sort(rng.integers(0, 30, 500)), rng.integers(0, 2, 500), rng.integers(0, 30, 500), rng.integers(1, 9, 500))]
-    table = pa.record_batch([pa.array(c) for c in zip(*rows)], ["unit", "first", "other", "n"])
-    shared = type("Shared", (), {"value": (np.arange(30) % 4, np.ones((5, 5)))})
+    texts = [" ".join(f"w{x}" for x in rng.integers(0, 30, n)) for n in rng.integers(0, 40, 60)]
+    known, _ = word_hashes(pa.array([f"w{x}" for x in range(20)]), byte_table(lower=True))
+    units = brown.Units(np.sort(known))
+    counted = collections.Counter()
+    for t in texts:
+        words, ptr, endings = brown.words_with_endings(pa.array([t]), byte_table(lower=True))
+        u = [units.end, *units.of(words, endings).tolist(), units.end]
+        for x, y in zip(u, u[1:]):
+            counted[x, 1, y] += 1
+            counted[y, 0, x] += 1
+    shared = type("Shared", (), {"value": units})
+    classes = np.arange(units.end + 1) % 4
     seen = []
-    for size in (1, 7, 1 << 16):
+    for pairs, size in ((1, 1), (50, 7), (1 << 21, 1 << 16)):
+        monkeypatch.setattr(brown, "TASK_PAIRS", pairs)
         monkeypatch.setattr(brown, "PACK_ROWS", size)
-        packed = brown._pack(table.slice(a, 5) for a in range(0, 500, 5))
-        seen.append(pa.Table.from_batches(brown._best_moves(shared, 5)(packed)).to_pydict())
-    assert seen[0]["unit"] == sorted({r[0] for r in rows})
+        batches = [pa.RecordBatch.from_arrays([pa.array(texts[a: a + 7])], ["text"]) for a in range(0, len(texts), 7)]
+        dealt = pa.Table.from_batches(brown._count_bigrams(shared, ranges)(batches)).sort_by("part")
+        packed = list(brown._merge(shared)(dealt.to_batches(max_chunksize=3)))
+        rows = [r for cols in brown._unpacked(packed) for r in zip(*(c.tolist() for c in cols))]
+        assert {(u, int(f), o): n for u, f, o, n in rows} == counted and len(rows) == len(counted)
+        moves = brown._best_moves(type("Shared", (), {"value": (classes, np.ones((5, 5)))}), 5)(iter(packed))
+        seen.append(pa.Table.from_batches(moves).sort_by("unit").to_pydict())
+        assert len(set(seen[-1]["unit"])) == len(seen[-1]["unit"])
     for other in seen[1:]:
         assert all(other[c] == seen[0][c] for c in ("unit", "best", "mass")) and other["gain"] == pytest.approx(seen[0]["gain"])
 

@@ -34,14 +34,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textprep.llm.common import byte_table, most_frequent, pinned, text_slices, words_with_endings
+from textprep.llm.common import byte_table, discard, key_groups, most_frequent, pinned, row_struct, schema_of, text_slices, words_with_endings
 
 LEAST, DEALT, HOT, CLASSES = 5, 8192, 1 << 18, 64  # DEALT: words that start in classes of their own rank, the others in their ending's
 ROUNDS, LEAST_GAIN = 12, 1e-4
 CLASS_PRIOR, WORD_PRIOR = 8.0, 0.5
 ENDINGS = 1 << 16
 PACK_ROWS = 1 << 16  # rows of the bigram table that are one row of packed columns
-_PACKED = {"unit": np.int32, "first": np.uint8, "other": np.int32, "n": np.int64}
+TASK_PAIRS, RANGE_PAIRS = 1 << 19, 1 << 21  # pairs that a map task holds before it deals them out; pairs of a range of units, about
+_PACKED = {"unit": np.int32, "first": np.uint8, "other": np.int32, "n": np.int32}
 END = np.int64(0)  # key of the end token in the table of counts
 _TABLE = byte_table(lower=True)
 _TEXTS = 2000  # texts that a step of a task holds
@@ -104,34 +105,62 @@ def _steps(words: np.ndarray, ptr: np.ndarray, endings: np.ndarray, units: Units
     return before, here
 
 
-def _count_bigrams(shared):
+def _count_bigrams(shared, ranges: int):
+    """Texts -> (part, pairs, n): the counted pairs of each range of units as packed rows, every pair
+    twice, for the unit that comes first and for the other; a pair's number is unit, side, other."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         units: Units = shared.value
         base = np.int64(units.end + 1)
+        held, count, size = [], [], 0
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            pair, n = _summed(np.concatenate(held), np.concatenate(count))
+            before, here = pair // base, pair % base
+            for unit, side, other in ((before, 1, here), (here, 0, before)):
+                number = (unit * 2 + side) * base + other
+                part = unit % ranges
+                order = np.lexsort((number, part))
+                edges = np.searchsorted(part[order], np.arange(ranges + 1))
+                for k in np.flatnonzero(np.diff(edges)).tolist():
+                    mine = order[edges[k]: edges[k + 1]]
+                    yield pa.RecordBatch.from_arrays([
+                        pa.array([k], pa.int32()), pa.array([number[mine].tobytes()], pa.binary()), pa.array([n[mine].astype(np.int32).tobytes()], pa.binary())], ["part", "pairs", "n"])
+
         for batch in batches:
             for _, texts in text_slices(batch, batch.column(0)):
                 before, here = _steps(*words_with_endings(texts, _TABLE), units)
                 pair, n = np.unique(before * base + here, return_counts=True)
-                yield pa.RecordBatch.from_arrays([
-                    pa.array((pair // base).astype(np.int32)), pa.array((pair % base).astype(np.int32)), pa.array(n.astype(np.int64))], ["a", "b", "n"])
+                held.append(pair)
+                count.append(n)
+                size += len(pair)
+                if size > TASK_PAIRS:
+                    yield from flush()
+                    held, count, size = [], [], 0
+        if held:
+            yield from flush()
     return run
 
 
-def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of a partition -> rows that hold PACK_ROWS or more of them, order kept."""
-    def row(part: list[pa.RecordBatch]) -> pa.RecordBatch:
-        cols = [np.concatenate([b.column(i).to_numpy(zero_copy_only=False) for b in part]).astype(kind) for i, kind in enumerate(_PACKED.values())]
-        return pa.RecordBatch.from_arrays([pa.array([c.tobytes()], pa.binary()) for c in cols], list(_PACKED))
+def _summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Different keys in order, with their counts added up."""
+    order = np.argsort(keys, kind="stable")
+    keys = keys[order]
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
+    return keys[first], np.add.reduceat(counts[order], first) if len(keys) else counts
 
-    held, size = [], 0
-    for batch in batches:
-        held.append(batch)
-        size += batch.num_rows
-        if size >= PACK_ROWS:
-            yield row(held)
-            held, size = [], 0
-    if size:
-        yield row(held)
+
+def _merge(shared):
+    """All packed rows of a partition -> rows (unit, first, other, n) of packed columns, sorted by unit."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        base = np.int64(shared.value.end + 1)
+        for table in key_groups(batches, "part"):  # a range of units
+            columns = ([np.frombuffer(x.as_py(), kind) for x in table.column(c)] for c, kind in (("pairs", np.int64), ("n", np.int32)))
+            pair, n = _summed(*map(np.concatenate, columns))
+            unit, other = pair // base, pair % base
+            cols = {"unit": unit >> 1, "first": unit & 1, "other": other, "n": n}
+            for a in range(0, len(pair), PACK_ROWS):
+                yield pa.RecordBatch.from_arrays([pa.array([cols[c][a: a + PACK_ROWS].astype(kind).tobytes()], pa.binary()) for c, kind in _PACKED.items()], list(_PACKED))
+    return run
 
 
 def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
@@ -196,10 +225,10 @@ def _best_moves(shared, k: int):
 def exchange(table: DataFrame, classes: np.ndarray, k: int, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray, list[float]]:
     """Exchange clustering: (classes, class bigram counts, likelihood after each round).
 
-    ``table`` (unit, first, other, n) holds every bigram twice, for either unit, sorted by
-    unit.  Half of the units may move in a round, so that neighbours do not swap for ever."""
+    ``table`` (unit, first, other, n), in rows of packed columns, holds every bigram twice, for
+    either unit; a unit's rows follow each other.  Half of the units may move in a round, so
+    that neighbours do not swap for ever."""
     sc = table.sparkSession.sparkContext
-    table = pinned(table.mapInArrow(_pack, ", ".join(f"{c} binary" for c in _PACKED)), "unit-bigrams")
 
     def matrix_of(c: np.ndarray) -> np.ndarray:
         shared, m = sc.broadcast(c), np.zeros(k * k)
@@ -267,11 +296,9 @@ def fit(train: DataFrame, text_col: str = "text", frequent: int | None = None, h
     units = Units(head)
 
     shared = sc.broadcast(units)
-    pairs = texts.mapInArrow(_count_bigrams(shared), "a int, b int, n bigint").repartition(F.col("a")).groupBy("a", "b").agg(F.sum("n").alias("n"))
-    pairs = pinned(pairs, "bigrams")
-    both = pairs.select(F.col("a").alias("unit"), F.lit(True).alias("first"), F.col("b").alias("other"), "n").unionByName(
-        pairs.select(F.col("b").alias("unit"), F.lit(False).alias("first"), F.col("a").alias("other"), "n"))
-    both = both.repartition(F.col("unit")).sortWithinPartitions("unit")
+    ranges = max(1, -(-2 * (tokens + 1) // RANGE_PAIRS))  # grows with the texts
+    packed = texts.mapInArrow(_count_bigrams(shared, ranges), "part int, pairs binary, n binary").repartition(ranges, "part").sortWithinPartitions("part")
+    table = pinned(packed.mapInArrow(_merge(shared), ", ".join(f"{c} binary" for c in _PACKED)), "unit-bigrams")
 
     k = n_classes + 1
     classes = np.empty(units.end + 1, np.min_scalar_type(n_classes))
@@ -280,7 +307,8 @@ def fit(train: DataFrame, text_col: str = "text", frequent: int | None = None, h
     classes[rank[known]] = np.flatnonzero(known) % n_classes  # by falling frequency, as a deal of cards
     classes[len(head): units.end] = np.arange(ENDINGS) % n_classes
     classes[units.end] = n_classes
-    classes, matrix, _ = exchange(both, classes, k, rounds)
+    classes, matrix, _ = exchange(table, classes, k, rounds)
+    discard(table)
 
     n_class = matrix.sum(axis=0)
     total = max(n_class.sum(), 1.0)
@@ -340,10 +368,9 @@ def score(docs: DataFrame, model: ClassModel, keep: list[str], text_col: str = "
     sc = docs.sparkSession.sparkContext
     shared = sc.broadcast((model.units, model.classes, model.transition, model.class_norm, model.hot, model.hot_count,
                            model.tokens, model.types, model.ends))
-    packed = docs.select(F.struct(*keep).alias("row"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    row_type = packed.schema["row"].dataType.simpleString()
+    packed = docs.select(row_struct(keep).alias("row"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     scored = pinned(packed.mapInArrow(
-        _score_texts(shared), f"row {row_type}, n_tokens bigint, n_known bigint, unigram double, score double, words array<bigint>, times array<int>",
+        _score_texts(shared), schema_of({"row": packed.schema["row"].dataType}, "n_tokens bigint, n_known bigint, unigram double, score double, words array<bigint>, times array<int>"),
     ).withColumn("rid", F.monotonically_increasing_id()), "scored")  # numbered once, as written
     tail = scored.select("rid", F.explode(F.arrays_zip("words", "times")).alias("w")).select("rid", F.col("w.words").alias("word"), F.col("w.times").alias("times"))
     count = F.coalesce("n", F.lit(0))
