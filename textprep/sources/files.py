@@ -26,6 +26,14 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/io/{name}-{uuid.uuid4().hex}"
 
 
+def drop_scratch(spark: SparkSession, path: str) -> None:
+    """Remove a scratch folder once its last reader is done."""
+    if not path.startswith(f"{ensure_checkpoint_dir(spark).rstrip('/')}/io/"):
+        raise ValueError(f"not a scratch folder: {path}")
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
 # --- scans ---------------------------------------------------------------------------
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType | str | None = None, header: bool = True,
