@@ -124,3 +124,29 @@ def test_translation_prep_trains_at_the_references_size(spark, monkeypatch):
     monkeypatch.setattr(q_flows, "bpe_train", small)
     q_flows.translation_prep(spark, SF001)
     assert sizes == [5000, 5000]
+
+
+def test_map_side_lookup_equals_join(spark, monkeypatch):
+    from pyspark.sql import functions as F
+    rows = [(1, ["b", "a", "é", "zz", None]), (2, []), (3, None), (4, ["日本", "a", "a"]), (5, ["zz"])]
+    df = spark.createDataFrame(rows, "k int, t array<string>")
+    vocab = spark.createDataFrame([("a", 4), ("b", 5), ("é", 7), ("日本", 6), ("[UNK]", 1)], "token string, id int")
+    results = []
+    for most in (V.MAP_SIDE_ROWS, 0):
+        monkeypatch.setattr(V, "MAP_SIDE_ROWS", most)
+        enc = V.encode_tokens(df, "k", "t", vocab)
+        dec = V.decode_ids(enc, "k", "ids", vocab)
+        results.append((sorted(map(tuple, enc.collect())), sorted(map(tuple, dec.collect()))))
+    assert results[0] == results[1]
+    assert results[0][0] == [(1, [5, 4, 7, 1, 1]), (2, []), (3, []), (4, [6, 4, 4]), (5, [1])]
+    assert results[0][1] == [(1, "b a é"), (2, ""), (3, ""), (4, "日本 a a"), (5, "")]
+    empty = V.encode_tokens(df.where(F.col("k") < 0), "k", "t", vocab.where("id < 0"))
+    assert empty.count() == 0
+
+
+def test_word_encoders_need_no_exchange(spark):
+    df = spark.createDataFrame([(1, "a b"), (2, None)], "k int, text string")
+    vocab = spark.createDataFrame([("a", 4)], "token string, id int")
+    enc = V.wordlevel_encode(df, "k", "text", vocab, 3)
+    assert "Exchange" not in enc._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, enc.collect())) == [(1, [4, 1, 0], [1, 1, 0]), (2, [0, 0, 0], [0, 0, 0])]

@@ -17,14 +17,20 @@ BROADCAST_MAX_ROWS = 2_000_000
 BROADCAST_MAX_BYTES = 64 << 20
 
 
-def checked_broadcast(small: DataFrame, max_rows: int = BROADCAST_MAX_ROWS, max_bytes: int = BROADCAST_MAX_BYTES) -> DataFrame:
-    """Broadcast hint only after measuring the side's rows and bytes.  The side is learned
-    once: it is checkpointed, so neither the measure nor the join computes it again."""
+def measured(small: DataFrame, max_rows: int = BROADCAST_MAX_ROWS, max_bytes: int = BROADCAST_MAX_BYTES) -> tuple[DataFrame, bool]:
+    """The side, and whether its rows and bytes keep the bounds.  It is learned once: it is
+    checkpointed, so neither the measure nor what follows computes it again."""
     ensure_checkpoint_dir(small.sparkSession)
     small = small.checkpoint(eager=True)
     width = sum((F.coalesce(F.octet_length(F.col(f"`{c}`").cast("string")), F.lit(0)) for c, t in small.dtypes if t == "string"), F.lit(16 * len(small.columns)))
     n, size = small.agg(F.count(F.lit(1)), F.sum(width)).first()
-    return F.broadcast(small) if n <= max_rows and (size or 0) <= max_bytes else small
+    return small, n <= max_rows and (size or 0) <= max_bytes
+
+
+def checked_broadcast(small: DataFrame, max_rows: int = BROADCAST_MAX_ROWS, max_bytes: int = BROADCAST_MAX_BYTES) -> DataFrame:
+    """Broadcast hint only after measuring the side's rows and bytes."""
+    small, fits = measured(small, max_rows, max_bytes)
+    return F.broadcast(small) if fits else small
 
 
 def select_drop(df: DataFrame, keep: Sequence[str] | None = None, drop: Sequence[str] = ()) -> DataFrame:

@@ -19,9 +19,12 @@ from __future__ import annotations
 
 import math
 import re
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -29,10 +32,11 @@ from pyspark.sql import types as T
 from textprep.functions.arrays import attention_mask, pad_truncate
 from textprep.functions.text import SPACE_CHARS, WORD, WORD_CHARS, java, split_whitespace
 from textprep.operators import bpe
-from textprep.operators.relational import checked_broadcast
+from textprep.operators.relational import checked_broadcast, measured
 from textprep.session import ensure_checkpoint_dir
 
 WHITESPACE_PIECE = f"{WORD}+|[^{WORD_CHARS}{SPACE_CHARS}]+"
+MAP_SIDE_ROWS, MAP_SIDE_BYTES = 500_000, 32 << 20  # a vocabulary that every task may hold
 DEFAULT_SPECIALS = ("[PAD]", "[UNK]", "[SOS]", "[EOS]")
 
 
@@ -73,20 +77,68 @@ def wordlevel_train(counts: DataFrame, vocab_size: int, specials: Sequence[str]
     return sp.unionByName(ranked)
 
 
+class _Dictionary:
+    """A bounded two-column table, sorted by one of them, held in the task.  Each list's entries are looked up by
+    binary search, once per distinct entry of a batch, straight on the Arrow buffers."""
+
+    def __init__(self, table: pa.Table, by: str, give: str):
+        self.by, self.give = table.column(by).combine_chunks(), table.column(give).combine_chunks()
+        self.sorted = np.asarray(self.by.cast(pa.binary()).to_pylist(), dtype=object) if pa.types.is_string(self.by.type) else self.by.to_numpy()
+
+    def find(self, flat: pa.Array) -> pa.Array:
+        """The given column's value of each entry; null where the dictionary has none."""
+        if not len(self.by) or not len(flat):
+            return pa.nulls(len(flat), self.give.type)
+        coded = flat.dictionary_encode()
+        words = coded.dictionary
+        probe = np.asarray(words.cast(pa.binary()).to_pylist(), dtype=object) if pa.types.is_string(words.type) else words.to_numpy()
+        at = np.minimum(np.searchsorted(self.sorted, probe), len(self.by) - 1)
+        rows = pa.array(at, mask=self.sorted[at] != probe)
+        return self.give.take(rows.take(coded.indices))
+
+
+def _look_up(df: DataFrame, key: str, lists: str, table: pa.Table, by: str, give: str, out: str, out_type: str,
+             default: int | None = None, skip: Sequence[int] = ()) -> DataFrame:
+    """Rows (key, list of the entries' values) without an exchange; entries in ``skip`` go."""
+    sent = df.sparkSession.sparkContext.broadcast(table.sort_by(by))  # within MAP_SIDE_ROWS and MAP_SIDE_BYTES
+    rows = df.select(F.col(key), F.col(lists).alias("_list"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = _Dictionary(sent.value, by, give)
+        for batch in batches:
+            col = batch.column(1)
+            n = pc.fill_null(pc.list_value_length(col), 0).to_numpy().astype(np.int64)
+            flat = col.flatten()
+            ends = np.cumsum(n)
+            if skip:
+                kept = pc.invert(pc.is_in(flat, pa.array(list(skip), flat.type)))
+                ends = np.concatenate([[0], np.cumsum(kept.to_numpy(zero_copy_only=False))])[ends]
+                flat = flat.filter(kept)
+            found = known.find(flat)
+            if default is not None:
+                found = pc.fill_null(found, default)
+            offsets = pa.array(np.concatenate([[0], ends]).astype(np.int32))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(offsets, found)], [key, out])
+
+    return rows.mapInArrow(run, T.StructType([rows.schema[key], T.StructField(out, T._parse_datatype_string(out_type))]))
+
+
 def encode_tokens(df: DataFrame, key: str, tokens: str, vocab: DataFrame, unk_id: int = 1, out: str = "ids",
                   length: int | None = None) -> DataFrame:
-    """Token arrays -> id arrays (unknown -> ``unk_id``), order kept; with ``length`` only
-    the first tokens are looked up, as only they are kept later.
-
-    posexplode, broadcast join with the size-checked vocabulary, and an ordered
-    regroup by the row key (one group = one row's tokens)."""
-    # Hash-partition the token *arrays* by row key first: explode and the broadcast
-    # join keep that partitioning, so the regroup below needs no exchange, and the
-    # shuffle moves compact arrays instead of one row per token.
-    # posexplode_outer keeps rows without tokens (one null entry, skipped below).
+    """Token arrays -> id arrays (unknown or null -> ``unk_id``), order kept; with ``length`` only
+    the first tokens are looked up, as only they are kept later.  A null array gives an empty one.
+
+    A vocabulary within the broadcast bounds is looked up in the map task; a larger one is joined
+    (posexplode, join by token, ordered regroup by the row key: one group = one row's tokens)."""
     toks = F.col(tokens) if length is None else F.slice(F.col(tokens), 1, length)
+    vocab, fits = measured(vocab.select("token", "id"), MAP_SIDE_ROWS, MAP_SIDE_BYTES)
+    if fits:
+        rows = df.select(F.col(key), toks.alias("_t"))
+        return _look_up(rows, key, "_t", vocab.toArrow(), "token", "id", out, "array<int>", default=unk_id)
+    # Hash-partition the token *arrays* by row key first: explode keeps that partitioning, and
+    # posexplode_outer keeps rows without tokens (one null entry, skipped below).
     ex = df.select(key, toks.alias("_t")).repartition(key).select(key, F.posexplode_outer("_t").alias("pos", "token"))
-    joined = ex.join(checked_broadcast(vocab.select("token", "id")), "token", "left")
+    joined = ex.join(vocab, "token", "left")
     entry = F.when(F.col("pos").isNotNull(), F.struct("pos", F.coalesce("id", F.lit(unk_id)).alias("id")))
     grouped = joined.groupBy(key).agg(F.array_sort(F.collect_list(entry)).alias("_p"))
     return grouped.select(key, F.col("_p.id").cast("array<int>").alias(out))
@@ -105,15 +157,21 @@ def decode_ids(df: DataFrame, key: str, ids: str, vocab: DataFrame, skip_ids: Se
                continuation: str | None = None, out: str = "text") -> DataFrame:
     """Ids -> text joined by spaces; special ids skipped; ``continuation`` (e.g.
     ``##``) pieces are glued to the previous piece."""
-    ex = df.repartition(key).select(key, F.posexplode_outer(F.col(ids)).alias("pos", "id"))
-    ex = ex.where(F.col("pos").isNull() | ~F.col("id").isin(list(skip_ids)))
-    joined = ex.join(checked_broadcast(vocab.select("id", "token")), "id", "left")
-    entry = F.when(F.col("pos").isNotNull(), F.struct("pos", "token"))
-    grouped = joined.groupBy(key).agg(F.array_sort(F.collect_list(entry)).alias("_p"))
-    text = F.array_join(F.col("_p.token"), " ")
+    vocab, fits = measured(vocab.select("id", "token"), MAP_SIDE_ROWS, MAP_SIDE_BYTES)
+    if fits:
+        pieces = _look_up(df, key, ids, vocab.toArrow(), "id", "token", "_p", "array<string>", skip=skip_ids)
+        words = F.col("_p")
+    else:
+        ex = df.repartition(key).select(key, F.posexplode_outer(F.col(ids)).alias("pos", "id"))
+        ex = ex.withColumn("pos", F.when(~F.col("id").isin(list(skip_ids)), F.col("pos")))  # a row of skipped ids stays
+        joined = ex.join(vocab, "id", "left")
+        entry = F.when(F.col("pos").isNotNull(), F.struct("pos", "token"))
+        pieces = joined.groupBy(key).agg(F.array_sort(F.collect_list(entry)).alias("_p"))
+        words = F.col("_p.token")
+    text = F.array_join(words, " ")
     if continuation:
         text = F.regexp_replace(text, F.lit(" " + re.escape(continuation)), F.lit(""))
-    return grouped.select(key, text.alias(out))
+    return pieces.select(key, text.alias(out))
 
 
 # --- BPE / WordPiece ----------------------------------------------------------------
