@@ -238,6 +238,24 @@ def test_search_over_all_leaves_is_exact(spark, monkeypatch):
     assert {r.query_id for r in got} == set(range(0, 300, 20))
 
 
+def test_scores_do_not_depend_on_the_block():
+    rng = np.random.default_rng(5)
+    x, q = rng.normal(size=(500, 64)), rng.normal(size=(9, 64))
+    x[250:] = x[:250]  # equal vectors, so ties
+    ids, q_ids = np.arange(500), np.arange(1000, 1009)
+    whole = ann_tree._best_of(q, q_ids, x, ids, 20)
+    for r in range(9):
+        alone = ann_tree._best_of(q[r: r + 1], q_ids[r: r + 1], x, ids, 20)[0]
+        parts = [ann_tree._best_of(q[r: r + 1], q_ids[r: r + 1], x[a: a + 37], ids[a: a + 37], 20)[0] for a in range(0, 500, 37)]
+        s, i = (np.concatenate([p[c] for p in parts]) for c in (0, 1))
+        top = np.lexsort((i, -s))[:20]
+        for other in (alone, (s[top], i[top])):
+            assert np.array_equal(whole[r][0], other[0]) and np.array_equal(whole[r][1], other[1])
+        assert [int(v) for v in whole[r][1][::2] + 250] == [int(v) for v in whole[r][1][1::2]]  # each pair, smaller id first
+    own = ann_tree._best_of(x[:2], ids[:2], x, ids, 3)
+    assert own[0][1][0] == 250 and 0 not in own[0][1]
+
+
 def test_few_candidates_and_empty_tables(spark):
     df = spark.createDataFrame([(20, [1.0, 0.0]), (1, [0.5, 0.5]), (2, [0.0, 1.0])], "vec_id bigint, embedding array<double>")
     assert [(r.rank, r.vec_id) for r in ann_tree.nearest(df, F.col("vec_id") == 20, k=20).orderBy("rank").collect()] == [(1, 1), (2, 2)]

@@ -74,6 +74,26 @@ def test_copies_hit_targets_and_reruns_agree(spark, docs):
     assert by_id[5000].size == 0 and by_id[5000].copies == 1 and by_id[5001].copies == 1
 
 
+def test_repeated_rows_end_near_the_target(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "TIE_ROWS", 16)  # several buckets of equal rows
+    rows = [(7, words(50), "a", "x", "y", 1)] * 200 + [(i, words(50, "b"), "b", "x", "y", 1) for i in range(200)] + [(9, words(30), "c", "x", "y", 1)] * 31
+    out = mixing.mix(spark.createDataFrame(rows, DOC).repartition(5), mixing.cyclic_weights((5, 4, 2)), total_share=1.3).collect()
+    assert len(out) == len(rows) and all(0 <= r.copies <= 2 for r in out)
+    for s, size in (("a", 50), ("b", 50), ("c", 30)):
+        mine = [r for r in out if r.source == s]
+        assert abs(sum(r.copies * r.size for r in mine) - mine[0].target) <= size, s
+    assert 0 < sum(r.copies == 1 for r in out if r.source == "a") or out[0].target == 2 * out[0].source_size
+
+
+def test_dotted_and_clashing_names(spark):
+    df = spark.createDataFrame([(1, "one two", "a", 5, "keep"), (2, None, None, 6, "too")], "doc_id int, text string, source string, `a.b` int, _best string")
+    mixed = mixing.mix(df, mixing.cyclic_weights((1,)))
+    assert "a.b" in mixed.columns and mixed.count() == 2
+    placed = sharding.rendezvous_shards(df, "doc_id", [1.0, 1.0], grown_weight=1.0)
+    assert placed.columns == [*df.columns, "shard", "grown_shard"]
+    assert {r._best for r in placed.collect()} == {"keep", "too"}
+
+
 def test_mixing_an_empty_table(spark, docs):
     assert mixing.mix(docs.limit(0), mixing.cyclic_weights((5, 2, 1))).count() == 0
 

@@ -140,6 +140,9 @@ def test_token_counts_rows(spark):
         want = [greedy("▁" + w, pieces, "") for w in (r.text or "").split()]
         assert (r.n_words, r.n_tokens, r.n_unknown, r.row) == (len(want), sum(x for x, _ in want), sum(u for _, u in want), "r")
     assert [r.n_unknown for r in token_counts.token_counts(df, token_counts.build([])).where("text = 'ab a b'").collect()] == [3, 3]
+    clash = df.selectExpr("*", "1 AS _pad", "2 AS `a.b`")
+    again = token_counts.token_counts(clash, a)
+    assert {(r._pad, r["a.b"]) for r in again.collect()} == {(1, 2)}
 
 
 def test_op8_against_brute_force(spark):

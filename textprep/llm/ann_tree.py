@@ -13,8 +13,8 @@ all of them are one row repeated.  In a task the
 block's vectors come first and the queries stream past them; per query and block only the
 ``k`` best go on, and a last pass merges them.
 
-Nearness is the inner product in double precision on the original vectors; ties go to the
-smaller id.
+Nearness is the inner product in double precision on the original vectors, added up in the
+order of the components, whatever the block; ties go to the smaller id.
 
 Cases: vectors that are null, zero, hold a null or non-finite component, or do not have the
 most common number of components take no part, as query or candidate; so do rows without
@@ -200,6 +200,46 @@ def _visits(shared, dims: int, visits: int, k: int):
     return run
 
 
+def pair_scores(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Inner product of each row of ``a`` with that of ``b``, added up component by component: the
+    same pair gets the same score wherever it is computed, and equal vectors get equal scores."""
+    out = np.zeros(len(a))
+    for d in range(a.shape[1]):
+        out += a[:, d] * b[:, d]
+    return out
+
+
+def _best_of(asked: np.ndarray, asked_ids: np.ndarray, vectors: np.ndarray, ids: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(scores, ids) of each query's ``k`` best rows.  A matrix product only picks the finalists: all rows
+    that its rounding error could have put behind the best ``k``."""
+    with np.errstate(over="ignore", invalid="ignore"):
+        rough = asked @ vectors.T
+        norm = float(np.sqrt((vectors * vectors).sum(1).max(initial=0)))
+        slack = 4 * (vectors.shape[1] + 2) * np.finfo(np.float64).eps * np.sqrt((asked * asked).sum(1)) * norm
+    own_here = np.isin(asked_ids, ids)
+    finalists = []
+    for r in range(len(asked)):
+        other = np.flatnonzero(ids != asked_ids[r]) if own_here[r] else np.arange(len(ids))
+        score = rough[r, other] if own_here[r] else rough[r]
+        if len(other) > k and np.isfinite(slack[r]):
+            edge = np.partition(score, len(score) - k)[len(score) - k]
+            other = other[score >= edge - slack[r]]
+        finalists.append(other)
+    at = np.concatenate(finalists) if finalists else np.zeros(0, np.int64)
+    n = [len(f) for f in finalists]
+    exact = np.empty(len(at))
+    pairs = np.repeat(np.arange(len(asked)), n)
+    for a in range(0, len(at), 65_536):  # one query may have a whole block of ties
+        exact[a: a + 65_536] = pair_scores(asked[pairs[a: a + 65_536]], vectors[at[a: a + 65_536]])
+    out, start = [], 0
+    for f in finalists:
+        score = exact[start: start + len(f)]
+        top = np.lexsort((ids[f], -score))[:k]
+        out.append((score[top], ids[f][top]))
+        start += len(f)
+    return out
+
+
 def _search(dims: int, k: int):
     """Rows (unit, is_query, id, vector) sorted by unit, candidates first -> (query, scores, ids)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -223,17 +263,11 @@ def _search(dims: int, k: int):
                     ids = np.concatenate(held_ids) if held_ids else np.zeros(0, np.int64)
                     vectors = np.concatenate(held) if held else np.zeros((0, dims))
                 for q0 in range(a, b, 256):
-                    scores = all_vectors[q0: min(b, q0 + 256)] @ vectors.T
-                    for r in range(len(scores)):
-                        own = all_ids[q0 + r]
-                        top = _top(scores[r], ids, k + 1)
-                        top = top[ids[top] != own][:k]
-                        if len(top) < min(k, len(ids)):  # the id is repeated among the best
-                            other = np.flatnonzero(ids != own)
-                            top = other[_top(scores[r, other], ids[other], k)]
-                        out_q.append(own)
-                        out_s.append(scores[r, top])
-                        out_i.append(ids[top])
+                    asked = slice(q0, min(b, q0 + 256))
+                    found = _best_of(all_vectors[asked], all_ids[asked], vectors, ids, k)
+                    out_q += list(all_ids[asked])
+                    out_s += [f[0] for f in found]
+                    out_i += [f[1] for f in found]
             if out_q:
                 off = np.concatenate([[0], np.cumsum([len(x) for x in out_i])]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([

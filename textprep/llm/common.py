@@ -61,9 +61,21 @@ def bounded_broadcast(small: DataFrame, max_rows: int) -> DataFrame:
     return F.broadcast(small) if small.limit(max_rows + 1).count() <= max_rows else small
 
 
+def quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
 def row_struct(columns: list[str]) -> Column:
     """The columns as one struct, whatever their names."""
-    return F.struct(*[F.col("`" + c.replace("`", "``") + "`").alias(c) for c in columns])
+    return F.struct(*[F.col(quoted(c)).alias(c) for c in columns])
+
+
+def fresh_name(base: str, columns: list[str]) -> str:
+    """``base``, lengthened until no column has that name."""
+    taken = {c.lower() for c in columns}
+    while base.lower() in taken:
+        base += "_"
+    return base
 
 
 def schema_of(given: dict[str, DataType], more: str) -> StructType:

@@ -12,7 +12,8 @@ Bounds: sources are the mix's configuration, at most ``MAX_SOURCES`` (an error b
 cells are at most sources x different text lengths, and are never collected.
 
 Cases: null or empty text has size 0, takes no words and one copy; a null source is a
-source of its own, last in order; rows equal in id and text take the same copies; a source
+source of its own, last in order; of rows equal in id and text as many take the extra copy as
+are due (which of them is open, as they differ at most in columns that the mix does not read); a source
 whose target is cap x size takes ``cap`` copies of everything; an empty table gives an
 empty result; other columns are kept, whatever their names (the operator's own columns
 ``copies``, ``size``, ``source_size``, ``target`` replace such columns).
@@ -28,11 +29,12 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from textprep.llm.common import bounded_broadcast, hash53, pinned, word_count
+from textprep.llm.common import bounded_broadcast, hash53, pinned, row_struct, word_count
 
 MAX_SOURCES = 100_000
 CUT_ROWS = 512  # mean rows of a cell that are ranked together
 PLAN_BROADCAST_ROWS = 300_000
+TIE_ROWS = 4096  # mean rows of one hash that are numbered together
 
 
 def targets_with_cap(sizes: Sequence[float], weights: Sequence[float], total: float, cap: float) -> list[float]:
@@ -112,8 +114,9 @@ def mix_rows(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> Da
 
 
 def mix_plan(rows: DataFrame, weights: Callable[[int], list[float]], total_share: float = 1.5, cap: int = 2) -> DataFrame:
-    """(source, size, source_size, target, rate, lo, cut): a document of that source and
-    size takes ``lo`` copies, and one more if its hash is at most ``cut``.  ``rows`` is
+    """(source, size, source_size, target, rate, lo, cut, over, ties): a document of that source
+    and size takes ``lo`` copies, and one more if its hash is below ``cut``; of the ``ties`` documents
+    whose hash is ``cut``, ``over`` take one more.  ``rows`` is
     ``mix_rows`` as a scratch table, as it is read several times."""
     spark = rows.sparkSession
     by_source = rows.groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("size")).limit(MAX_SOURCES + 1).collect()
@@ -172,20 +175,43 @@ def mix_plan(rows: DataFrame, weights: Callable[[int], list[float]], total_share
         keyed.groupBy("sid", "size", "b").agg(F.count(F.lit(1)).alias("c"), F.first("extra").alias("extra"))
         .withColumn("skip", F.coalesce(F.sum("c").over(before), F.lit(0)))
         .where("skip < extra AND extra <= skip + c").select("sid", "size", "b", (F.col("extra") - F.col("skip")).alias("need")))
-    rank = Window.partitionBy("sid", "size", "b").orderBy("h")
+    # rows of one hash (equal in id and text) are counted first, so a bucket ranks different hashes only
+    smaller = Window.partitionBy("sid", "size", "b").orderBy("h").rowsBetween(Window.unboundedPreceding, -1)
     cuts = (
-        keyed.select("sid", "size", "b", "h").join(border, ["sid", "size", "b"])
-        .withColumn("rn", F.row_number().over(rank)).where("rn = need").select("sid", "size", F.col("h").alias("cut")))
+        keyed.groupBy("sid", "size", "b", "h").agg(F.count(F.lit(1)).alias("ties")).join(border, ["sid", "size", "b"])
+        .withColumn("over", F.col("need") - F.coalesce(F.sum("ties").over(smaller), F.lit(0)))
+        .where("over > 0 AND over <= ties").select("sid", "size", F.col("h").alias("cut"), "over", "ties"))
     whole = F.when(F.col("extra") <= 0, F.lit(-1)).otherwise(F.lit(1 << 53)).cast("bigint")
     return pinned(plan.join(cuts, ["sid", "size"], "left").select(
-        "source", "size", "source_size", "target", "rate", "lo", F.coalesce("cut", whole).alias("cut")), "mix")
+        "source", "size", "source_size", "target", "rate", "lo", F.coalesce("cut", whole).alias("cut"),
+        F.coalesce("over", F.lit(0)).cast("bigint").alias("over"), F.coalesce("ties", F.lit(0)).cast("bigint").alias("ties")), "mix")
 
 
 def apply_plan(rows: DataFrame, plan: DataFrame, source: str = "source", size: str = "size", h: str = "h") -> DataFrame:
     """``rows`` with source_size, target and copies."""
-    p = bounded_broadcast(plan, PLAN_BROADCAST_ROWS).withColumnsRenamed({"source": "_source", "size": "_size"}).drop("rate")
-    return rows.join(p, F.col(source).eqNullSafe(F.col("_source")) & (F.col(size) == F.col("_size"))).withColumn(
-        "copies", F.col("lo") + (F.col(h) <= F.col("cut")).cast("bigint")).drop("_source", "_size", "lo", "cut")
+    own = {c: f"_{c}" for c in ("source", "size", "lo", "cut", "over", "ties")}
+    p = bounded_broadcast(plan.drop("rate"), PLAN_BROADCAST_ROWS).withColumnsRenamed(own)
+    dealt = rows.join(p, F.col(source).eqNullSafe(F.col("_source")) & (F.col(size) == F.col("_size")))
+    tied = (F.col(h) == F.col("_cut")) & (F.col("_over") < F.col("_ties"))
+    extra = (F.col(h) < F.col("_cut")) | ((F.col(h) == F.col("_cut")) & ~tied)
+    out = dealt.withColumn("copies", F.col("_lo") + extra.cast("bigint"))
+    if not plan.where("over < ties").isEmpty():
+        out = out.where(~tied).unionByName(_deal_ties(dealt.where(tied)))
+    return out.drop(*own.values())
+
+
+def _deal_ties(tied: DataFrame) -> DataFrame:
+    """Rows of one hash of which ``_over`` take one more copy: they are numbered by buckets of some
+    TIE_ROWS rows, whose starts are sums of the counts of those before."""
+    cell = ["_source", "_size"]
+    rows = pinned(tied.withColumn("_row", F.monotonically_increasing_id()), "mix-ties").withColumn(
+        "_bucket", F.pmod(F.xxhash64("_row"), F.ceil(F.col("_ties") / TIE_ROWS)))
+    before = Window.partitionBy(*cell).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    starts = rows.groupBy(*cell, "_bucket").agg(F.count(F.lit(1)).alias("_n")).select(
+        F.col("_source").alias("_s"), F.col("_size").alias("_z"), F.col("_bucket").alias("_b"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    numbered = rows.withColumn("_number", F.row_number().over(Window.partitionBy(*cell, "_bucket").orderBy("_row")))
+    return numbered.join(starts, F.col("_source").eqNullSafe(F.col("_s")) & (F.col("_size") == F.col("_z")) & (F.col("_bucket") == F.col("_b"))).withColumn(
+        "copies", F.col("_lo") + (F.col("_start") + F.col("_number") <= F.col("_over")).cast("bigint")).drop("_row", "_bucket", "_s", "_z", "_b", "_start", "_number")
 
 
 def mix(docs: DataFrame, weights: Callable[[int], list[float]], id_col: str = "doc_id", text_col: str = "text",
@@ -194,6 +220,6 @@ def mix(docs: DataFrame, weights: Callable[[int], list[float]], id_col: str = "d
     plan = mix_plan(pinned(mix_rows(docs, id_col, text_col, source_col), "mix-rows"), weights, total_share, cap)
     own = {"size", "source_size", "target", "copies"}
     keep = [c for c in docs.columns if c not in own]
-    packed = docs.select(F.struct(*keep).alias("_doc"), F.col(source_col).cast("string").alias("_src"), word_count(F.col(text_col)).alias("size"),
+    packed = docs.select(row_struct(keep).alias("_doc"), F.col(source_col).cast("string").alias("_src"), word_count(F.col(text_col)).alias("size"),
                          hash53(F.col(id_col), F.col(text_col)).alias("_h"))
     return apply_plan(packed, plan, "_src", "size", "_h").select("_doc.*", "size", "source_size", "target", "copies")

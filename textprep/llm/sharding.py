@@ -7,7 +7,8 @@ row moves to find its shard.
 
 Cases: a null key hashes as a null (one shard takes them all); a null text has size 16
 and crc 0; repeated rows share a shard and get different slots; an empty table gives an
-empty result; further columns are kept by ``rendezvous_shards`` and ignored by ``slots``.
+empty result; further columns are kept by ``rendezvous_shards``, whatever their names (one
+named like an output is replaced), and ignored by ``slots``.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from textprep.llm.common import bounded_broadcast, explode_count, hash53, pinned
+from textprep.llm.common import bounded_broadcast, explode_count, fresh_name, hash53, pinned
 
 SLOT_BUCKET_ROWS = 4096  # mean rows that one window group orders
 
@@ -37,11 +38,12 @@ def rendezvous_shards(df: DataFrame, key: str, weights: Sequence[float], shard:
     k = F.col(key)
     shards = F.array(*[F.struct(F.lit(i).alias("shard"), F.lit(float(w)).alias("weight")) for i, w in enumerate(weights)])
     costs = F.transform(shards, lambda s: F.struct(shard_cost(k, s["shard"], s["weight"]).alias("cost"), s["shard"].alias("shard")))
-    out = df.withColumn("_best", F.array_min(costs)).withColumn(shard, F.col("_best.shard"))
+    best = fresh_name("_best", [*df.columns, shard, grown, key])
+    out = df.withColumn(best, F.array_min(costs)).withColumn(shard, F.col(f"{best}.shard"))
     if grown_weight is not None:
         n = F.lit(len(weights))
-        out = out.withColumn(grown, F.when(shard_cost(k, n, F.lit(float(grown_weight))) < F.col("_best.cost"), n).otherwise(F.col(shard)))
-    return out.drop("_best")
+        out = out.withColumn(grown, F.when(shard_cost(k, n, F.lit(float(grown_weight))) < F.col(f"{best}.cost"), n).otherwise(F.col(shard)))
+    return out.drop(best)
 
 
 def slots(rows: DataFrame, shard: str, identity: Sequence[str], slot: str = "slot") -> DataFrame:

@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from textprep.llm.common import fresh_name, quoted, schema_of
+
 MAX_VOCAB = 2_000_000  # bound of the broadcast vocabulary
 CACHE_WORDS = 200_000
 CACHED_CHARS = 48
@@ -145,8 +147,9 @@ def token_counts(docs: DataFrame, automaton: Automaton, text_col: str = "text",
     own = ("n_words", "n_tokens", "n_unknown")
     keep = [c for c in (keep if keep is not None else docs.columns) if c not in own]
     shared = docs.sparkSession.sparkContext.broadcast(automaton)
-    packed = docs.select(F.struct(*keep, F.lit(0).alias("_pad")).alias("row"), F.coalesce(text_col, F.lit("")).alias("text"))
-    row_type = packed.schema["row"].dataType.simpleString()
+    pad = fresh_name("_pad", keep)  # a struct needs a field even where nothing is kept
+    row = F.struct(*[F.col(quoted(c)).alias(c) for c in keep], F.lit(0).alias(pad))
+    packed = docs.select(row.alias("row"), F.coalesce(F.col(quoted(text_col)), F.lit("")).alias("text"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = _Counts(shared.value)
@@ -160,5 +163,5 @@ def token_counts(docs: DataFrame, automaton: Automaton, text_col: str = "text",
                     out[2, i] += n >> 32
             yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, out)], ["row", *own])
 
-    return packed.mapInArrow(count, f"row {row_type}, n_words bigint, n_tokens bigint, n_unknown bigint").select(
+    return packed.mapInArrow(count, schema_of({"row": packed.schema["row"].dataType}, "n_words bigint, n_tokens bigint, n_unknown bigint")).select(
         *[F.col("row")[c].alias(c) for c in keep], *own)
