@@ -225,6 +225,7 @@ def test_packed_bigrams_equal_counted_pairs_and_keep_a_unit_together(monkeypatch
     seen = []
     for pairs, size in ((1, 1), (50, 7), (1 << 21, 1 << 16)):
         monkeypatch.setattr(brown, "TASK_PAIRS", pairs)
+        monkeypatch.setattr(brown, "FOLD_PAIRS", pairs)
         monkeypatch.setattr(brown, "PACK_ROWS", size)
         batches = [pa.RecordBatch.from_arrays([pa.array(texts[a: a + 7])], ["text"]) for a in range(0, len(texts), 7)]
         dealt = pa.Table.from_batches(brown._count_bigrams(shared, ranges)(batches)).sort_by("part")

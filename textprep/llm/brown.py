@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textprep.llm.common import byte_table, discard, key_groups, most_frequent, pinned, row_struct, schema_of, text_slices, words_with_endings
+from textprep.llm.common import byte_table, discard, most_frequent, pinned, row_struct, schema_of, text_slices, words_with_endings
 
 LEAST, DEALT, HOT, CLASSES = 5, 8192, 1 << 18, 64  # DEALT: words that start in classes of their own rank, the others in their ending's
 ROUNDS, LEAST_GAIN = 12, 1e-4
@@ -42,6 +42,7 @@ CLASS_PRIOR, WORD_PRIOR = 8.0, 0.5
 ENDINGS = 1 << 16
 PACK_ROWS = 1 << 16  # rows of the bigram table that are one row of packed columns
 TASK_PAIRS, RANGE_PAIRS = 1 << 19, 1 << 21  # pairs that a map task holds before it deals them out; pairs of a range of units, about
+FOLD_PAIRS = 1 << 20  # pairs of a range that wait to be summed, or as many as are summed already
 _PACKED = {"unit": np.int32, "first": np.uint8, "other": np.int32, "n": np.int32}
 END = np.int64(0)  # key of the end token in the table of counts
 _TABLE = byte_table(lower=True)
@@ -153,13 +154,36 @@ def _merge(shared):
     """All packed rows of a partition -> rows (unit, first, other, n) of packed columns, sorted by unit."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         base = np.int64(shared.value.end + 1)
-        for table in key_groups(batches, "part"):  # a range of units
-            columns = ([np.frombuffer(x.as_py(), kind) for x in table.column(c)] for c, kind in (("pairs", np.int64), ("n", np.int32)))
-            pair, n = _summed(*map(np.concatenate, columns))
-            unit, other = pair // base, pair % base
-            cols = {"unit": unit >> 1, "first": unit & 1, "other": other, "n": n}
-            for a in range(0, len(pair), PACK_ROWS):
-                yield pa.RecordBatch.from_arrays([pa.array([cols[c][a: a + PACK_ROWS].astype(kind).tobytes()], pa.binary()) for c, kind in _PACKED.items()], list(_PACKED))
+        part, keys, counts, size = None, [], [], 0  # of a range: what is summed (first), and what is not yet
+
+        def fold() -> None:
+            nonlocal keys, counts, size
+            pair, n = _summed(np.concatenate(keys), np.concatenate(counts))
+            keys, counts, size = [pair], [n], 0
+
+        def emit() -> Iterator[pa.RecordBatch]:
+            fold()
+            for a in range(0, len(keys[0]), PACK_ROWS):
+                pair, n = keys[0][a: a + PACK_ROWS], counts[0][a: a + PACK_ROWS]
+                unit = pair // base
+                cols = {"unit": unit >> 1, "first": unit & 1, "other": pair - unit * base, "n": n}
+                yield pa.RecordBatch.from_arrays([pa.array([cols[c].astype(kind).tobytes()], pa.binary()) for c, kind in _PACKED.items()], list(_PACKED))
+
+        for batch in batches:
+            for i in range(batch.num_rows):
+                now = batch.column(0)[i].as_py()
+                if now != part:
+                    if part is not None:
+                        yield from emit()
+                    part, keys, counts, size = now, [], [], 0
+                pair, n = (np.frombuffer(batch.column(c)[i].as_py(), kind) for c, kind in ((1, np.int64), (2, np.int32)))
+                keys.append(pair)
+                counts.append(n)
+                size += len(pair)
+                if size > max(FOLD_PAIRS, len(keys[0])):
+                    fold()
+        if part is not None:
+            yield from emit()
     return run
 
 
