@@ -54,7 +54,7 @@ def test_wordlevel_order(spark):
 
 def test_unigram_invariants(spark):
     counts = _counts(spark)
-    vocab = V.unigram_train(counts, 40, seed_size=200)
+    vocab = V.unigram_train(counts, 40)
     toks = {r["token"] for r in vocab.collect()}
     chars = {c for line in CORPUS for c in line if not c.isspace()}
     assert chars <= toks and len(toks) == 40
@@ -78,7 +78,7 @@ def test_markers_stay_whole_and_bracket_pieces_are_kept(spark):
     got = {r["i"]: r["ids"] for r in V.subword_encode(df, "i", "text", vocab, "bpe", merges).collect()}
     inv = {r["id"]: r["token"] for r in vocab.collect()}
     assert got[0][0] == 2 and got[0][-1] == 3 and "".join(inv[i] for i in got[0][1:-1]) == "lowestnewer" and got[2] == []
-    uni = V.unigram_train(counts, 60, seed_size=300)
+    uni = V.unigram_train(counts, 60)
     inv = {r["id"]: r["token"] for r in uni.collect()}
     got = {r["i"]: r["ids"] for r in V.subword_encode(df, "i", "text", uni, "unigram").collect()}
     assert inv[got[1][0]] == "[[" and got[0][0] == 2 and got[0][-1] == 3

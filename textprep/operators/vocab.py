@@ -6,17 +6,13 @@ stays distributed.  The driver only holds what the model itself is: the
 vocabulary (bounded by ``vocab_size``) and, per BPE round, a bounded list of the
 best candidate pairs.
 
-BPE / WordPiece are trained in ``textprep.operators.bpe``.
-
-Unigram: seed pieces are frequent substrings (explode + count), then hard-EM
-rounds: Viterbi-segment every distinct word with the current piece scores in
-``mapInPandas`` (scores broadcast; bounded by the seed size), count pieces with
-an aggregate, re-estimate, prune.  Approximate by design, like the reference
-library's own trainer.
+BPE / WordPiece are trained in ``textprep.operators.bpe``, Unigram in
+``textprep.operators.unigram``.
 """
 
 from __future__ import annotations
 
+import heapq
 import math
 import re
 from collections.abc import Iterator, Sequence
@@ -31,11 +27,12 @@ from pyspark.sql import types as T
 
 from textprep.functions.arrays import attention_mask, pad_truncate
 from textprep.functions.text import SPACE_CHARS, WORD, WORD_CHARS, java, split_whitespace
-from textprep.operators import bpe
+from textprep.operators import bpe, unigram
 from textprep.operators.relational import checked_broadcast, measured
 from textprep.session import ensure_checkpoint_dir
 
 WHITESPACE_PIECE = f"{WORD}+|[^{WORD_CHARS}{SPACE_CHARS}]+"
+MAX_PIECE = 16  # characters of a Unigram piece
 MAP_SIDE_ROWS, MAP_SIDE_BYTES = 500_000, 32 << 20  # a vocabulary that every task may hold
 DEFAULT_SPECIALS = ("[PAD]", "[UNK]", "[SOS]", "[EOS]")
 
@@ -220,111 +217,53 @@ def _viterbi(word: str, scores: dict[str, float], max_len: int, unk_score: float
 
 
 def unigram_train(counts: DataFrame, vocab_size: int, specials: Sequence[str] = ("[PAD]", "[UNK]", "[SOS]", "[EOS]", "[MASK]"),
-                  max_piece_length: int = 16, seed_size: int = 100_000, em_rounds: int = 3, shrinking_factor: float = 0.75):
-    """Hard-EM Unigram LM.  Returns ``vocab_df(token, id, score)``; every
-    character of the corpus stays in the vocabulary, so any seen word encodes.  Seeds are
-    the substrings that occur twice, the ``seed_size`` best by count x length; pruning
-    ends at exactly ``vocab_size`` pieces if the corpus has as many."""
-    spark = counts.sparkSession
-    ensure_checkpoint_dir(spark)
-    w = counts.select("word", F.col("count").cast("long").alias("count"))
-    L = max_piece_length
-    subs = w.select(
-        F.explode(F.flatten(F.transform(
-            F.sequence(F.lit(0), F.greatest(F.length("word") - 1, F.lit(0))),
-            lambda i: F.transform(F.sequence(F.lit(1), F.least(F.lit(L), F.length("word") - i)),
-                                  lambda n: F.substring("word", i + 1, n))))).alias("piece"),
-        "count",
-    ).where(F.length("piece") > 0)
-    freq = subs.groupBy("piece").agg(F.sum("count").alias("f"))
-    chars = freq.where(F.length("piece") == 1)
-    multi = (freq.where((F.length("piece") > 1) & (F.col("f") >= 2))
-             .orderBy((F.col("f") * F.length("piece")).desc(), "piece").limit(seed_size))
-    seed = chars.unionByName(multi).collect()  # bounded: characters + seed_size
-    char_set = {r["piece"] for r in seed if len(r["piece"]) == 1}
-    total = float(sum(r["f"] for r in seed)) or 1.0
-    scores = {r["piece"]: math.log(r["f"] / total) for r in seed}
-    target = max(vocab_size - len(specials), len(char_set))
-    schema = T.StructType([T.StructField("piece", T.StringType()), T.StructField("n", T.LongType())])
-    settle = em_rounds
-    seed_counts = {r["piece"]: r["f"] for r in seed}
-    while True:  # every round drops a quarter of the pieces, or settles the scores of the last ones
-        bscores = spark.sparkContext.broadcast(scores)
-        unk = min(scores.values()) - 10.0
-
-        def seg(batches, _b=bscores, _unk=unk):
-            sc = _b.value
-            for pdf in batches:
-                acc: dict[str, int] = {}
-                for word, c in zip(pdf["word"], pdf["count"]):
-                    for p in _viterbi(word, sc, L, _unk):
-                        acc[p] = acc.get(p, 0) + int(c)
-                yield pd.DataFrame({"piece": list(acc.keys()), "n": list(acc.values())}, columns=["piece", "n"])
-
-        used = w.mapInPandas(seg, schema).groupBy("piece").agg(F.sum("n").alias("n")).collect()
-        counts_now = {r["piece"]: r["n"] for r in used}
-        tot = float(sum(counts_now.values())) or 1.0
-        new_scores = {}
-        for p in scores:
-            # a piece that no best segmentation uses ranks below all used ones, by its seed count
-            n = counts_now.get(p, 0) or 0.5 * seed_counts[p] / total
-            new_scores[p] = math.log(n / tot)
-        if len(new_scores) > target:
-            keep = max(target, int(len(new_scores) * shrinking_factor))
-            ranked = sorted((p for p in new_scores if p not in char_set), key=lambda p: (-new_scores[p], p))
-            kept = set(ranked[: max(keep - len(char_set), 0)]) | char_set
-            new_scores = {p: s for p, s in new_scores.items() if p in kept}
-        scores = new_scores
-        bscores.unpersist()
-        if len(scores) <= target:
-            settle -= 1
-            if settle <= 0:
-                break
+                  max_piece_length: int = MAX_PIECE, **kw) -> DataFrame:
+    """Train a Unigram model to ``vocab_size`` (``textprep.operators.unigram``).  Returns
+    ``vocab_df(token, id, score)``: specials, then pieces by falling score.  Every character of
+    the corpus is a piece, so any seen word encodes."""
+    pieces = unigram.train(counts, vocab_size, specials, max_piece_length, **kw)
     rows = [(s, i, 0.0) for i, s in enumerate(specials)]
-    ordered = sorted(scores.items(), key=lambda kv: (-kv[1], kv[0]))
-    rows += [(p, len(specials) + i, float(s)) for i, (p, s) in enumerate(ordered)]
-    return spark.createDataFrame(rows, "token string, id int, score double")
+    rows += [(p, len(specials) + i, float(s)) for i, (p, s) in enumerate(pieces)]
+    return counts.sparkSession.createDataFrame(rows, "token string, id int, score double")
 
 
 # --- subword encoding ---------------------------------------------------------------------
 
 def _bpe_apply(word: str, ranks: dict[tuple[str, str], int], prefix: str | None) -> list[str]:
-    syms = [c if i == 0 or not prefix else prefix + c for i, c in enumerate(word)]
-    while len(syms) > 1:
-        best = None
-        for i in range(len(syms) - 1):
-            r = ranks.get((syms[i], syms[i + 1]))
-            if r is not None and (best is None or r < best[0]):
-                best = (r, i)
-        if best is None:
-            break
-        a, b = syms[best[1]], syms[best[1] + 1]
-        part_b = b[len(prefix):] if prefix and b.startswith(prefix) else b
-        merged, i = [], 0
-        while i < len(syms):
-            if i < len(syms) - 1 and syms[i] == a and syms[i + 1] == b:
-                merged.append(a + part_b)
-                i += 2
-            else:
-                merged.append(syms[i])
-                i += 1
-        syms = merged
-    return syms
-
-
-def _wordpiece_apply(word: str, vocab: set[str], prefix: str = "##", unk: str = "[UNK]") -> list[str]:
+    """Merge the pair of lowest rank, leftmost first, until none is left: a heap of the pairs over linked
+    symbols, so a word of n characters takes n log n steps."""
+    syms: list[str | None] = [c if i == 0 or not prefix else prefix + c for i, c in enumerate(word)]
+    n = len(syms)
+    after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+    heap = [(r, i, syms[i], syms[i + 1]) for i in range(n - 1) if (r := ranks.get((syms[i], syms[i + 1]))) is not None]
+    heapq.heapify(heap)
+    while heap:
+        _, i, a, b = heapq.heappop(heap)
+        j = after[i]
+        if j >= n or syms[i] != a or syms[j] != b:  # one of the two was merged since
+            continue
+        syms[i] = a + (b[len(prefix):] if prefix and b.startswith(prefix) else b)
+        syms[j] = None
+        after[i] = after[j]
+        if after[i] < n:
+            before[after[i]] = i
+        for left, right in ((before[i], i), (i, after[i])):
+            if left >= 0 and right < n and (r := ranks.get((syms[left], syms[right]))) is not None:
+                heapq.heappush(heap, (r, left, syms[left], syms[right]))
+    return [s for s in syms if s is not None]
+
+
+def _wordpiece_apply(word: str, vocab: set[str], longest: int, prefix: str = "##", unk: str = "[UNK]") -> list[str]:
+    """Longest match from the left; no match is tried beyond the ``longest`` piece's length."""
     out, start = [], 0
     while start < len(word):
-        end, cur = len(word), None
-        while start < end:
+        for end in range(min(len(word), start + longest), start, -1):
             piece = word[start:end] if start == 0 else prefix + word[start:end]
             if piece in vocab:
-                cur = piece
                 break
-            end -= 1
-        if cur is None:
+        else:
             return [unk]
-        out.append(cur)
+        out.append(piece)
         start = end
     return out
 
@@ -361,12 +300,12 @@ def subword_encode(df: DataFrame, key: str, text_col: str, vocab: DataFrame, mod
                 yield pd.DataFrame({"word": pdf["word"], "pieces": [[w] if w in special else _bpe_apply(w, rk, pf) for w in pdf["word"]]})
     elif model == "wordpiece":
         vset = {r["token"] for r in vocab.select("token").collect()}
-        payload = spark.sparkContext.broadcast(vset)
+        payload = spark.sparkContext.broadcast((vset, max(map(len, vset), default=0)))
 
         def seg(batches, _p=payload):
-            vs = _p.value
+            vs, longest = _p.value
             for pdf in batches:
-                yield pd.DataFrame({"word": pdf["word"], "pieces": [[w] if w in special else _wordpiece_apply(w, vs) for w in pdf["word"]]})
+                yield pd.DataFrame({"word": pdf["word"], "pieces": [[w] if w in special else _wordpiece_apply(w, vs, longest) for w in pdf["word"]]})
     elif model == "unigram":
         sc = {r["token"]: r["score"] for r in vocab.where(F.col("id") >= 0).collect() if r["token"] not in special}
         payload = spark.sparkContext.broadcast(sc)
@@ -374,8 +313,9 @@ def subword_encode(df: DataFrame, key: str, text_col: str, vocab: DataFrame, mod
         def seg(batches, _p=payload):
             s = _p.value
             unk = min(s.values()) - 10.0 if s else -10.0
+            longest = max(map(len, s), default=1)
             for pdf in batches:
-                yield pd.DataFrame({"word": pdf["word"], "pieces": [[w] if w in special else _viterbi(w, s, 16, unk) for w in pdf["word"]]})
+                yield pd.DataFrame({"word": pdf["word"], "pieces": [[w] if w in special else _viterbi(w, s, longest, unk) for w in pdf["word"]]})
     else:
         raise ValueError(model)
     seg_schema = "word string, pieces array<string>"
