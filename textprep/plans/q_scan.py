@@ -51,7 +51,7 @@ def _scan_pos(spark, sf):
           f"FROM {X.SYLLABLES}")
 def _scan_jsonl(spark, sf):
     path = FS.scratch_path(spark, "syllables-jsonl")
-    TB.syllable_annotations(spark, sf).write.mode("overwrite").json(path)
+    FS.write_jsonl(TB.syllable_annotations(spark, sf), path)
     ann = FS.read_jsonl(spark, path, SYLLABLE_SCHEMA)
     return ann.select(
         "doc_id", F.size("annotations").cast("bigint").alias("n_ann"),
