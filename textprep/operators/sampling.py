@@ -111,10 +111,10 @@ def mask_tokens(df: DataFrame, text: str, key: str, out: str = "masked", prob: f
     keeps it computed once per row instead of once per token."""
     toks = df.withColumn("_toks", split_whitespace(F.col(text)))
     draws = toks.withColumn(
-        "_draws", F.transform("_toks", lambda t, i: F.struct(seeded_bits(F.col(key), i, seed).alias("h"), i.alias("i")))
-    )
+        "_draws", F.transform("_toks", lambda t, i: F.shiftleft(seeded_bits(F.col(key), i, seed), 31).bitwiseOR(i.cast("bigint")))
+    )  # 32 bits of the hash, then the position: plain numbers sort faster than structs
     k = F.greatest(F.lit(1), F.floor(F.size("_toks") * F.lit(prob)).cast("int"))
-    kth = draws.withColumn("_kth", F.try_element_at(F.array_sort("_draws"), k))
+    kth = draws.withColumn("_kth", F.try_element_at(F.sort_array("_draws"), k))
     masked = F.zip_with("_toks", "_draws", lambda t, d: F.when(d <= F.col("_kth"), F.lit(MASK_TOKEN)).otherwise(t))
     res = F.when(F.col("_kth").isNull(), F.col(text)).otherwise(F.array_join(masked, " "))
     return kth.withColumn(out, res).drop("_toks", "_draws", "_kth")
