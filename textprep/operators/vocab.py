@@ -34,6 +34,7 @@ from textprep.session import ensure_checkpoint_dir
 WHITESPACE_PIECE = f"{WORD}+|[^{WORD_CHARS}{SPACE_CHARS}]+"
 MAX_PIECE = 16  # characters of a Unigram piece
 MAP_SIDE_ROWS, MAP_SIDE_BYTES = 500_000, 32 << 20  # a vocabulary that every task may hold
+LOOK_UP_ENTRIES = 1 << 18  # list entries that a task looks up at a time
 DEFAULT_SPECIALS = ("[PAD]", "[UNK]", "[SOS]", "[EOS]")
 
 
@@ -47,6 +48,12 @@ def piece_pattern(specials: Sequence[str] = ()) -> str:
     return "".join(re.escape(s) + "|" for s in specials) + WHITESPACE_PIECE
 
 
+def first_words(text: Column, n: int, specials: Sequence[str] = ()) -> Column:
+    """The start of the text up to its ``n``-th piece, so that the rest is not cut into pieces for nothing."""
+    piece = "".join(re.escape(s) + "|" for s in specials) + f"{WORD}++|[^{WORD_CHARS}{SPACE_CHARS}]++"
+    return F.regexp_extract(text, java(f"^(?:[{SPACE_CHARS}]*+(?:{piece})){{0,{n}}}+"), 0)
+
+
 def word_table(df: DataFrame, text_col: str) -> DataFrame:
     """Distinct words with corpus counts (``word``, ``count``)."""
     words = df.select(F.explode(pretokenize_words(F.col(text_col))).alias("word"))
@@ -94,6 +101,17 @@ class _Dictionary:
         return self.give.take(rows.take(coded.indices))
 
 
+def _entry_slices(batch: pa.RecordBatch, entries: int) -> Iterator[pa.RecordBatch]:
+    """The batch in runs of rows whose lists (column 1) hold at most ``entries`` entries; a longer list is alone."""
+    n = pc.fill_null(pc.list_value_length(batch.column(1)), 0).to_numpy().astype(np.int64)
+    ends, at = np.cumsum(n), 0
+    while at < batch.num_rows:
+        before = ends[at - 1] if at else 0
+        to = max(at + 1, int(np.searchsorted(ends, before + entries, "right")))
+        yield batch.slice(at, to - at)
+        at = to
+
+
 def _look_up(df: DataFrame, key: str, lists: str, table: pa.Table, by: str, give: str, out: str, out_type: str,
              default: int | None = None, skip: Sequence[int] = ()) -> DataFrame:
     """Rows (key, list of the entries' values) without an exchange; entries in ``skip`` go."""
@@ -102,7 +120,7 @@ def _look_up(df: DataFrame, key: str, lists: str, table: pa.Table, by: str, give
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _Dictionary(sent.value, by, give)
-        for batch in batches:
+        for batch in (part for whole in batches for part in _entry_slices(whole, LOOK_UP_ENTRIES)):
             col = batch.column(1)
             n = pc.fill_null(pc.list_value_length(col), 0).to_numpy().astype(np.int64)
             flat = col.flatten()
@@ -284,7 +302,8 @@ def subword_encode(df: DataFrame, key: str, text_col: str, vocab: DataFrame, mod
     if word_mark:
         tokens = F.transform(split_whitespace(F.col(text_col)), lambda w: F.when(w.isin(list(specials)), w).otherwise(F.concat(F.lit(word_mark), w)))
     else:
-        tokens = pretokenize_words(F.col(text_col), specials)
+        text = F.col(text_col) if length is None else first_words(F.col(text_col), length, specials)
+        tokens = pretokenize_words(text, specials)
     tokens = tokens if length is None else F.slice(tokens, 1, length)
     words = df.select(key, F.posexplode(tokens).alias("pos", "word"))
     distinct = words.select("word").distinct()
