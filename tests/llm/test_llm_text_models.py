@@ -369,3 +369,12 @@ def test_quality_without_trusted_text(spark):
     got = quality_kn.classify(docs, labels, ["doc_id"]).collect()
     assert len(got) == 3 and all(r.keep and r.threshold is None for r in got)
     assert quality_kn.classify(docs.limit(0), labels, ["doc_id"]).count() == 0
+
+
+def test_quality_learns_from_all_trusted_texts(spark, monkeypatch):
+    docs = spark.range(6000).selectExpr("id AS doc_id", "concat('w', id % 50, ' x') AS text", "'en' AS lang")
+    labels = docs.selectExpr("doc_id", "1 AS quality", "0 AS toxic")
+    learned, fit = [], quality_kn.fit
+    monkeypatch.setattr(quality_kn, "fit", lambda texts, col: learned.append(texts.count()) or fit(texts, col))
+    assert quality_kn.classify(docs, labels, ["doc_id"]).count() == 6000
+    assert learned == [quality_kn.trusted_ids(labels).where("not judge").count()] and learned[0] > quality_kn.MAX_TRAIN_DOCS
