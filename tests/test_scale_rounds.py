@@ -12,14 +12,18 @@ from textprep.operators.sampling import mask_tokens
 from textprep.sources import files as FS
 
 
+def _grams(words, n):
+    return [None, None] if words is None else [tuple(words[i: i + n]) for i in range(len(words) - n + 1)]
+
+
 def _bleu(groups):
     num, den, c, r = [0] * 4, [0] * 4, 0, 0
     for pairs in groups:
         for n in range(1, 5):
-            h, f = (Counter(tuple(p[side][i: i + n]) for p in pairs for i in range(len(p[side]) - n + 1)) for side in (0, 1))
+            h, f = (Counter(g for p in pairs for g in _grams(p[side], n)) for side in (0, 1))
             num[n - 1] += sum(min(k, f[g]) for g, k in h.items())
             den[n - 1] += sum(h.values())
-        c, r = c + sum(len(p[0]) for p in pairs), r + sum(len(p[1]) for p in pairs)
+        c, r = c + sum(len(p[0] or ()) for p in pairs), r + sum(len(p[1] or ()) for p in pairs)
     return (math.exp(1 - r / c) if c < r else 1.0) * math.exp(sum(math.log(a / b) for a, b in zip(num, den)) / 4)
 
 
@@ -28,7 +32,7 @@ def test_bleu_equals_brute_force_with_repeated_and_null_keys(spark):
     rows += [(100, None, None), (101, "", "a b"), (102, "a b\tc", "a b c"), (None, None, "z")]
     groups = {}
     for k, h, r in rows:
-        groups.setdefault(k, []).append(((h or "").split(), (r or "").split()))
+        groups.setdefault(k, []).append((h if h is None else h.split(), r if r is None else r.split()))
     df = spark.createDataFrame(rows, "k int, h string, r string").repartition(5)
     assert metrics.bleu_corpus(df, "k", "h", "r").first()["bleu"] == pytest.approx(_bleu(groups.values()), abs=1e-12)
     assert metrics.bleu_corpus(df.where("k > 1000"), "k", "h", "r").first()["bleu"] == 0.0
