@@ -2,6 +2,7 @@
 
 import collections
 import math
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -206,6 +207,32 @@ def test_exchange_raises_the_likelihood(spark, two_tongues):
     assert seen[0] == sorted(seen[0]) and seen[0][-1] > seen[0][0]
 
 
+def test_moves_of_a_packed_row_take_bounded_memory_and_skip_the_other_half():
+    """A packed row may hold 65,536 units: judging them at once took units x classes several times over."""
+    rng = np.random.default_rng(5)
+    k, n = 65, 1 << 16
+    cols = [np.arange(n), np.ones(n), rng.integers(0, n, n), rng.integers(1, 9, n)]
+    packed = pa.RecordBatch.from_arrays(
+        [pa.array([c.astype(kind).tobytes()], pa.binary()) for c, kind in zip(cols, brown._PACKED.values())], list(brown._PACKED))
+    shared = type("Shared", (), {"value": (rng.integers(0, k - 1, n).astype(np.uint8), rng.random((k, k)) * 100)})
+    tracemalloc.start()
+    try:
+        moves = [pa.Table.from_batches(brown._best_moves(shared, k, half)(iter([packed]))) for half in (0, 1)]
+        assert tracemalloc.get_traced_memory()[1] < 60e6
+    finally:
+        tracemalloc.stop()
+    assert [m["unit"].to_pylist() for m in moves] == [list(range(half, n, 2)) for half in (0, 1)]
+
+
+def test_exchange_leaves_the_arrow_setting_and_sends_few_packed_rows_at_once(spark, two_tongues, monkeypatch):
+    seen, real = [], brown.arrow_rows
+    monkeypatch.setattr(brown, "arrow_rows", lambda s, rows: seen.append(rows) or real(s, rows))
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key, None)
+    brown.fit(two_tongues, frequent=20, hot=20, n_classes=3, rounds=1)
+    assert seen and max(seen) <= 4 and spark.conf.get(key, None) == before
+
+
 @pytest.mark.parametrize("ranges", [1, 7])
 def test_packed_bigrams_equal_counted_pairs_and_keep_a_unit_together(monkeypatch, ranges):
     """However few pairs a task holds and however few rows are packed into one."""

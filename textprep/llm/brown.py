@@ -30,20 +30,24 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textprep.llm.common import byte_table, discard, most_frequent, pinned, row_struct, schema_of, text_slices, words_with_endings
+from textprep.llm.common import arrow_rows, byte_table, discard, most_frequent, pinned, row_struct, schema_of, text_slices, words_with_endings
 
-LEAST, DEALT, HOT, CLASSES = 5, 8192, 1 << 18, 64  # DEALT: words that start in classes of their own rank, the others in their ending's
+LEAST, DEALT, HOT, CLASSES = 5, 8192, 1 << 20, 64  # DEALT: words that start in classes of their own rank, the others in their ending's
 ROUNDS, LEAST_GAIN = 12, 1e-4
 CLASS_PRIOR, WORD_PRIOR = 8.0, 0.5
 ENDINGS = 1 << 16
 PACK_ROWS = 1 << 16  # rows of the bigram table that are one row of packed columns
 TASK_PAIRS, RANGE_PAIRS = 1 << 19, 1 << 21  # pairs that a map task holds before it deals them out; pairs of a range of units, about
 FOLD_PAIRS = 1 << 20  # pairs of a range that wait to be summed, or as many as are summed already
+BLOCK_UNITS = 1 << 12  # units whose moves are judged at once
+BATCH_ROWS = 4  # packed rows that go to a Python worker at once
 _PACKED = {"unit": np.int32, "first": np.uint8, "other": np.int32, "n": np.int32}
+_MOVES = {"unit": np.int32, "best": np.int16, "gain": np.float32, "mass": np.float32}
 END = np.int64(0)  # key of the end token in the table of counts
 _TABLE = byte_table(lower=True)
 _TEXTS = 2000  # texts that a step of a task holds
@@ -92,9 +96,12 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part, texts in text_slices(batch, batch.column(0)):
             words, _, endings = words_with_endings(texts, _TABLE)
-            word, first, n = np.unique(words, return_index=True, return_counts=True)
+            order = np.argsort(words)  # any occurrence will do: a word has one ending
+            words = words[order]
+            first = np.flatnonzero(np.concatenate([[True], words[1:] != words[:-1]])) if len(words) else np.zeros(0, np.int64)
+            n = np.diff(np.append(first, len(words)))
             yield pa.RecordBatch.from_arrays([
-                pa.array(np.append(word.view(np.int64), END)), pa.array(np.append(endings[first], -1).astype(np.int32)),
+                pa.array(np.append(words[first].view(np.int64), END)), pa.array(np.append(endings[order[first]], -1).astype(np.int32)),
                 pa.array(np.append(n, part.num_rows).astype(np.int64))], ["word", "ending", "n"])
 
 
@@ -116,11 +123,16 @@ def _count_bigrams(shared, ranges: int):
 
         def flush() -> Iterator[pa.RecordBatch]:
             pair, n = _summed(np.concatenate(held), np.concatenate(count))
-            before, here = pair // base, pair % base
+            before = pair // base
+            here = pair - before * base
             for unit, side, other in ((before, 1, here), (here, 0, before)):
                 number = (unit * 2 + side) * base + other
-                part = unit % ranges
-                order = np.lexsort((number, part))
+                part = (unit % ranges).astype(np.min_scalar_type(ranges))  # narrow: dealt by a radix sort
+                if side:  # pairs are in the order of their numbers
+                    order = np.argsort(part, kind="stable")
+                else:
+                    order = np.argsort(number)  # all different
+                    order = order[np.argsort(part[order], kind="stable")]
                 edges = np.searchsorted(part[order], np.arange(ranges + 1))
                 for k in np.flatnonzero(np.diff(edges)).tolist():
                     mine = order[edges[k]: edges[k + 1]]
@@ -205,17 +217,17 @@ def _class_matrix(shared, k: int):
     return run
 
 
-def _best_moves(shared, k: int):
-    """For each unit the class that raises the likelihood of its neighbours most."""
-    def choose(unit, first, other, n, classes, matrix) -> pa.RecordBatch:
-        ids, row = np.unique(unit, return_inverse=True)
+def _best_moves(shared, k: int, half: int | None = None):
+    """For each unit, or those of one ``half`` (its number's last bit), the class that raises the likelihood of its
+    neighbours most.  Units are looked at in blocks, so that no array has a packed row's units x classes."""
+    smooth = 0.1
+
+    def choose(unit, first, other, n, classes, matrix, log_out, log_in) -> pa.RecordBatch:
+        new = np.concatenate([[True], unit[1:] != unit[:-1]])  # sorted by unit
+        ids, row = unit[new], np.cumsum(new) - 1
         side = np.where(first, 0, k)
         counts = np.bincount(row * 2 * k + side + classes[other], n, len(ids) * 2 * k).reshape(len(ids), 2 * k)
         right, left = counts[:, :k], counts[:, k:]
-        smooth = 0.1
-        out_sum, in_sum = matrix.sum(axis=1), matrix.sum(axis=0)
-        log_out = np.log(matrix + smooth) - np.log(out_sum + smooth * k)[:, None]
-        log_in = np.log(matrix.T + smooth) - np.log(in_sum + smooth * k)[:, None]
         score = right @ log_out.T + left @ log_in.T
         own = classes[ids]  # its own class is judged without it
         at = np.arange(len(ids))
@@ -232,17 +244,39 @@ def _best_moves(shared, k: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         classes, matrix = shared.value
+        log_out = np.log(matrix + smooth) - np.log(matrix.sum(axis=1) + smooth * k)[:, None]
+        log_in = np.log(matrix.T + smooth) - np.log(matrix.sum(axis=0) + smooth * k)[:, None]
+
+        def blocks(cols: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+            """The moves of whole units, sorted by unit, BLOCK_UNITS at a time."""
+            starts = np.flatnonzero(np.concatenate([[True], cols[0][1:] != cols[0][:-1]]))
+            edges = np.append(starts[::BLOCK_UNITS], len(cols[0])).tolist()
+            for a, b in zip(edges, edges[1:]):
+                yield choose(*[c[a:b] for c in cols], classes, matrix, log_out, log_in)
+
         held = None  # the rows of the last unit go on in the next packed row
         for cols in _unpacked(batches):
+            if half is not None:
+                mine = cols[0] % 2 == half
+                cols = [c[mine] for c in cols]
             if held is not None:
                 cols = [np.concatenate(x) for x in zip(held, cols)]
             edges = np.flatnonzero(np.diff(cols[0]))
             cut = int(edges[-1]) + 1 if len(edges) else 0
             held = [c[cut:] for c in cols]
             if cut:
-                yield choose(*[c[:cut] for c in cols], classes, matrix)
+                yield from blocks([c[:cut] for c in cols])
         if held is not None and len(held[0]):
-            yield choose(*held, classes, matrix)
+            yield from blocks(held)
+    return run
+
+
+def _packed_moves(best):
+    """The moves of ``best`` as rows of packed columns, one a block of units."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for moves in best(batches):
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([moves.column(c).to_numpy().astype(kind).tobytes()], pa.binary()) for c, kind in _MOVES.items()], list(_MOVES))
     return run
 
 
@@ -256,8 +290,9 @@ def exchange(table: DataFrame, classes: np.ndarray, k: int, rounds: int = ROUNDS
 
     def matrix_of(c: np.ndarray) -> np.ndarray:
         shared, m = sc.broadcast(c), np.zeros(k * k)
-        for r in table.mapInArrow(_class_matrix(shared, k), "cell int, n bigint").groupBy("cell").agg(F.sum("n").alias("n")).collect():
-            m[r["cell"]] = r["n"]  # at most k * k rows
+        with arrow_rows(table.sparkSession, BATCH_ROWS):
+            for r in table.mapInArrow(_class_matrix(shared, k), "cell int, n bigint").groupBy("cell").agg(F.sum("n").alias("n")).collect():
+                m[r["cell"]] = r["n"]  # at most k * k rows
         return m.reshape(k, k)
 
     def likelihood(m: np.ndarray) -> float:
@@ -271,8 +306,9 @@ def exchange(table: DataFrame, classes: np.ndarray, k: int, rounds: int = ROUNDS
     still = 0
     for r in range(rounds):
         shared = sc.broadcast((classes, matrix))
-        moves = table.mapInArrow(_best_moves(shared, k), "unit int, best int, gain double, mass double").where(F.col("unit") % 2 == r % 2).select(
-            "unit", F.col("best").cast("smallint"), F.col("gain").cast("float"), F.col("mass").cast("float")).toArrow().to_pandas()  # a narrow row per unit
+        with arrow_rows(table.sparkSession, BATCH_ROWS):
+            got = table.mapInArrow(_packed_moves(_best_moves(shared, k, r % 2)), ", ".join(f"{c} binary" for c in _MOVES)).collect()  # 14 bytes a unit
+        moves = pd.DataFrame({c: np.frombuffer(b"".join(row[c] for row in got), kind) for c, kind in _MOVES.items()})
         moves = moves.sort_values(["mass", "unit"]).drop_duplicates("unit", keep="last")
         moves = moves[moves["gain"] > 0].sort_values(["gain", "unit"], ascending=False)
         improved = False
@@ -321,7 +357,7 @@ def fit(train: DataFrame, text_col: str = "text", frequent: int | None = None, h
 
     shared = sc.broadcast(units)
     ranges = max(1, -(-2 * (tokens + 1) // RANGE_PAIRS))  # grows with the texts
-    packed = texts.mapInArrow(_count_bigrams(shared, ranges), "part int, pairs binary, n binary").repartition(ranges, "part").sortWithinPartitions("part")
+    packed = texts.mapInArrow(_count_bigrams(shared, ranges), "part int, pairs binary, n binary").repartitionById(ranges, F.col("part"))  # a range is one partition
     table = pinned(packed.mapInArrow(_merge(shared), ", ".join(f"{c} binary" for c in _PACKED)), "unit-bigrams")
 
     k = n_classes + 1
