@@ -84,7 +84,9 @@ def lookup(table: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarra
     """(place, found) of each value in a sorted table."""
     if not len(table):
         return np.zeros(len(values), np.int64), np.zeros(len(values), bool)
-    at = np.minimum(np.searchsorted(table, values), len(table) - 1)
+    order = np.argsort(values)  # sorted values are found without jumping about in a large table
+    at = np.empty(len(values), np.int64)
+    at[order] = np.minimum(np.searchsorted(table, values[order]), len(table) - 1)
     return at, table[at] == values
 
 
